@@ -1 +1,170 @@
-"""Registered queries (placeholder)."""
+"""Registered queries: whole jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from themeloom.operators import filters, topics
+from themeloom.plans import jobs
+from themeloom.plans.fixture_sql import with_views as V
+from themeloom.plans.q_retrieval import QUESTION, bm25_sql
+from themeloom.plans.q_text import SQL_HEADINGS, fill, sql_clean
+from themeloom.plans.registry import register
+from themeloom.session import checkpoint_dir
+from themeloom.sources import corpora as C
+
+G1_SQL = V(f"""
+with base as (
+  select w.ordinal, w.doi, w.title, w.abstract, w.relevance_score, w.is_retracted,
+         f.volume, f.issue, f.first_page, f.last_page, f.pmid, f.journal, f.publisher, f.issn_l
+  from works w join works_flat f using (ordinal)
+  where w.title is not null and w.abstract is not null and w.relevance_score > 10 and w.doi is not null
+    and f.volume is not null and f.issue is not null and f.first_page is not null and f.last_page is not null
+    and f.pmid is not null and f.journal is not null and f.publisher is not null and f.issn_l is not null),
+d1 as (select * exclude (rn) from (select *, row_number() over (partition by doi order by ordinal) as rn from base)
+       where rn = 1),
+d2 as (select * exclude (rn) from (select *, row_number() over (partition by title order by ordinal) as rn from d1)
+       where rn = 1),
+cl as (select *, {sql_clean('abstract')} as abstract_clean from d2),
+ta as (select *, title || case when title like '%.' then ' ' else '. ' end || abstract_clean as title_abstract
+       from cl where is_retracted = false),
+sc as ({bm25_sql(QUESTION, 'select ordinal, title_abstract from ta', 'ordinal', 'title_abstract')})
+select ta.ordinal, ta.doi, round(sc.bm25_score, 6) as bm25_score,
+       cast(len(regexp_extract_all(ta.title_abstract, '\\p{{L}}+|\\p{{N}}{{1,3}}|[^\\s\\p{{L}}\\p{{N}}]+')) as bigint)
+         as num_tokens
+from ta join sc using (ordinal)
+order by sc.bm25_score desc, ta.ordinal limit 1000""", "works", "works_flat")
+
+
+@register("g1_works_ranked", G1_SQL)
+def g1_works_ranked(spark, sf):
+    r = jobs.works_ranked(C.works_nested(spark, sf), QUESTION, 10, 1000)
+    return r.select("ordinal", "doi", F.round("bm25_score", 6).alias("bm25_score"), "num_tokens")
+
+
+@register("g1_works_funnel")
+def g1_works_funnel(spark, sf):
+    """Rows-only: the G1 filter funnel as one row of stage counts."""
+    return jobs.works_funnel(C.works_nested(spark, sf))
+
+
+G2_SQL = V(f"""
+with a as (select * exclude (rn) from (
+             select *, row_number() over (partition by file_no order by file_pos) as rn from abstracts)
+           where rn <= 1000),
+b as (select *, cast(file_no as bigint) * 1000000000 + file_pos as ord from a
+      where title is not null and abstract is not null and doi is not null),
+m as (select doi,
+        arg_min(title, ord) filter (where title is not null) as title,
+        arg_min(abstract, ord) filter (where abstract is not null) as abstract,
+        arg_min(category, ord) filter (where category is not null) as category,
+        arg_min(total_cites, ord) filter (where total_cites is not null) as total_cites
+      from b group by doi),
+c as (select *, {sql_clean('abstract')} as abstract_clean from m),
+t as (select *, title || case when title like '%.' then ' ' else '. ' end || abstract_clean as title_abstract from c),
+d as (select * exclude (rn) from (select *, row_number() over (partition by title order by doi) as rn from t)
+      where rn = 1)
+select doi, title, md5(title_abstract) as ta_md5, category, total_cites from d
+where total_cites >= 5 or category = 'main'""", "abstracts")
+
+
+@register("g2_abstracts_prepared", G2_SQL)
+def g2_abstracts_prepared(spark, sf):
+    a = jobs.abstracts_prepared(C.abstract_exports(spark, sf))
+    return a.select("doi", "title", F.md5("title_abstract").alias("ta_md5"), "category", "total_cites")
+
+
+G3_SQL = V(f"""
+with rec as (
+  select row_id, gpt_model, temperature, system_message,
+         list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
+                        lambda x, i: cast(i as varchar) || '. **' || split_part(x, ' ', 1) || '**: ' || x) as answer
+  from answers),
+f as (select * from rec where system_message is not null),
+n as (select least(100, min(c)) as n from (select count(*) as c from f group by gpt_model, temperature)),
+s as (select * from (select *, row_number() over (partition by gpt_model, temperature
+                       order by md5('42' || '|' || cast(row_id as varchar)), row_id) as rn from f)
+      where rn <= (select n from n)),
+l as (select row_id, cast(generate_subscripts(answer, 1) - 1 as bigint) as pos, unnest(answer) as line
+      from s where len(answer) > 0
+      union all select row_id, null, null from s where len(answer) = 0)
+select row_id, pos, {fill(SQL_HEADINGS, 'line')}[1] as heading,
+       regexp_replace(line, '^\\d+\\.|[*]', '', 'g') as answer_cleaned from l""", "answers")
+
+
+@register("g3_answers_long", G3_SQL)
+def g3_answers_long(spark, sf):
+    long = jobs.answers_long(C.answer_records(spark, sf))
+    return long.select("row_id", "pos", "heading", "answer_cleaned")
+
+
+@register("g4_discover_topics")
+def g4_discover_topics(spark, sf):
+    """Rows-only: density topics on the vectors, keywords from the texts."""
+    checkpoint_dir(spark)
+    td = C.topic_docs(spark, sf).drop("topic", "probability").withColumnRenamed("title_abstract", "text")
+    out = jobs.discover_topics(td, 0.35, 10, tile_rows=128)
+    return out["topics"].select("Topic", "Count", "Name")
+
+
+@register("g5_summarise_topics")
+def g5_summarise_topics(spark, sf):
+    """Rows-only: W4 -> L3 -> L4 -> L5 on the given topics."""
+    d = C.topic_docs(spark, sf).withColumnRenamed("title_abstract", "text")
+    kw = topics.top_keywords(topics.ctfidf(topics.topic_term_counts(d)), 10)
+    s = jobs.summarise_topics(d, kw)
+    return s.select("topic", "topic_name", F.size("representative_docs").alias("n_docs"))
+
+
+@register("g6_topic_bar_counts", V("""
+with n as (select topic, 'name ' || cast(topic as varchar) as topic_name from topic_docs where topic % 2 = 0
+           group by topic)
+select c.topic, c.count, n.topic_name from (select topic, count(*) as count from topic_docs where topic <> -1
+  group by topic) c join n using (topic)""", "topic_docs"))
+def g6_topic_bar_counts(spark, sf):
+    td = C.topic_docs(spark, sf)
+    names = (td.filter(F.col("topic") % 2 == 0).select("topic").distinct()
+             .withColumn("topic_name", F.concat(F.lit("name "), F.col("topic").cast("string"))))
+    return jobs.topic_bar_counts(td, names)
+
+
+@register("g7_recluster_topic")
+def g7_recluster_topic(spark, sf):
+    """Rows-only: topic 2 re-split by zero-shot to two user topics, rest clustered."""
+    checkpoint_dir(spark)
+    td = C.topic_docs(spark, sf).withColumnRenamed("title_abstract", "text")
+    user = topics.centroids(filters.select_topic(td, 2), "topic", "embedding").select(
+        F.lit(0).alias("topic"), "centroid").unionByName(
+        topics.centroids(filters.select_topic(td, 4), "topic", "embedding").select(F.lit(1).alias("topic"), "centroid"))
+    out = jobs.recluster_topic(td, 2, user, 0.3, 0.35, 5)
+    return out.select("row_id", "topic")
+
+
+@register("g8_corpus_overlap")
+def g8_corpus_overlap(spark, sf):
+    """Rows-only: for each topic's first representative answer, the 3 most similar abstracts."""
+    td = C.topic_docs(spark, sf).withColumnRenamed("embedding", "embeddings")
+    cands = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("embeddings"))
+    return jobs.corpus_overlap(cands, td, 3)
+
+
+G9_SQL = V("""
+select gpt_model, temperature, heading, count, rank,
+       heading || ', (' || gpt_model || ', ' || cast(temperature as varchar) || ')' as label from (
+  select *, cast(row_number() over (partition by gpt_model, temperature order by count desc, heading) as bigint) as rank
+  from (select gpt_model, temperature, heading, count(*) as count from (
+          select gpt_model, temperature, """ + fill(SQL_HEADINGS, 'line') + """[1] as heading from answer_lines)
+        where heading is not null group by all))
+where rank <= 5""", "answer_lines")
+
+
+@register("g9_heading_report", G9_SQL)
+def g9_heading_report(spark, sf):
+    return jobs.heading_report(C.answer_lines(spark, sf))["top_per_group"]
+
+
+@register("g10_temperature_table")
+def g10_temperature_table(spark, sf):
+    """Rows-only: plot rows of one model at chosen temperatures."""
+    a = C.answers(spark, sf)
+    return jobs.temperature_table(a, "model-a", [0.0, 0.5]).select("row_id", "gpt_model", "temperature")

@@ -1 +1,274 @@
-"""Registered queries (placeholder)."""
+"""Registered queries: embedding, topic modelling and model-response tables
+(M5, T1-T17, L1-L5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from themeloom.operators import embed as em
+from themeloom.operators import filters, ranking, responses, topics
+from themeloom.plans.fixture_sql import with_views as V
+from themeloom.plans.registry import register
+from themeloom.session import checkpoint_dir
+from themeloom.sources import corpora as C
+
+THRESHOLD, MIN_SIZE = 0.35, 10
+
+STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in topics.ENGLISH_STOP_WORDS) + "]"
+
+CTFIDF_SQL = f"""
+docs as (select topic, title_abstract as text from topic_docs),
+w as (select topic, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                lambda x: not list_contains({STOP_SQL}, x)) as w from docs),
+terms as (select topic, unnest(w) as term from w
+          union all
+          select topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term
+          from w where len(w) >= 2),
+tf as (select topic, term, count(*) as tf from terms group by all),
+nt as (select count(distinct topic) as n from docs),
+keep as (select term from tf group by term having count(*) >= 2 and count(*) <= 0.9 * (select n from nt)),
+c as (select tf.* from tf join keep using (term)),
+pt as (select topic, sum(tf) as tot from c group by topic),
+ft as (select term, sum(tf) as f from c group by term),
+av as (select floor(avg(tot)) as a from pt),
+wt as (select c.topic, c.term, c.tf, c.tf / pt.tot * ln(1 + av.a / ft.f) as weight
+       from c join pt using (topic) join ft using (term), av),
+kw as (select topic, term, weight,
+              cast(row_number() over (partition by topic order by weight desc, term) as bigint) as rank from wt)"""
+
+
+def _docs(spark, sf):
+    return C.topic_docs(spark, sf).withColumnRenamed("title_abstract", "text")
+
+
+def _weights(spark, sf):
+    return topics.ctfidf(topics.topic_term_counts(_docs(spark, sf)))
+
+
+# ---------------------------------------------------------------- M5
+@register("m5_embed")
+def m5_embed(spark, sf):
+    """Rows-only: default offline encoder, 384-d unit vectors, batches of 10."""
+    d = C.table(spark, sf, "documents").select("doc_id", "text")
+    e = em.embed(d, "text", "embedding", dim=384, batch_size=10)
+    return e.select("doc_id", F.size("embedding").alias("dim"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+
+
+# ---------------------------------------------------------------- T1-T3
+@register("t1_reduce_dimensions")
+def t1_reduce_dimensions(spark, sf):
+    """Rows-only: PCA on unit vectors, k clamped to min(k, n-2, width)."""
+    e = C.table(spark, sf, "embeddings")
+    red, _ = topics.reduce_dimensions(e, 50, "embedding", "reduced")
+    return red.select("vec_id", F.size("reduced").alias("k"))
+
+
+T2_SQL = f"""
+with recursive e as (
+  select a.vec_id as s, b.vec_id as d from embeddings a join embeddings b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= {THRESHOLD}),
+r(id, c) as (select vec_id, vec_id from embeddings union select e.d, r.c from r join e on r.id = e.s),
+comp as (select id, min(c) as label from r group by id),
+sz as (select label, count(*) as size from comp group by label),
+num as (select label, cast(row_number() over (order by size desc, label) - 1 as integer) as topic
+        from sz where size >= {MIN_SIZE})
+select comp.id as row_id, coalesce(num.topic, -1) as topic from comp left join num using (label)"""
+
+
+@register("t2_density_clusters", T2_SQL)
+def t2_density_clusters(spark, sf):
+    checkpoint_dir(spark)
+    e = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    assign, _ = topics.density_clusters(e, THRESHOLD, MIN_SIZE, "row_id", "embedding", tile_rows=128)
+    return assign
+
+
+@register("t3_membership_probability")
+def t3_membership_probability(spark, sf):
+    """Rows-only: probability per document in [0, 1], plus the vector form."""
+    checkpoint_dir(spark)
+    e = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    assign, edges = topics.density_clusters(e, THRESHOLD, MIN_SIZE, "row_id", "embedding", tile_rows=128)
+    p = topics.membership_probability(assign, edges)
+    v = topics.probability_vectors(assign, edges)
+    return p.join(v, "row_id").select("row_id", "topic", "probability", F.array_max("probabilities").alias("max_p"))
+
+
+# ---------------------------------------------------------------- T4-T7, T10
+@register("t4_topic_vocabulary", V(f"with {CTFIDF_SQL}\nselect topic, term, tf from c", "topic_docs"))
+def t4_topic_vocabulary(spark, sf):
+    return topics.topic_term_counts(_docs(spark, sf)).select("topic", "term", "tf")
+
+
+@register("t5_ctfidf", V(f"with {CTFIDF_SQL}\nselect topic, term, round(weight, 6) as weight from wt", "topic_docs"))
+def t5_ctfidf(spark, sf):
+    return _weights(spark, sf).select("topic", "term", F.round("weight", 6).alias("weight"))
+
+
+@register("t6_top_keywords", V(f"with {CTFIDF_SQL}\nselect topic, term, rank from kw where rank <= 10", "topic_docs"))
+def t6_top_keywords(spark, sf):
+    return topics.top_keywords(_weights(spark, sf), 10).select("topic", "term", "rank")
+
+
+@register("t7_topic_names", V(f"""with {CTFIDF_SQL}
+select topic, cast(topic as varchar) || '_' || string_agg(term, '_' order by rank) as "Name"
+from kw where rank <= 4 group by topic""", "topic_docs"))
+def t7_topic_names(spark, sf):
+    return topics.topic_names(topics.top_keywords(_weights(spark, sf), 10), 4).select("topic", "Name")
+
+
+@register("t10_representative_docs")
+def t10_representative_docs(spark, sf):
+    """Rows-only: 3 documents per topic nearest to the topic's c-TF-IDF vector."""
+    d = _docs(spark, sf)
+    return topics.representative_docs(d, _weights(spark, sf), 3)
+
+
+# ---------------------------------------------------------------- T11-T13
+@register("t11_reduce_topics")
+def t11_reduce_topics(spark, sf):
+    """Rows-only: merge the 9 topics of topic_docs down to 4, relabel the documents."""
+    td = C.topic_docs(spark, sf)
+    mapping = topics.reduce_topics(td.select("row_id", "topic"), td.select("row_id", "embedding"), 4)
+    return td.join(mapping, td.topic == mapping.old_topic).select("row_id", "old_topic", mapping.topic)
+
+
+CENT_SQL = """
+p as (select topic, cast(generate_subscripts(embedding, 1) as bigint) as i, cast(unnest(embedding) as double) as v
+      from topic_docs where topic <> -1),
+cent as (select topic, list(v order by i) as centroid from (select topic, i, avg(v) as v from p group by all)
+         group by topic)"""
+
+
+@register("t12_assign_nearest_centroid", V(f"""with {CENT_SQL},
+s as (select e.vec_id, c.topic, list_cosine_similarity(cast(e.embedding as double[]), c.centroid) as sim
+      from embeddings e, cent c),
+b as (select vec_id, topic, sim, row_number() over (partition by vec_id order by sim desc, topic) as rn from s)
+select vec_id as row_id, case when sim >= 0.2 then topic else -1 end as topic, round(sim, 6) as similarity
+from b where rn = 1""", "topic_docs"))
+def t12_assign_nearest_centroid(spark, sf):
+    td = filters.drop_noise(C.topic_docs(spark, sf))
+    cent = topics.centroids(td, "topic", "embedding")
+    docs = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    a = topics.nearest_centroid(docs, cent, 0.2)
+    return a.select("row_id", "topic", F.round("similarity", 6).alias("similarity"))
+
+
+@register("t13_zero_shot_assignment", V(f"""with {CENT_SQL},
+s as (select e.vec_id, c.topic, list_cosine_similarity(cast(e.embedding as double[]), c.centroid) as sim
+      from embeddings e, cent c where c.topic in (0, 2, 4)),
+b as (select vec_id, topic, sim, row_number() over (partition by vec_id order by sim desc, topic) as rn from s)
+select vec_id as row_id, topic, round(sim, 6) as similarity from b where rn = 1 and sim >= 0.25""", "topic_docs"))
+def t13_zero_shot_assignment(spark, sf):
+    """Exact for the assignment part: user topics are given as vectors (here
+    three topic centroids); documents at >= 0.25 take the best one."""
+    td = filters.drop_noise(C.topic_docs(spark, sf))
+    cent = topics.centroids(td, "topic", "embedding").filter(F.col("topic").isin(0, 2, 4))
+    docs = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    assigned, _rest = topics.zero_shot(docs, cent, 0.25)
+    return assigned.select("row_id", "topic", F.round("similarity", 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- T14-T17
+@register("t14_project_2d")
+def t14_project_2d(spark, sf):
+    """Rows-only: 2-D PCA coordinates with fixed axis signs."""
+    td = C.topic_docs(spark, sf)
+    return topics.project_2d(td).select("row_id", "topic", "x", "y")
+
+
+@register("t15_plot_table")
+def t15_plot_table(spark, sf):
+    """Rows-only: coordinates + topic + name + text + metadata + summary, nested columns dropped."""
+    from themeloom.plans import jobs
+    return jobs.plot_table(C.topic_docs(spark, sf), text_col="title_abstract")
+
+
+@register("t16_convex_hulls")
+def t16_convex_hulls(spark, sf):
+    """Rows-only: closed hull ring per answer model over 2-D coordinates."""
+    td = C.topic_docs(spark, sf)
+    xy = topics.project_2d(td).withColumn("group", F.concat(F.lit("g"), (F.col("row_id") % 4).cast("string")))
+    return topics.convex_hulls(xy, "group")
+
+
+@register("t17_save_load_topics")
+def t17_save_load_topics(spark, sf):
+    """Rows-only: fitted topics written as Parquet tables and read back."""
+    import uuid
+    root = checkpoint_dir(spark).rstrip("/") + f"/topic-model-{uuid.uuid4().hex}"
+    w = _weights(spark, sf)
+    kw = topics.top_keywords(w, 10)
+    names = topics.topic_names(kw)
+    cent = topics.centroids(C.topic_docs(spark, sf), "topic", "embedding")
+    topics.save_topic_model(root, names, w, cent)
+    m = topics.load_topic_model(spark, root)
+    return m["topics"].join(m["centroids"], "topic").select("topic", "Name", F.size("centroid").alias("width"))
+
+
+# ---------------------------------------------------------------- L1-L5
+@register("l1_request_table", V("""
+with g as (select distinct gpt_model, temperature from answers where system_message is not null),
+grid as (select gpt_model, temperature, cast(unnest(range(0, 50)) as bigint) as sample from g),
+done as (select gpt_model, temperature,
+           cast(row_number() over (partition by gpt_model, temperature order by row_id) - 1 as bigint) as sample
+         from answers where system_message is not null)
+select gpt_model, temperature, sample, 'be helpful' as system_message, 'what are the themes?' as research_question
+from grid anti join done using (gpt_model, temperature, sample)""", "answers"))
+def l1_request_table(spark, sf):
+    from pyspark.sql import Window
+    a = filters.known_system_message(C.answers(spark, sf))
+    w = Window.partitionBy("gpt_model", "temperature").orderBy("row_id")
+    done = a.select("gpt_model", "temperature", (F.row_number().over(w) - 1).cast("bigint").alias("sample"))
+    return responses.request_table(a.select("gpt_model", "temperature").distinct(), 50, "be helpful",
+                                   "what are the themes?", done)
+
+
+@register("l2_response_records")
+def l2_response_records(spark, sf):
+    """Rows-only: answer texts to stored records (lines, time, model, ...)."""
+    a = C.answers(spark, sf).withColumns({"research_question": F.lit("what are the themes?")})
+    return responses.response_records(a.withColumnRenamed("text", "answer_text")).drop("datetime")
+
+
+@register("l3_summary_requests", V(f"""with {CTFIDF_SQL},
+top as (select * from (
+  select *, row_number() over (partition by topic order by
+      (case when n1 >= 5 then cast(total_cites as double) else probability end) desc nulls last, row_id) as rank
+  from (select d.*, f.n1 from topic_docs d join
+        (select topic, sum(case when probability = 1.0 then 1 else 0 end) as n1 from topic_docs where topic <> -1
+         group by topic) f on d.topic = f.topic)
+  where n1 < 5 or probability = 1.0) where rank <= 5),
+texts as (select topic, string_agg(title_abstract, chr(10) order by rank) as texts from top group by topic),
+kws as (select topic, string_agg(term, ', ' order by rank) as keywords from kw where rank <= 10 group by topic)
+select t.topic, md5(t.texts) as texts_md5, coalesce(k.keywords, '') as keywords from texts t left join kws k using (topic)
+""", "topic_docs"))
+def l3_summary_requests(spark, sf):
+    d = _docs(spark, sf)
+    kw = topics.top_keywords(_weights(spark, sf), 10)
+    r = responses.summary_requests(d, kw, 5)
+    return r.select("topic", F.md5("texts").alias("texts_md5"), F.array_join("keywords", ", ").alias("keywords"))
+
+
+@register("l4_complete")
+def l4_complete(spark, sf):
+    """Rows-only: the built-in extractive completer over the summary requests."""
+    d = _docs(spark, sf)
+    kw = topics.top_keywords(_weights(spark, sf), 10)
+    done = responses.complete(responses.summary_requests(d, kw, 5))
+    return done.select("topic", F.col("`Name:`").alias("name"), F.col("`Description:`").alias("description"))
+
+
+@register("l5_flatten_summaries")
+def l5_flatten_summaries(spark, sf):
+    """Rows-only: summaries map -> five snake-cased columns, integer topic."""
+    d = _docs(spark, sf)
+    kw = topics.top_keywords(_weights(spark, sf), 10)
+    done = responses.complete(responses.summary_requests(d, kw, 5))
+    flat = responses.flatten_summaries(responses.summaries_map(done))
+    return flat.select("topic", "topic_name", F.size("representative_docs").alias("n_docs"),
+                       F.array_join("topic_keywords", ", ").alias("topic_keywords"))
+
+
+_ = ranking
