@@ -56,9 +56,9 @@ def bm25_scores(df: DataFrame, question: str, text_col: str = "title_abstract",
     # vocabulary document frequency (one shuffle, partial aggregation)
     vocab = (corpus.select(F.explode(F.array_distinct("_tok")).alias("term"))
              .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    stats = corpus.agg(F.count(F.lit(1)).cast("double").alias("N"),
-                       F.avg(F.size("_tok")).alias("avgdl"))
-    n_docs = stats.select("N").scalar()
+    stats = corpus.agg(F.struct(F.count(F.lit(1)).cast("double").alias("N"),
+                                F.avg(F.size("_tok")).alias("avgdl"))).scalar()
+    n_docs = stats["N"]
     idf = F.ln(n_docs - F.col("n_t") + 0.5) - F.ln(F.col("n_t") + 0.5)
     summary = vocab.agg(
         F.avg(idf).alias("mean_idf"),
@@ -66,7 +66,7 @@ def bm25_scores(df: DataFrame, question: str, text_col: str = "title_abstract",
             F.when(F.col("term").isin(*qset), F.struct(F.col("term"), idf.alias("idf"))))).alias("q_idf"),
     )
     s = summary.select(F.struct("mean_idf", "q_idf")).scalar()
-    avgdl = stats.select("avgdl").scalar()
+    avgdl = stats["avgdl"]
 
     dl = F.size("_tok").cast("double")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.operators import dedupe, embed, filters, ranking, responses, retrieval, similarity, stats, topics
+from themeloom.session import cut_lineage
 from themeloom.sources import corpora
 
 
@@ -31,10 +32,17 @@ def works_filtered(works: DataFrame, relevance_threshold: float = 10) -> DataFra
 
 
 def works_ranked(works: DataFrame, question: str, relevance_threshold: float = 10, top_k: int = 1000,
-                 with_embeddings: bool = False, encoder=None) -> DataFrame:
+                 with_embeddings: bool = False, encoder=None, persist: bool = True) -> DataFrame:
     """G1: filtered works ranked by BM25 against ``question`` (M3), optionally
-    embedded (M5). Nested columns are dropped from the output."""
+    embedded (M5). Nested columns are dropped from the output.
+
+    With ``persist`` the filtered stage is checkpointed (reliably, into
+    ``spark.checkpoint.dir``) before ranking: BM25 reads its corpus several
+    times (vocabulary, corpus statistics, scores), and the stage output is
+    what the reference stores between its steps anyway (S13)."""
     w = works_filtered(works, relevance_threshold)
+    if persist:
+        w = cut_lineage(filters.drop_nested(w, ["biblio", "ids", "primary_location", "primary_topic", "authorships"]))
     ranked = retrieval.bm25_filter(w, question, top_k, "title_abstract", "ordinal")
     ranked = filters.drop_nested(ranked)
     if with_embeddings:

@@ -31,13 +31,7 @@ def _first_line(text: Column) -> Column:
 # works
 # ---------------------------------------------------------------------------
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat works: exact-copy documents share a doi, equal first lines a title.
-
-    ``ordinal`` doc_id; ``doi`` 'doi:' + md5(text); ``title`` first line;
-    ``abstract`` the rest (null when empty); ``relevance_score`` n_chars/100;
-    ``cited_by_count`` doc_id % 97; ``is_retracted`` toxic label.
-    """
+def _works_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     title = _first_line(F.col("text"))
@@ -47,29 +41,40 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("doc_id").alias("ordinal"),
             F.concat(F.lit("doi:"), F.md5("text")).alias("doi"),
             title.alias("title"),
-            F.nullif(F.expr("substr(text, length(split_part(text, '\n', 1)) + 2)"), F.lit("")).alias("abstract"),
+            F.nullif(F.expr("substr(text, length(split_part(text, '\\n', 1)) + 2)"), F.lit("")).alias("abstract"),
             (F.col("n_chars").cast("double") / 100).alias("relevance_score"),
             (F.col("doc_id") % 97).alias("cited_by_count"),
             (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("is_retracted"),
-            F.col("source").alias("journal"),
+            F.col("source"),
             F.col("lang"),
         )
     )
 
 
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat works: exact-copy documents share a doi, equal first lines a title.
+
+    ``ordinal`` doc_id; ``doi`` 'doi:' + md5(text); ``title`` first line;
+    ``abstract`` the rest (null when empty); ``relevance_score`` n_chars/100;
+    ``cited_by_count`` doc_id % 97; ``is_retracted`` toxic label.
+    """
+    b = _works_base(spark, sf_dir)
+    return b.select(*[c for c in b.columns if c not in ("source", "lang")],
+                    F.col("source").alias("journal"), "lang")
+
+
 def works_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works as the API returns them: bibliographic fields inside structs.
 
     ``biblio``, ``ids``, ``primary_location.source``, ``primary_topic`` and an
     ``authorships`` array stand in for the nested record columns; F11 unnests
-    them, F12 drops them.
+    them, F12 drops them. One scan of ``documents`` (plus the label join).
     """
-    w = works(spark, sf_dir).drop("journal")
-    d = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ordinal"), "source", F.col("lang").alias("_lang"))
+    b = _works_base(spark, sf_dir)
     o = F.col("ordinal")
-    return w.join(d, "ordinal").select(
-        *[c for c in w.columns],
+    flat = [c for c in b.columns if c != "source"]
+    return b.select(
+        *flat,
         F.struct(
             (o % 50).cast("string").alias("volume"),
             F.when(o % 13 == 0, F.lit(None)).otherwise((o % 12).cast("string")).alias("issue"),
@@ -82,12 +87,12 @@ def works_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("ids"),
         F.struct(F.struct(
             F.col("source").alias("display_name"),
-            F.concat(F.lit("pub "), F.col("_lang")).alias("host_organization_name"),
+            F.concat(F.lit("pub "), F.col("lang")).alias("host_organization_name"),
             F.concat(F.lit("issn-"), F.col("source")).alias("issn_l"),
         ).alias("source")).alias("primary_location"),
         F.struct(
             F.concat(F.lit("T"), (o % 10).cast("string")).alias("id"),
-            F.concat(F.col("_lang"), F.lit(" topic")).alias("display_name"),
+            F.concat(F.col("lang"), F.lit(" topic")).alias("display_name"),
         ).alias("primary_topic"),
         F.array(F.struct(F.concat(F.lit("A"), (o % 31).cast("string")).alias("author"))).alias("authorships"),
     )
