@@ -79,3 +79,21 @@ def test_funnel_one_pass(spark):
     df = spark.range(10).withColumn("x", F.col("id") % 3)
     r = stats.funnel(df, [("ge1", F.col("x") >= 1), ("eq2", F.col("x") == 2)]).first()
     assert (r.input, r.ge1, r.eq2) == (10, 6, 3)
+
+
+def test_answers_stream_roundtrip(spark, tmp_path):
+    import json
+
+    from themeloom.streaming import answers as st
+
+    src = tmp_path / "in"
+    src.mkdir()
+    recs = [{"answer": ["1. **A**: x", "2. **B b**: y", "Overall fine"], "datetime": "2024-01-01T00:00:00",
+             "gpt_model": "m", "temperature": 0.5, "research_question": "q", "system_message": "s"}]
+    (src / "part1.jsonl").write_text("\n".join(json.dumps(r) for r in recs) + "\n")
+    lines = st.answer_lines_stream(st.answer_records_stream(spark, str(src)))
+    q = st.start_append(lines, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
+    assert [r.heading for r in got] == ["a", "b b", None]
+    assert got[0].answer_cleaned == " A: x"

@@ -54,7 +54,10 @@ def bm25_scores(df: DataFrame, question: str, text_col: str = "title_abstract",
     corpus = df.select(toks.alias("_tok"))
 
     # vocabulary document frequency (one shuffle, partial aggregation)
-    vocab = (corpus.select(F.explode(F.array_distinct("_tok")).alias("term"))
+    # explode_outer: a plain explode would add an inferred size() filter that
+    # tokenises every document a second time
+    vocab = (corpus.select(F.explode_outer(F.array_distinct("_tok")).alias("term"))
+             .filter(F.col("term").isNotNull())
              .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     stats = corpus.agg(F.struct(F.count(F.lit(1)).cast("double").alias("N"),
                                 F.avg(F.size("_tok")).alias("avgdl"))).scalar()

@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, NGram, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -212,33 +212,27 @@ def probability_vectors(assign: DataFrame, edges: DataFrame, id_col: str = "row_
 # Vocabulary, c-TF-IDF, keywords, names
 # ---------------------------------------------------------------------------
 
-def _ngram_at(words: Column, n: int):
-    def gram(i: Column) -> Column:
-        return F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(n)])
-    return gram
-
-
 def with_doc_terms(df: DataFrame, text_col: str, ngram_range=(1, 2), stop_words=None,
                    out: str = "_terms") -> DataFrame:
     """Add the terms of each document: lower-cased words (2+ letters or
     digits), stop words removed, then n-grams of the remaining words joined by
-    a space. Per row, no shuffle; the word list is materialised once as a
-    column so the n-gram step indexes it instead of re-extracting it."""
+    a space. Per row, no shuffle: a regex extraction plus the JVM
+    ``StopWordsRemover`` and ``NGram`` transformers."""
     stop = ENGLISH_STOP_WORDS if stop_words is None else stop_words
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0)
-    d = df.withColumn("_words", words)
+    d = df.withColumn("_words", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0))
     if stop:
-        d = d.withColumn("_words", F.filter("_words", lambda w: ~w.isin(*stop)))
-    w = F.col("_words")
+        d = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop)).transform(d)
+        d = d.drop("_words").withColumnRenamed("_kept", "_words")
     lo, hi = ngram_range
     parts = []
     for n in range(lo, hi + 1):
         if n == 1:
-            parts.append(w)
+            parts.append(F.col("_words"))
             continue
-        idx = F.sequence(F.lit(1), F.size(w) - n + 1)
-        parts.append(F.when(F.size(w) >= n, F.transform(idx, _ngram_at(w, n))).otherwise(F.array().cast("array<string>")))
-    return d.withColumn(out, F.concat(*parts) if len(parts) > 1 else parts[0]).drop("_words")
+        d = NGram(n=n, inputCol="_words", outputCol=f"_g{n}").transform(d)
+        parts.append(F.col(f"_g{n}"))
+    d = d.withColumn(out, F.concat(*parts) if len(parts) > 1 else parts[0])
+    return d.drop("_words", *[f"_g{n}" for n in range(max(lo, 2), hi + 1)])
 
 
 def _explode_terms(df: DataFrame) -> DataFrame:
@@ -258,7 +252,9 @@ def topic_term_counts(docs: DataFrame, topic_col: str = "topic", text_col: str =
     n_topics``. The explode is combined per (topic, term) map-side."""
     t = with_doc_terms(docs.select(F.col(topic_col).alias("topic"), text_col), text_col, ngram_range, stop_words)
     t = _explode_terms(t.select("topic", "_terms"))
-    tf = t.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the (topic, term) table is read several times below and by c-TF-IDF;
+    # it is far smaller than the corpus, so it is computed once and checkpointed
+    tf = cut_lineage(t.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_topics = docs.select(topic_col).distinct().agg(F.count(F.lit(1))).scalar()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     keep = dfreq.filter((F.col("n_t") >= min_df) & (F.col("n_t") <= F.lit(max_df) * n_topics)).select("term")
