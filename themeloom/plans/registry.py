@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from themeloom.plans import q_relational, q_text, q_retrieval, q_topics, q_jobs  # noqa: F401
+    from themeloom.plans import q_relational, q_sources, q_text, q_retrieval, q_topics, q_jobs  # noqa: F401
