@@ -462,3 +462,68 @@ def clamp_components(k: int, n: int, width: int) -> int:
 
 
 _ = math  # keep the import for callers that size tiles
+
+
+# ---------------------------------------------------------------------------
+# Keyword refinement with an encoder
+# ---------------------------------------------------------------------------
+
+def _candidate_vectors(weights: DataFrame, reps: DataFrame, docs: DataFrame, n_candidates: int,
+                       id_col: str, text_col: str, encoder) -> tuple[DataFrame, DataFrame]:
+    """Candidate terms (the ``n_candidates`` best by c-TF-IDF) with their
+    embedding, and each topic's vector: the mean embedding of its
+    representative documents."""
+    from themeloom.operators import embed as em
+
+    cands = top_keywords(weights, n_candidates).select("topic", "term", "weight")
+    term_vecs = em.embed(cands, "term", "tvec", encoder=encoder)
+    rep_docs = reps.select("topic", F.col(id_col).alias("_id")).join(
+        docs.select(F.col(id_col).alias("_id"), text_col), "_id")
+    rep_vecs = em.embed(rep_docs, text_col, "dvec", encoder=encoder)
+    topic_vec = centroids(rep_vecs, "topic", "dvec", "topic_vec")
+    return term_vecs, topic_vec
+
+
+def similarity_keywords(weights: DataFrame, reps: DataFrame, docs: DataFrame, n: int = 10,
+                        n_candidates: int = 30, id_col: str = "row_id", text_col: str = "text",
+                        encoder=None) -> DataFrame:
+    """Candidate terms re-ranked by cosine similarity to the topic's
+    representative-document vector; ``(topic, term, similarity, rank)``."""
+    term_vecs, topic_vec = _candidate_vectors(weights, reps, docs, n_candidates, id_col, text_col, encoder)
+    s = term_vecs.join(topic_vec, "topic").withColumn("similarity", vx.cosine("tvec", "topic_vec"))
+    w = Window.partitionBy("topic").orderBy(F.col("similarity").desc(), F.col("term"))
+    return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+            .select("topic", "term", "similarity", F.col("rank").cast("bigint")))
+
+
+def diverse_keywords(weights: DataFrame, reps: DataFrame, docs: DataFrame, n: int = 10,
+                     diversity: float = 0.3, n_candidates: int = 30, id_col: str = "row_id",
+                     text_col: str = "text", encoder=None) -> DataFrame:
+    """Maximal marginal relevance over each topic's candidates (at most
+    ``n_candidates`` rows per group, so the greedy loop runs on a bounded
+    pandas frame): first the term closest to the topic vector, then the term
+    maximising ``(1 - diversity) * sim(term, topic) - diversity * max sim(term,
+    chosen)``."""
+    term_vecs, topic_vec = _candidate_vectors(weights, reps, docs, n_candidates, id_col, text_col, encoder)
+    j = term_vecs.join(topic_vec, "topic").select("topic", "term", "tvec", "topic_vec")
+    schema = T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("term", T.StringType()),
+                           T.StructField("rank", T.LongType())])
+
+    def mmr(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("term").reset_index(drop=True)
+        tv = similarity._unit(similarity._stack(pdf["tvec"]))
+        dv = similarity._unit(np.asarray(pdf["topic_vec"].iloc[0], dtype=float)[None, :])
+        to_doc = (tv @ dv.T)[:, 0]
+        between = tv @ tv.T
+        chosen = [int(np.argmax(to_doc))]
+        rest = [i for i in range(len(pdf)) if i != chosen[0]]
+        while rest and len(chosen) < n:
+            score = (1 - diversity) * to_doc[rest] - diversity * between[np.ix_(rest, chosen)].max(axis=1)
+            pick = rest[int(np.argmax(score))]
+            chosen.append(pick)
+            rest.remove(pick)
+        return pd.DataFrame({"topic": [int(pdf["topic"].iloc[0])] * len(chosen),
+                             "term": pdf["term"].iloc[chosen].tolist(),
+                             "rank": np.arange(1, len(chosen) + 1, dtype="int64")})
+
+    return j.withColumn("topic", F.col("topic").cast("int")).groupBy("topic").applyInPandas(mmr, schema)

@@ -272,3 +272,22 @@ def l5_flatten_summaries(spark, sf):
 
 
 _ = ranking
+
+
+@register("t8_similarity_keywords")
+def t8_similarity_keywords(spark, sf):
+    """Rows-only: c-TF-IDF candidates re-ranked by similarity to the topic's
+    representative documents (default offline encoder)."""
+    d = _docs(spark, sf)
+    w = _weights(spark, sf)
+    reps = topics.representative_docs(d, w, 3)
+    return topics.similarity_keywords(w, reps, d, 10, 30)
+
+
+@register("t9_diverse_keywords")
+def t9_diverse_keywords(spark, sf):
+    """Rows-only: maximal marginal relevance keywords (diversity 0.3)."""
+    d = _docs(spark, sf)
+    w = _weights(spark, sf)
+    reps = topics.representative_docs(d, w, 3)
+    return topics.diverse_keywords(w, reps, d, 10, 0.3, 30)
