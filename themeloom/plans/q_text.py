@@ -211,12 +211,14 @@ def x18_citation_band_na(spark, sf):
 
 
 @register("x19_keyword_list", """
-select doc_id, array_to_string(string_split(replace(split_part(text, chr(10), 1), ' ', ''), ','), '|') as keywords
+select doc_id, md5(array_to_string(string_split(replace(text, ' ', ''), ','), '|')) as keywords_md5,
+       cast(len(string_split(replace(text, ' ', ''), ',')) as bigint) as n_keywords
 from documents""")
 def x19_keyword_list(spark, sf):
     d = C.table(spark, sf, "documents")
-    kw = tx.keyword_list(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
-    return d.select("doc_id", F.array_join(kw, "|").alias("keywords"))
+    kw = tx.keyword_list(F.col("text"))
+    return d.select("doc_id", F.md5(F.array_join(kw, "|")).alias("keywords_md5"),
+                    F.size(kw).cast("bigint").alias("n_keywords"))
 
 
 @register("x20_heading_label", V(f"""
@@ -230,11 +232,10 @@ def x20_heading_label(spark, sf):
 
 @register("x21_parse_name_description")
 def x21_parse_name_description(spark, sf):
-    """Rows-only: every fifth response is cut short and must come back flagged."""
+    """Rows-only: every fifth response loses its closing brace and must come back flagged."""
     d = C.table(spark, sf, "documents")
-    js = F.to_json(F.struct(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("name"),
-                            F.col("lang").alias("description")))
-    resp = F.when(F.col("doc_id") % 5 == 0, F.substring(js, 1, 10)).otherwise(js)
+    js = F.to_json(F.struct(F.col("text").alias("name"), F.col("lang").alias("description")))
+    resp = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(js, "}$", "")).otherwise(js)
     p = tx.parse_name_description(resp)
     return d.select("doc_id", p["name"].alias("name"), p["description"].alias("description"),
                     (p.isNull() | p["name"].isNull()).alias("parse_failed"))
