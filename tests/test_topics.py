@@ -76,3 +76,12 @@ def test_ctfidf_weights(spark):
     w = {(r.topic, r.term): r.weight for r in topics.ctfidf(c).collect()}
     # A = floor(7 / 3) = 2; apple: f=3
     assert abs(w[(0, "apple")] - (2 / 3) * np.log(1 + 2 / 3)) < 1e-12
+
+
+def test_top_n_similar_small_candidate_side(spark):
+    df = planted(spark)
+    cands = df.filter(F.col("row_id") % 13 == 0)
+    a = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2, max_broadcast=10)
+    b = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2, max_broadcast=0, tile_rows=8)
+    key = lambda r: (r.query_id, r["rank"])
+    assert {key(r): r.row_id for r in a.collect()} == {key(r): r.row_id for r in b.collect()}

@@ -5,8 +5,11 @@ inside Arrow-batched pandas functions with a matrix product, and only the
 rows a caller asks for (the top ``n`` per query, or the pairs above a
 threshold) leave the task.
 
-Two physical shapes:
+Three physical shapes:
 
+* **broadcast candidates** -- when instead the candidate side is proven
+  small (centroids, user topics), it is shipped and the queries are scanned
+  where they lie; each query's top ``n`` is final without a merge.
 * **broadcast queries** -- when the query side is proven small (its row count
   is checked, reading at most ``max_broadcast + 1`` rows), its unit vectors are
   shipped once to every executor and the candidate side is scanned where it
@@ -76,6 +79,26 @@ def top_n_similar(queries: DataFrame, candidates: DataFrame, n: int = 3,
     c = candidates.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec).alias("_cv"))
 
     small = q.limit(max_broadcast + 1).count() <= max_broadcast
+    small_c = (not small) and c.limit(max_broadcast + 1).count() <= max_broadcast
+    if small_c:
+        # the candidate side (e.g. topic centroids) is proven small: ship it and
+        # scan the queries where they lie; each row's top n is final
+        cp = c.toPandas()
+        cm_all = _unit(_stack(cp["_cv"])) if len(cp) else np.zeros((0, 1))
+        bcc = spark.sparkContext.broadcast((cp[c_id].to_numpy(), cm_all))
+        ranked = T.StructType(list(out_schema.fields) + [T.StructField("rank", T.LongType())])
+
+        def scan_queries(batches):
+            ids, mat = bcc.value
+            for b in batches:
+                if len(b) == 0 or len(ids) == 0:
+                    continue
+                oq, oc, os_ = _local_top_n(b[q_id].to_numpy(), _unit(_stack(b["_qv"])), ids, mat, n)
+                out = pd.DataFrame({q_id: oq, c_id: oc, "similarity": os_})
+                out["rank"] = out.groupby(q_id).cumcount().astype("int64") + 1
+                yield out
+
+        return q.mapInPandas(scan_queries, ranked)
     if small:
         qp = q.toPandas()  # proven to hold at most max_broadcast rows
         qm = _unit(_stack(qp["_qv"])) if len(qp) else np.zeros((0, 1))
