@@ -163,8 +163,10 @@ def g9_heading_report(spark, sf):
     return jobs.heading_report(C.answer_lines(spark, sf))["top_per_group"]
 
 
-@register("g10_temperature_table")
+@register("g10_temperature_table", V("""
+select row_id, gpt_model, temperature from answers where gpt_model = 'model-a' and temperature in (0.0, 0.5)""",
+                                     "answers"))
 def g10_temperature_table(spark, sf):
-    """Rows-only: plot rows of one model at chosen temperatures."""
+    """Rows of one model at the chosen temperatures (F10 over the answer rows)."""
     a = C.answers(spark, sf)
     return jobs.temperature_table(a, "model-a", [0.0, 0.5]).select("row_id", "gpt_model", "temperature")
