@@ -350,17 +350,24 @@ def reduce_topics(assign: DataFrame, vectors: DataFrame, target: int, id_col: st
     m = np.stack([np.asarray(v, dtype=float) for v in pdf["centroid"]]) if len(pdf) else np.zeros((0, 1))
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     sim = m @ m.T
-    clusters = {t: [i] for i, t in enumerate(ids)}
-    while len(clusters) > max(target, 1):
-        keys = sorted(clusters)
-        best, pair = -np.inf, None
-        for i, x in enumerate(keys):
-            for y in keys[i + 1:]:
-                s = sim[np.ix_(clusters[x], clusters[y])].mean()
-                if s > best:
-                    best, pair = s, (x, y)
-        x, y = pair
-        clusters[x] = clusters[x] + clusters.pop(y)
+    # average linkage via the Lance-Williams update: a merged cluster's
+    # similarity to z is the member-count-weighted mean of its parts'
+    k = len(ids)
+    sim = sim.astype(float).copy()
+    np.fill_diagonal(sim, -np.inf)
+    members = {i: [i] for i in range(k)}
+    alive = k
+    while alive > max(target, 1):
+        x, y = np.unravel_index(int(np.argmax(sim)), sim.shape)
+        x, y = (int(x), int(y)) if x < y else (int(y), int(x))
+        nx, ny = len(members[x]), len(members[y])
+        row = (nx * sim[x] + ny * sim[y]) / (nx + ny)
+        sim[x, :], sim[:, x] = row, row
+        sim[x, x] = -np.inf
+        sim[y, :], sim[:, y] = -np.inf, -np.inf
+        members[x] += members.pop(y)
+        alive -= 1
+    clusters = {ids[c]: m for c, m in members.items()}
     # new ids by merged size, descending
     size = dict(zip(ids, pdf["n"].tolist()))
     order = sorted(clusters, key=lambda c: (-sum(size[ids[i]] for i in clusters[c]), c))
