@@ -85,3 +85,20 @@ def test_top_n_similar_small_candidate_side(spark):
     b = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2, max_broadcast=0, tile_rows=8)
     key = lambda r: (r.query_id, r["rank"])
     assert {key(r): r.row_id for r in a.collect()} == {key(r): r.row_id for r in b.collect()}
+
+
+def test_keyword_refinement_t8_t9(spark):
+    docs = spark.createDataFrame(
+        [(i, i % 2, t) for i, t in enumerate([
+            "apple banana cherry apple", "dog cat mouse dog", "apple cherry grape", "cat mouse horse",
+            "banana grape apple", "dog horse cat", "apple banana grape cherry", "mouse dog cat horse"])],
+        "row_id long, topic int, text string")
+    w = topics.ctfidf(topics.topic_term_counts(docs, ngram_range=(1, 1), min_df=1, max_df=1.0))
+    reps = topics.representative_docs(docs, w, 2, ngram_range=(1, 1))
+    t8 = topics.similarity_keywords(w, reps, docs, n=3, n_candidates=5).collect()
+    assert {r.topic for r in t8} == {0, 1} and all(r["rank"] <= 3 for r in t8)
+    t9 = topics.diverse_keywords(w, reps, docs, n=3, diversity=0.3, n_candidates=5).collect()
+    by_topic = {}
+    for r in t9:
+        by_topic.setdefault(r.topic, []).append(r.term)
+    assert all(len(v) == len(set(v)) <= 3 for v in by_topic.values())
