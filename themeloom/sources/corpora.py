@@ -83,7 +83,7 @@ def works_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("biblio"),
         F.struct(
             F.when(o % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("pm"), o.cast("string"))).alias("pmid"),
-            F.concat(F.lit("W"), o.cast("string")).alias("openalex"),
+            F.concat(F.lit("W"), o.cast("string")).alias("work_id"),
         ).alias("ids"),
         F.struct(F.struct(
             F.col("source").alias("display_name"),
