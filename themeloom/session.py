@@ -40,22 +40,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster a machine-local folder would be lost with its executor, so an unset
     setting is an error there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared (cluster-wide) folder")
+        # spark.checkpoint.dir is a core setting that cannot change at run time;
+        # a local session without it gets a folder of its own
         d = tempfile.mkdtemp(prefix="themeloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss).
+
+    The rows are persisted (memory, spilling to disk) while the checkpoint is
+    written, so the plan runs once instead of once for the job and once more
+    for the checkpoint writer; the persisted copy is released afterwards."""
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
