@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,28 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers (once per application).
+
+    Spark serves the archive to every executor, those that join later too, so
+    the package need not be installed on the workers.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    name = f"{root.name}-{sc.applicationId}.zip"
+    if any(x.endswith(name) for x in sc.listFiles):
+        return
+    made = Path(tempfile.mkdtemp(prefix=f"{root.name}-package-")) / name
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(made))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (iterative jobs).
 
@@ -68,8 +89,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than limit+1 rows."""
-    return df.limit(limit + 1).count() <= limit
