@@ -15,8 +15,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import line_dedup, token_counts
-from themeloom.llm.common import shared_folder
+from themeloom.llm import line_dedup, mixing, token_counts
+from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,50 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
             .select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
                     F.sha2("text", 256).alias("kept_sha256")))
+
+
+@query("op6_source_mix", r"""
+with d as (
+  select doc_id, source, coalesce(text, '') as t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
+  from documents
+), k as (
+  select doc_id, source, size,
+         -ln((('0x' || substr(md5('mix' || chr(10) || coalesce(doc_id::varchar, '') || chr(10) || t), 1, 13))::bigint
+              ::double + 0.5) / 4503599627370496.0)
+         / (1.0 / (1.0 + 20.0 * (strlen(t) - strlen(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) / greatest(size, 1)))
+         as key
+  from d
+), s as (
+  select source, sum(size)::bigint as source_size,
+         ([3.0, 1.0, 2.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w
+  from k group by source
+), f as (
+  select *, 2 * source_size as cap, sum(source_size) over () * 1.5::double as total from s
+), g as (
+  select *, cap / w <= (total - coalesce(sum(cap) over (order by cap / w, source nulls last
+                          rows between unbounded preceding and 1 preceding), 0))::double
+                     / sum(w) over (order by cap / w, source nulls last
+                          rows between current row and unbounded following) as capped
+  from f
+), h as (
+  select source, source_size,
+         case when capped then cap::double
+              else w * ((total - coalesce(sum(case when capped then cap end) over (), 0))::double
+                        / sum(case when not capped then w end) over ()) end as target
+  from g
+), e as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from h
+), r as (
+  select k.doc_id, k.size, e.source_size, e.target, e.epochs,
+         sum(k.size) over (partition by k.source order by k.key) - k.size / 2.0
+           <= e.target - e.epochs * e.source_size as once_more
+  from k join e on k.source is not distinct from e.source
+)
+select doc_id, size, source_size, target, (size * (epochs + once_more::int))::bigint as taken from r""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = stage(mixing.sized(docs).select("doc_id", "source", "__size", "__key"), "mix-sizes")
+    out = mixing.mixed(rows, mixing.mixing_plan(rows))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                      F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
