@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import line_dedup, mixing, token_counts
+from themeloom.llm import line_dedup, mixing, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -117,3 +117,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(rows, mixing.mixing_plan(rows))
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                       F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+
+
+@query("op3_warc_round_trip", """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+         sha256(coalesce(html, '')) as payload_digest
+  from pages
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from p
+)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+from f""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), archives)
+    return warc.restored_pages(warc.reassemble(warc.read_segments(spark, archives))).drop("error")
