@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import line_dedup, mixing, token_counts, warc
+from themeloom.llm import line_dedup, mixing, quality_rules, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -135,3 +135,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = shared_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), archives)
     return warc.restored_pages(warc.reassemble(warc.read_segments(spark, archives))).drop("error")
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stage(textstats.text_counts(table(spark, sf_dir, "documents")), "rule-counts")
+    model = quality_rules.fit_rules(counts, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(counts, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
