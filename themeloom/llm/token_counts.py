@@ -72,7 +72,9 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
              .dropDuplicates(["digest"]))
     (fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
      .write.mode("append").parquet(cache_path))
-    counts = _stored(spark, cache_path, version)
+    # written once more, so that the join reads both sides from files and Spark
+    # may split the tasks of a text with very many copies
+    counts = stage(_stored(spark, cache_path, version), "token-counts")
     return (keyed.join(counts, "digest")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
 

@@ -13,11 +13,16 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
+from itertools import islice
 
 import tokenizers
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise RuntimeError("ids are kept as little-endian 32-bit numbers")
 
 # The normalizer and the split pattern of the word-level vocabulary.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -46,8 +51,9 @@ def tokenizer_version(path: str) -> str:
 class TextEncoder:
     """``ids(texts)``: for each UTF-8 text its ids as little-endian uint32 bytes.
 
-    ``max_words`` bounds the memory of the word table (about 200 bytes each);
-    a full table is emptied, which costs time and changes no result.
+    ``max_words`` bounds the word table and the table of parts of words (about
+    200 bytes an entry). The words of full tables stay, being the frequent
+    ones; others are then encoded whenever they come, to the same ids.
     """
 
     def __init__(self, path: str, max_words: int = 400_000):
@@ -72,44 +78,51 @@ class TextEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in made]
+        return [array("I", e.ids).tobytes() for e in made]
 
     def _piece(self, piece: str) -> bytes:
+        """Ids of a lower-case piece that the pre-tokenizer does not split."""
         known = self.pieces.get(piece)
         if known is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            known = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown))
-            self.pieces[piece] = known
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            known = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            if len(self.pieces) < self.max_words:
+                self.pieces[piece] = known
         return known
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.max_words:
-            self.words = {}
-        if len(self.pieces) > self.max_words:
-            self.pieces = {}
-        hard = []
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, hard, piece = {}, [], self._piece
         for w in words:
-            s = w.decode("utf-8", "replace")
-            if PLAIN.match(s) and not any(t in s for t in self.special):
-                self.words[w] = b"".join(map(self._piece, PIECES.findall(s.lower())))
+            if w.isalpha():  # of bytes: A-Z and a-z only
+                out[w] = piece(w.lower().decode())
+            elif w[-1:] in (b",", b".") and w[:-1].isalpha():
+                out[w] = piece(w[:-1].lower().decode()) + piece(w[-1:].decode())
             else:
-                hard.append((w, s))
+                s = w.decode("utf-8", "replace")
+                if PLAIN.match(s) and not any(t in s for t in self.special):
+                    out[w] = b"".join(map(piece, PIECES.findall(s.lower())))
+                else:
+                    hard.append((w, s))
         for i in range(0, len(hard), 1000):
             part = hard[i:i + 1000]
-            self.words.update(zip((w for w, _ in part), self._encode([s for _, s in part])))
+            out.update(zip((w for w, _ in part), self._encode([s for _, s in part])))
+        room = self.max_words - len(self.words)
+        if room > 0:
+            self.words.update(islice(out.items(), room))
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t.decode("utf-8", "replace") for t in texts])
         split = [t.split() for t in texts]
         seen = set().union(*split)
-        if not seen <= self.words.keys():
-            unseen = seen - self.words.keys()
-            if len(self.words) + len(unseen) > self.max_words:
-                unseen = seen
-            self._learn(unseen)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        known = self.words
+        here = self._learn({w for w in seen if w not in known})
+        for w in seen:
+            if w not in here:
+                here[w] = known[w]
+        get = here.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
