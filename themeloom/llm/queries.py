@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import line_dedup, mixing, quality_rules, textstats, token_counts, warc
+from themeloom.llm import line_dedup, mixing, packing, quality_rules, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -143,3 +143,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_rules.fit_rules(counts, table(spark, sf_dir, "labels"))
     return quality_rules.judge(counts, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_retrieval_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, window=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
