@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import line_dedup, mixing, packing, quality_rules, textstats, token_counts, warc
+from themeloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -149,3 +149,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, window=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_ngram_jaccard")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
