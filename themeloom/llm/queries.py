@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules, textstats, token_counts, warc
+from themeloom.llm import hamming, line_dedup, mixing, ngram_join, packing, quality_rules, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -154,3 +154,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query("op9_hamming_top_k", """
+with c as (
+  select vec_id, list_aggregate(list_transform(embedding, lambda x: case when x >= 0 then '1' else '0' end),
+                                'string_agg', '') as code
+  from embeddings
+), d as (
+  select q.vec_id as query_id, v.vec_id, hamming(q.code, v.code)::int as distance
+  from c q cross join c v where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by distance, vec_id)::int as rank, vec_id, distance
+from d qualify rank <= 10""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.hamming_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=10, segments=4)
