@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import hamming, line_dedup, mixing, ngram_join, packing, quality_rules, textstats, token_counts, warc
+from themeloom.llm import hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -170,3 +170,13 @@ from d qualify rank <= 10""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hamming.hamming_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=10, segments=4)
+
+
+@query("op10_disclosure_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind_no"])
+    n = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}")
+         for i, k in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *n, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
