@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, textstats, token_counts, warc
+from themeloom.llm import hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, rule_ensemble, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -180,3 +180,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
          for i, k in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *n, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
                         pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_rule_ensemble")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = stage(textstats.text_counts(table(spark, sf_dir, "documents")), "rule-counts")
+    return rule_ensemble.scored(counts, rule_ensemble.fit_ensemble(counts, table(spark, sf_dir, "labels")))
