@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF0001
+from themeloom.plans import registry
 
 TABLES = "documents embeddings pages labels conversations".split()
-SKIP_SLOW = {"t2_density_clusters"}
 
 
 def norm(v):
@@ -27,7 +27,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SKIP_SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if n in registry.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF0001)
     cols = df.columns

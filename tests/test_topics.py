@@ -21,7 +21,7 @@ def planted(spark, n_per=20, noise=15, seed=3):
 
 def test_density_clusters_find_planted_groups(spark):
     df = planted(spark)
-    assign, edges = topics.density_clusters(df, 0.9, 10, tile_rows=16)
+    assign, edges = topics.density_clusters(df, 0.9, 10, block_rows=16)
     got = {r.row_id: r.topic for r in assign.collect()}
     for g in range(3):
         labels = {got[i] for i in range(g * 20, g * 20 + 20)}
@@ -30,7 +30,7 @@ def test_density_clusters_find_planted_groups(spark):
     sizes = assign.filter("topic != -1").groupBy("topic").count().collect()
     assert all(r["count"] >= 10 for r in sizes)
     # invariant to partitioning
-    a2, _ = topics.density_clusters(df.repartition(5), 0.9, 10, tile_rows=7)
+    a2, _ = topics.density_clusters(df.repartition(5), 0.9, 10, block_rows=7)
     assert {r.row_id: r.topic for r in a2.collect()} == got
     p = topics.membership_probability(assign, edges).collect()
     assert all(0.0 <= r.probability <= 1.0 for r in p)
@@ -47,7 +47,7 @@ def test_top_n_similar_paths_agree(spark):
     df = planted(spark)
     q = df.filter(F.col("row_id") % 9 == 0).select(F.col("row_id").alias("query_id"), "embedding")
     a = similarity.top_n_similar(q, df, n=4)
-    b = similarity.top_n_similar(q, df, n=4, max_broadcast=0, tile_rows=8)
+    b = similarity.top_n_similar(q, df, n=4, block_rows=8)
     key = lambda r: (r.query_id, r["rank"])
     ra = {key(r): (r.row_id, round(r.similarity, 9)) for r in a.collect()}
     rb = {key(r): (r.row_id, round(r.similarity, 9)) for r in b.collect()}
@@ -81,8 +81,8 @@ def test_ctfidf_weights(spark):
 def test_top_n_similar_small_candidate_side(spark):
     df = planted(spark)
     cands = df.filter(F.col("row_id") % 13 == 0)
-    a = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2, max_broadcast=10)
-    b = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2, max_broadcast=0, tile_rows=8)
+    a = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2)
+    b = similarity.top_n_similar(df.withColumnRenamed("row_id", "query_id"), cands, n=2, block_rows=8)
     key = lambda r: (r.query_id, r["rank"])
     assert {key(r): r.row_id for r in a.collect()} == {key(r): r.row_id for r in b.collect()}
 
@@ -102,3 +102,81 @@ def test_keyword_refinement_t8_t9(spark):
     for r in t9:
         by_topic.setdefault(r.topic, []).append(r.term)
     assert all(len(v) == len(set(v)) <= 3 for v in by_topic.values())
+
+
+def test_probability_vectors_with_one_topic(spark):
+    df = planted(spark, n_per=12, noise=4).filter("row_id < 12 or row_id >= 36")
+    assign, edges = topics.density_clusters(df, 0.9, 10)
+    assert {r.topic for r in assign.collect()} == {0, -1}
+    got = {r.row_id: r.probabilities for r in topics.probability_vectors(assign, edges).collect()}
+    assert all(len(v) == 1 for v in got.values()) and max(v[0] for v in got.values()) == 1.0
+
+
+def test_representative_docs_weigh_terms_by_count_and_idf(spark):
+    texts = ["apple apple banana", "banana cherry", "apple cherry cherry", "dog dog cat", "cat mouse apple"]
+    docs = spark.createDataFrame([(i, int(i > 2), t) for i, t in enumerate(texts)], "row_id long, topic int, text string")
+    w = topics.ctfidf(topics.topic_term_counts(docs, ngram_range=(1, 1), min_df=1, max_df=1.0))
+    weight = {(r.topic, r.term): r.weight for r in w.collect()}
+    idf = {r.term: r.idf for r in w.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        v = {x: t.split().count(x) * idf[x] for x in t.split()}
+        topic = {x: k for (g, x), k in weight.items() if g == int(i > 2)}
+        dot = sum(v[x] * topic[x] for x in v)
+        want[i] = dot / np.sqrt(sum(x * x for x in v.values())) / np.sqrt(sum(x * x for x in topic.values()))
+    got = {r.row_id: r.similarity for r in topics.representative_docs(docs, w, 3, ngram_range=(1, 1)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_jitter_belongs_to_the_row(spark):
+    from themeloom.functions import vectors as vx
+
+    df = spark.range(500).withColumn("x", F.lit(0.0))
+    draw = lambda d: {r.id: (r.a, r.b) for r in d.select(
+        "id", vx.gaussian_jitter("x", 1.0, 7, "id").alias("a"), vx.uniform_offset("x", 2.0, 3, "id").alias("b")).collect()}
+    one, other = draw(df.repartition(3)), draw(df.repartition(7, "id"))
+    assert one == other
+    a, b = np.array(list(one.values())).T
+    assert abs(a.mean()) < .2 and .85 < a.std() < 1.15 and abs(b).max() <= 1 and abs(b.mean()) < .15
+
+
+def test_components_of_a_long_chain(spark):
+    from themeloom.operators.components import connected_components
+
+    nodes = spark.range(400).withColumnRenamed("id", "id")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(299)], "src long, dst long")
+    got = {r.id: r.label for r in connected_components(nodes, edges).collect()}
+    assert got == {i: 0 if i < 300 else i for i in range(400)}
+
+
+def test_summaries_keep_documents_whole(spark, tmp_path):
+    from themeloom.operators import responses
+    from themeloom.sources import io
+
+    docs = spark.createDataFrame([(1, 0, 1.0, 'First "line.\nStill first. Second.'), (2, 0, .5, "b\nc"), (3, -1, .9, "noise")],
+                                 "row_id long, topic int, probability double, text string")
+    kw = spark.createDataFrame([(0, "k", 1), (0, "l", 2)], "topic int, term string, rank long")
+    done = responses.complete(responses.summary_requests(docs, kw, 5))
+    path = str(tmp_path / "summaries.json")
+    io.write_table(responses.summary_records(done), path)
+    row, = responses.flatten_summaries(io.read_table(spark, path)).collect()
+    assert row.representative_docs == ['First "line.\nStill first. Second.', "b\nc"]
+    assert (row.topic, row.topic_name, row.topic_description) == (0, "k l", 'First "line.')
+
+
+def test_python_operators_run_from_another_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from themeloom.session import build_session
+from themeloom.operators import embed
+s = build_session("local[2]", 2)
+print("ROWS", embed.embed(s.createDataFrame([("a b",), ("c",)], "t string"), "t", dim=16).collect()[0].embedding is not None)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "ROWS True" in out.stdout, out.stderr[-2000:]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,19 @@ def cosine(a, b) -> Column:
     return F.when(den > 0, dot(a, b) / den)
 
 
-def gaussian_jitter(c, sigma: float, seed: int) -> Column:
-    """``x + sigma * N(0, 1)``, seeded per partition layout."""
-    return _c(c) + F.lit(sigma) * F.randn(seed)
+def _uniform(row_id, seed: int, part: int) -> Column:
+    """A number in (0, 1) from 12 hexadecimal digits of the MD5 of seed and row id."""
+    h = F.md5(F.concat(F.lit(f"{seed}|"), _c(row_id).cast("string")))
+    return (F.conv(F.substring(h, 1 + 12 * part, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def gaussian_jitter(c, sigma: float, seed: int, row_id) -> Column:
+    """``x + sigma * N(0, 1)`` (Box-Muller). The draw belongs to the row
+    id, so it does not depend on how rows are partitioned."""
+    u, v = _uniform(row_id, seed, 0), _uniform(row_id, seed, 1)
+    return _c(c) + F.lit(sigma) * F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
 
-def uniform_offset(c, width: float, seed: int) -> Column:
-    """``x + U(-width/2, width/2)``."""
-    return _c(c) + (F.rand(seed) - F.lit(0.5)) * F.lit(width)
+def uniform_offset(c, width: float, seed: int, row_id) -> Column:
+    """``x + U(-width/2, width/2)``, drawn by row id."""
+    return _c(c) + (_uniform(row_id, seed, 0) - F.lit(0.5)) * F.lit(width)

@@ -19,13 +19,15 @@ from themeloom.functions import text as tx
 from themeloom.operators import filters, joins, ranking, stats
 from themeloom.sources.io import SUMMARY_RECORD
 
-# Fixed text of the summary request (the documents, then the keywords).
-SUMMARY_TEMPLATE = (
-    "I have clustered some documents and pulled out the most representative documents for each cluster. "
-    "Based on the documents given, and a list of keywords that are prominent in the cluster, please "
-    "(a) give the cluster a name and (b) write a brief description of the cluster.\n\n"
-    "DOCUMENTS:\n%s\n\nKEYWORDS:\n%s\n"
-)
+# The default summary request: its two places take the texts and the keywords.
+SUMMARY_TEMPLATE = """Below are sample texts that belong to one theme, then terms that are typical of it.
+Answer with a short title for the theme and one paragraph on what its texts have in common.
+
+Texts:
+%s
+
+Typical terms: %s
+"""
 
 
 def request_table(groups: DataFrame, n_samples: int, system_message: str, question: str,
@@ -48,31 +50,32 @@ def response_records(df: DataFrame, answer_col: str = "answer_text") -> DataFram
 
 def summary_requests(docs: DataFrame, keywords: DataFrame, n_docs: int = 5, text_col: str = "text",
                      topic_col: str = "topic", id_col: str = "row_id", cites_col: str | None = None,
-                     prob_col: str = "probability") -> DataFrame:
-    """L3: one request per topic (noise skipped): the top ``n_docs`` texts
-    (W4) joined by newlines and the topic's keywords joined by ", "."""
+                     prob_col: str = "probability", template: str = SUMMARY_TEMPLATE) -> DataFrame:
+    """L3: one request per topic (noise skipped): the top ``n_docs`` texts
+    as ``docs`` in rank order, joined by newlines as ``texts``, and the topic's
+    keywords joined by ", " in the ``template``."""
     top = ranking.top_docs_per_topic(docs, n_docs, topic_col, prob_col, cites_col, id_col)
-    texts = stats.join_ranked_texts(top, topic_col, "rank", text_col, "\n", "texts")
+    ranked = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), F.coalesce(text_col, F.lit("")).alias("t"))))
+    texts = (top.groupBy(topic_col).agg(F.transform(ranked, lambda x: x["t"]).alias("docs"))
+             .withColumn("texts", F.array_join("docs", "\n")))
     kw = keywords.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_k"))
     kw = kw.select(F.col("topic").alias(topic_col), F.transform("_k", lambda x: x["term"]).alias("keywords"))
     j = texts.join(kw, topic_col, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-    return j.select(topic_col, "texts", "keywords",
-                    F.format_string(SUMMARY_TEMPLATE, F.col("texts"), F.array_join("keywords", ", ")).alias("prompt"))
+    return j.select(topic_col, "docs", "texts", "keywords",
+                    F.format_string(template, F.col("texts"), F.array_join("keywords", ", ")).alias("prompt"))
 
 
 _SENT = re.compile(r"(?<=[.!?])\s+")
 
 
-def extractive_completer(texts: str, keywords: list[str]) -> dict:
+def extractive_completer(docs: list[str], keywords: list[str]) -> dict:
     """Offline stand-in: name from the first five keywords, description from
     the first sentence of the top document."""
-    first_doc = (texts or "").split("\n", 1)[0]
-    first_sentence = _SENT.split(first_doc.strip(), maxsplit=1)[0] if first_doc.strip() else ""
-    name = " ".join(list(keywords or [])[:5]) or "unnamed"
-    return {"name": name, "description": first_sentence}
+    first_doc = docs[0].strip() if docs else ""
+    return {"name": " ".join(keywords[:5]) or "unnamed", "description": _SENT.split(first_doc, maxsplit=1)[0]}
 
 
-def complete(requests: DataFrame, completer: Callable[[str, list], dict] | None = None,
+def complete(requests: DataFrame, completer: Callable[[list, list], dict] | None = None,
              model: str = "extractive", temperature: float = 0.0, topic_col: str = "topic") -> DataFrame:
     """L4: run the completer over each request; attach name and description.
     Output has the summary record fields (``Name:``, ``Description:``,
@@ -84,31 +87,29 @@ def complete(requests: DataFrame, completer: Callable[[str, list], dict] | None
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                d = getattr(r, "texts")
-                k = list(getattr(r, "keywords")) if getattr(r, "keywords") is not None else []
+                d = list(r.docs) if r.docs is not None else []
+                k = list(r.keywords) if r.keywords is not None else []
                 out = fn(d, k)
                 rows.append({topic_col: getattr(r, topic_col), "Name:": out.get("name"),
-                             "Description:": out.get("description"), "Docs": (d or "").split("\n"),
+                             "Description:": out.get("description"), "Docs": d,
                              "Keywords": k, "Model": model, "Temperature": float(temperature),
                              "Prompt": getattr(r, "prompt")})
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    return requests.select(topic_col, "texts", "keywords", "prompt").mapInPandas(run, schema)
+    return requests.select(topic_col, "docs", "keywords", "prompt").mapInPandas(run, schema)
 
 
-def summaries_map(completed: DataFrame, topic_col: str = "topic") -> DataFrame:
-    """The summaries object (topic id as text -> record), one row: the shape
-    the reference stores. Bounded by the number of topics."""
-    rec = F.struct(*[F.col(f"`{f.name}`") for f in SUMMARY_RECORD.fields])
-    return completed.agg(F.map_from_entries(F.collect_list(F.struct(F.col(topic_col).cast("string"), rec)))
-                         .alias("summaries"))
+def summary_records(completed: DataFrame, topic_col: str = "topic") -> DataFrame:
+    """The summaries as (key, record) rows, the key being the topic id as text:
+    what the ``*.json`` sink writes as one object and its reader gives back."""
+    return completed.select(F.col(topic_col).cast("string").alias("key"),
+                            *[F.col(f"`{f.name}`") for f in SUMMARY_RECORD.fields])
 
 
-def flatten_summaries(summaries: DataFrame, map_col: str = "summaries") -> DataFrame:
-    """Topic map -> rows; snake-case the fields; rename; five columns.
-    The topic id is carried as an integer (the reference could lose it)."""
-    rows = summaries.select(F.explode(map_col).alias("topic", "r")).select("topic", "r.*")
-    rows = filters.snake_case_columns(rows)
+def flatten_summaries(summaries: DataFrame, key_col: str = "key") -> DataFrame:
+    """Summary rows -> five columns: fields snake-cased and renamed, the
+    topic id an integer (the reference could lose it)."""
+    rows = filters.snake_case_columns(summaries.withColumnRenamed(key_col, "topic"))
     rows = filters.cast_topic(rows)
     return rows.select("topic", F.col("name").alias("topic_name"), F.col("description").alias("topic_description"),
                        F.col("docs").alias("representative_docs"), F.col("keywords").alias("topic_keywords"))

@@ -1,31 +1,17 @@
 """Exact cosine top-n and threshold joins over vector columns.
 
-No pair table is ever materialised. Similarities are computed block by block
-inside Arrow-batched pandas functions with a matrix product, and only the
-rows a caller asks for (the top ``n`` per query, or the pairs above a
-threshold) leave the task.
-
-Three physical shapes:
-
-* **broadcast candidates** -- when instead the candidate side is proven
-  small (centroids, user topics), it is shipped and the queries are scanned
-  where they lie; each query's top ``n`` is final without a merge.
-* **broadcast queries** -- when the query side is proven small (its row count
-  is checked, reading at most ``max_broadcast + 1`` rows), its unit vectors are
-  shipped once to every executor and the candidate side is scanned where it
-  lies (``mapInPandas``, no shuffle of candidates). Each batch emits its local
-  top ``n`` per query; a final ``row_number() <= n`` (partial
-  ``WindowGroupLimit``) merges them.
-* **tiles** -- otherwise both sides are cut into tiles by a hash of the id;
-  a (left tile, right tile) key is built by replicating each row over the
-  other side's tiles, and each tile pair is one ``applyInPandas`` group of at
-  most ``tile_rows`` rows per side. Memory per task is bounded by the tile
-  size whatever the data size.
+One plan for every size. Each side is packed, where it lies, into rows that
+hold a block of up to ``block_rows`` unit vectors; a block of one side meets a
+block of the other, and a matrix product gives their similarities. Only what a
+caller asks for (the top ``n`` per query, or the pairs over a threshold) leaves
+a task: no pair table is made, nothing passes through the driver, and no side
+is counted first. Spark ships the packed side whose size it knows to be small,
+else it pairs the blocks partition by partition; a task holds two blocks.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.session import stage
+
 
 def _unit(mat: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(mat, axis=1, keepdims=True)
@@ -46,139 +34,100 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def _local_top_n(q_ids, qm, c_ids, cm, n):
-    """Top ``n`` candidates per query for one block; ties by smaller candidate id."""
-    sims = qm @ cm.T  # (q, c)
-    k = min(n, sims.shape[1])
-    out_q, out_c, out_s = [], [], []
-    order_ids = np.asarray(c_ids)
-    for i in range(sims.shape[0]):
-        row = sims[i]
-        # lexsort: last key is primary -> (-sim, id)
-        idx = np.lexsort((order_ids, -row))[:k]
-        out_q.extend([q_ids[i]] * len(idx))
-        out_c.extend(order_ids[idx].tolist())
-        out_s.extend(row[idx].tolist())
-    return out_q, out_c, out_s
+def packed(df: DataFrame, id_col: str, vec_col: str, block_rows: int, prefix: str) -> DataFrame:
+    """Blocks of rows: ``{prefix}block`` (a number of its own), ``{prefix}ids``
+    and ``{prefix}data`` (the unit vectors, row by row). Rows without a vector
+    have no similarity to anything and are left out."""
+    names = [f"{prefix}ids", f"{prefix}data"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = [], []
+
+        def made() -> pd.DataFrame:
+            m = _unit(np.stack(vectors))
+            return pd.DataFrame({names[0]: [np.asarray(ids, np.int64)], names[1]: [m.tobytes()]})
+
+        for b in batches:
+            for i, v in zip(b["id"], b["v"]):
+                ids.append(i)
+                vectors.append(np.asarray(v, np.float64))
+                if len(ids) == block_rows:
+                    yield made()
+                    ids, vectors = [], []
+        if ids:
+            yield made()
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null and v is not null")
+    out = rows.mapInPandas(run, f"{names[0]} array<bigint>, {names[1]} binary")
+    return out.withColumn(f"{prefix}block", F.monotonically_increasing_id())
+
+
+def _matrix(ids, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(len(ids), -1)
+
+
+def _local_top_n(sims: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``n`` largest; ties by the smaller id.
+
+    A partial sort finds the n-th value of every row; rows sort only what reaches it."""
+    n = min(n, sims.shape[1])
+    least = np.partition(sims, sims.shape[1] - n, axis=1)[:, -n]
+    row, col = np.nonzero(sims >= least[:, None])
+    order = np.lexsort((ids[col], -sims[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], col[place < n]
 
 
 def top_n_similar(queries: DataFrame, candidates: DataFrame, n: int = 3,
                   q_id: str = "query_id", q_vec: str = "embedding",
                   c_id: str = "row_id", c_vec: str = "embedding",
-                  max_broadcast: int = 20_000, tile_rows: int = 2048) -> DataFrame:
+                  block_rows: int = 1024) -> DataFrame:
     """For each query, the ``n`` candidates of highest cosine similarity.
 
     Output ``(q_id, c_id, similarity DOUBLE, rank BIGINT)``; ties broken by
     the smaller candidate id. ``q_id`` / ``c_id`` must be integral.
     """
-    out_schema = T.StructType([
-        T.StructField(q_id, T.LongType()), T.StructField(c_id, T.LongType()),
-        T.StructField("similarity", T.DoubleType())])
-    spark = queries.sparkSession
-    q = queries.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv"))
-    c = candidates.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec).alias("_cv"))
-
-    small = q.limit(max_broadcast + 1).count() <= max_broadcast
-    small_c = (not small) and c.limit(max_broadcast + 1).count() <= max_broadcast
-    if small_c:
-        # the candidate side (e.g. topic centroids) is proven small: ship it and
-        # scan the queries where they lie; each row's top n is final
-        cp = c.toPandas()
-        cm_all = _unit(_stack(cp["_cv"])) if len(cp) else np.zeros((0, 1))
-        bcc = spark.sparkContext.broadcast((cp[c_id].to_numpy(), cm_all))
-        ranked = T.StructType(list(out_schema.fields) + [T.StructField("rank", T.LongType())])
-
-        def scan_queries(batches):
-            ids, mat = bcc.value
-            for b in batches:
-                if len(b) == 0 or len(ids) == 0:
-                    continue
-                oq, oc, os_ = _local_top_n(b[q_id].to_numpy(), _unit(_stack(b["_qv"])), ids, mat, n)
-                out = pd.DataFrame({q_id: oq, c_id: oc, "similarity": os_})
-                out["rank"] = out.groupby(q_id).cumcount().astype("int64") + 1
-                yield out
-
-        return q.mapInPandas(scan_queries, ranked)
-    if small:
-        qp = q.toPandas()  # proven to hold at most max_broadcast rows
-        qm = _unit(_stack(qp["_qv"])) if len(qp) else np.zeros((0, 1))
-        bc = spark.sparkContext.broadcast((qp[q_id].to_numpy(), qm))
-
-        def scan(batches):
-            ids, mat = bc.value
-            for b in batches:
-                if len(b) == 0 or len(ids) == 0:
-                    continue
-                cm = _unit(_stack(b["_cv"]))
-                oq, oc, os_ = _local_top_n(ids, mat, b[c_id].to_numpy(), cm, n)
-                yield pd.DataFrame({q_id: oq, c_id: oc, "similarity": os_})
-
-        partial = c.mapInPandas(scan, out_schema)
-    else:
-        n_q = q.count()
-        n_c = c.count()
-        bl = max(1, math.ceil(n_q / tile_rows))
-        br = max(1, math.ceil(n_c / tile_rows))
-        qt = (q.withColumn("_l", F.pmod(F.xxhash64(q_id), F.lit(bl)))
-              .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-        ct = (c.withColumn("_r", F.pmod(F.xxhash64(c_id), F.lit(br)))
-              .withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(bl - 1)))))
-
-        def block(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-            if len(qdf) == 0 or len(cdf) == 0:
-                return pd.DataFrame({q_id: [], c_id: [], "similarity": []})
-            oq, oc, os_ = _local_top_n(qdf[q_id].to_numpy(), _unit(_stack(qdf["_qv"])),
-                                       cdf[c_id].to_numpy(), _unit(_stack(cdf["_cv"])), n)
-            return pd.DataFrame({q_id: oq, c_id: oc, "similarity": os_})
-
-        partial = (qt.groupBy("_l", "_r").cogroup(ct.groupBy("_l", "_r"))
-                   .applyInPandas(block, out_schema))
+    schema = T.StructType([T.StructField(q_id, T.LongType()), T.StructField(c_id, T.LongType()),
+                           T.StructField("similarity", T.DoubleType())])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for q_ids, q_data, c_ids, c_data in zip(b["q_ids"], b["q_data"], b["c_ids"], b["c_data"]):
+                q_ids, c_ids = np.asarray(q_ids), np.asarray(c_ids)
+                sims = _matrix(q_ids, q_data) @ _matrix(c_ids, c_data).T
+                row, col = _local_top_n(sims, c_ids, n)
+                yield pd.DataFrame({q_id: q_ids[row], c_id: c_ids[col], "similarity": sims[row, col]})
+
+    # the queries, in blocks, against all candidates, in blocks
+    blocks = packed(queries, q_id, q_vec, block_rows, "q_").crossJoin(packed(candidates, c_id, c_vec, block_rows, "c_"))
+    best = blocks.select("q_ids", "q_data", "c_ids", "c_data").mapInPandas(run, schema)
     w = Window.partitionBy(q_id).orderBy(F.col("similarity").desc(), F.col(c_id))
-    return (partial.withColumn("rank", F.row_number().over(w))
+    return (best.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def similarity_edges(vectors: DataFrame, threshold: float, id_col: str = "row_id",
-                     vec_col: str = "embedding", tile_rows: int = 2048) -> DataFrame:
+                     vec_col: str = "embedding", block_rows: int = 1024) -> DataFrame:
     """All pairs ``(src < dst)`` with cosine similarity ``>= threshold``.
 
-    Exact. Rows are hashed into ``B`` tiles; every row is sent to the ``B``
-    unordered tile pairs it belongs to, and each pair is one bounded
-    ``applyInPandas`` group that emits only the edges over the threshold.
-    Compute is quadratic in the row count (as any exact threshold join on
-    dense vectors is); memory per task is bounded by ``2 * tile_rows`` vectors.
-    """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    n = v.count()
-    b = max(1, math.ceil(n / tile_rows))
-    t = F.pmod(F.xxhash64("id"), F.lit(b))
-    other = F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    rep = (v.withColumn("_t", t).withColumn("_o", other)
-           .withColumn("_a", F.least("_t", "_o")).withColumn("_b", F.greatest("_t", "_o")))
+    Exact, so compute is quadratic in the rows; what moves is each block once
+    per block of the other side. The blocks are written first, so that both
+    sides number them alike."""
     schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                            T.StructField("similarity", T.DoubleType())])
-    thr = float(threshold)
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, bb = int(pdf["_a"].iloc[0]), int(pdf["_b"].iloc[0])
-        if a == bb:
-            ids = pdf["id"].to_numpy()
-            m = _unit(_stack(pdf["v"]))
-            s = m @ m.T
-            i, j = np.nonzero(np.triu(s >= thr, k=1))
-            src, dst = ids[i], ids[j]
-            sim = s[i, j]
-        else:
-            left = pdf[pdf["_t"] == a]
-            right = pdf[pdf["_t"] == bb]
-            if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"src": [], "dst": [], "similarity": []})
-            s = _unit(_stack(left["v"])) @ _unit(_stack(right["v"])).T
-            i, j = np.nonzero(s >= thr)
-            li, rj = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-            src, dst = np.minimum(li, rj), np.maximum(li, rj)
-            sim = s[i, j]
-        return pd.DataFrame({"src": src.astype("int64"), "dst": dst.astype("int64"), "similarity": sim})
-
-    return rep.groupBy("_a", "_b").applyInPandas(pair, schema)
+    limit = float(threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for a_block, a_ids, a_data, z_block, z_ids, z_data in zip(*(b[c] for c in b.columns)):
+                a_ids, z_ids = np.asarray(a_ids), np.asarray(z_ids)
+                sims = _matrix(a_ids, a_data) @ _matrix(z_ids, z_data).T
+                i, j = np.nonzero(np.triu(sims >= limit, k=1) if a_block == z_block else sims >= limit)
+                yield pd.DataFrame({"src": np.minimum(a_ids[i], z_ids[j]), "dst": np.maximum(a_ids[i], z_ids[j]),
+                                    "similarity": sims[i, j]})
+
+    blocks = stage(packed(vectors, id_col, vec_col, block_rows, ""), "vector-blocks")
+    a = blocks.select(F.col("block").alias("a_block"), F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
+    z = blocks.select(F.col("block").alias("z_block"), F.col("ids").alias("z_ids"), F.col("data").alias("z_data"))
+    return a.join(z, F.col("a_block") <= F.col("z_block")).mapInPandas(run, schema)

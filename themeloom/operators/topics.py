@@ -21,8 +21,6 @@ not label-identical:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, NGram, StopWordsRemover
@@ -34,7 +32,8 @@ from pyspark.sql import types as T
 
 from themeloom.functions import vectors as vx
 from themeloom.operators import similarity
-from themeloom.session import cut_lineage
+from themeloom.operators.components import connected_components
+from themeloom.session import cut_lineage, stage
 
 # Spark's default English stop word list (StopWordsRemover,
 # "english"), in its own order. Kept as text so the SQL oracle can use it.
@@ -62,7 +61,7 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 def centroids(df: DataFrame, group: str, vec: str = "embedding", name: str = "centroid") -> DataFrame:
     """Element-wise mean vector per group (``Summarizer``: JVM-side, with
     partial aggregation, so a huge group is combined map-side)."""
-    v = df.select(group, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    v = df.filter(F.col(vec).isNotNull()).select(group, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
     m = v.groupBy(group).agg(Summarizer.mean(F.col("_v")).alias("_m"))
     return m.select(group, vector_to_array("_m").alias(name))
 
@@ -96,41 +95,8 @@ def project_2d(df: DataFrame, vec: str = "embedding", id_col: str = "row_id") ->
 # Density clustering
 # ---------------------------------------------------------------------------
 
-def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
-                         checkpoint_every: int = 3, max_iter: int = 100) -> DataFrame:
-    """Component label (smallest id in the component) of every node.
-
-    Min-label propagation over both edge directions, each round followed by
-    a pointer jump (``label := label(label)``) that halves chains, so the
-    number of rounds grows with the log of the diameter. Lineage is cut with
-    a reliable checkpoint every few rounds; the loop stops when no label
-    changes (one count per round, on the driver only the number).
-    """
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("label"))
-    for it in range(max_iter):
-        nb = (both.join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b")
-              .groupBy(F.col("a").alias("id")).agg(F.min("lb").alias("nl")))
-        step = (labels.join(nb, "id", "left")
-                .select("id", F.least("label", F.coalesce("nl", "label")).alias("label")))
-        # pointer jump: follow the label's own label
-        parent = step.select(F.col("id").alias("label"), F.col("label").alias("pl"))
-        jumped = step.join(parent, "label", "left").select("id", F.least("label", F.coalesce("pl", "label")).alias("label"))
-        if (it + 1) % checkpoint_every == 0:
-            jumped = cut_lineage(jumped)
-        else:
-            jumped = jumped.cache()
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "id").filter(F.col("label") != F.col("old")).count()
-        labels = jumped
-        if changed == 0:
-            break
-    both.unpersist()
-    return labels
-
-
 def density_clusters(vectors: DataFrame, threshold: float, min_size: int, id_col: str = "row_id",
-                     vec: str = "embedding", tile_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+                     vec: str = "embedding", block_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
     """``(assignments(row_id, topic), edges)``.
 
     Edges join vectors whose cosine is ``>= threshold``; each connected
@@ -140,7 +106,7 @@ def density_clusters(vectors: DataFrame, threshold: float, min_size: int, id_col
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
     edges = cut_lineage(similarity.similarity_edges(v.withColumnRenamed("v", "embedding"), threshold, "id",
-                                                    "embedding", tile_rows))
+                                                    "embedding", block_rows))
     comp = connected_components(v.select("id"), edges, "id")
     sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.filter(F.col("size") >= min_size)
@@ -201,7 +167,8 @@ def probability_vectors(assign: DataFrame, edges: DataFrame, id_col: str = "row_
     per = (to_topic.join(tmin, to_topic.ty == tmin.topic)
            .select(F.col("x").alias("id"), F.col("ty").alias("t"), _ratio(F.col("tmin"), F.col("d")).alias("pv")))
     vecs = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "pv"))).alias("m"))
-    k = (assign.agg(F.max("topic")).first()[0] or -1) + 1  # one number, read on the driver
+    last = assign.agg(F.max("topic")).first()[0]  # one number, read on the driver
+    k = 0 if last is None else last + 1
     return a.join(vecs, "id", "left").select(
         F.col("id").alias(id_col),
         (F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
@@ -264,13 +231,13 @@ def topic_term_counts(docs: DataFrame, topic_col: str = "topic", text_col: str =
 def ctfidf(counts: DataFrame) -> DataFrame:
     """T5: ``weight = tf / (terms in topic) * ln(1 + A / f_t)`` with ``A`` the
     integer mean of terms per topic and ``f_t`` the term's count over all
-    topics (the noise topic counts as a topic)."""
+    topics (the noise topic counts as a topic). The logarithm is also returned
+    as ``idf``."""
     per_topic = counts.groupBy("topic").agg(F.sum("tf").alias("topic_total"))
     per_term = counts.groupBy("term").agg(F.sum("tf").alias("f_t"))
     a = per_topic.agg(F.floor(F.avg("topic_total"))).scalar()
-    return (counts.join(per_topic, "topic").join(per_term, "term")
-            .select("topic", "term", "tf",
-                    (F.col("tf") / F.col("topic_total") * F.ln(1 + a / F.col("f_t"))).alias("weight")))
+    return (counts.join(per_topic, "topic").join(per_term.withColumn("idf", F.ln(1 + a / F.col("f_t"))), "term")
+            .select("topic", "term", "tf", (F.col("tf") / F.col("topic_total") * F.col("idf")).alias("weight"), "idf"))
 
 
 def top_keywords(weights: DataFrame, n: int = 10) -> DataFrame:
@@ -292,19 +259,19 @@ def representative_docs(docs: DataFrame, weights: DataFrame, n: int = 3, topic_c
                         id_col: str = "row_id", text_col: str = "text", ngram_range=(1, 2),
                         stop_words=None) -> DataFrame:
     """Per topic, the ``n`` documents nearest (cosine) to the topic's
-    c-TF-IDF vector. Each document is weighted the same way (L1 tf x the
-    topic idf); the sparse dot product is a join on (topic, term) and a
-    per-document sum."""
-    idf = weights.select("topic", "term", "weight")
+    c-TF-IDF vector. A document's own vector is term count times idf; the
+    sparse dot product is a join on (topic, term) and a per-document sum."""
     t = with_doc_terms(docs.select(F.col(id_col).alias("id"), F.col(topic_col).alias("topic"), text_col),
                        text_col, ngram_range, stop_words)
-    t = _explode_terms(t.select("id", "topic", "_terms"))
-    dtf = t.groupBy("id", "topic", "term").agg(F.count(F.lit(1)).alias("c"))
-    j = dtf.join(idf, ["topic", "term"])
-    tnorm = idf.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("tn"))
+    # a document's terms meet in its task before they move, once per distinct term
+    dtf = _explode_terms(t.select("id", "topic", "_terms")).groupBy("id", "topic", "term").agg(F.count("*").alias("c"))
+    # the weights go to a written table: Spark may then split a term that very many documents of a topic hold
+    weights = stage(weights.select("topic", "term", "weight", "idf"), "topic-weights")
+    j = dtf.join(weights, ["topic", "term"])
+    tnorm = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("tn"))
     s = j.groupBy("id", "topic").agg(
-        F.sum(F.col("c") * F.col("weight") * F.col("weight")).alias("dotw"),
-        F.sqrt(F.sum((F.col("c") * F.col("weight")) ** 2)).alias("dn"))
+        F.sum(F.col("c") * F.col("idf") * F.col("weight")).alias("dotw"),
+        F.sqrt(F.sum((F.col("c") * F.col("idf")) ** 2)).alias("dn"))
     s = s.join(tnorm, "topic").withColumn(
         "similarity", F.when((F.col("dn") > 0) & (F.col("tn") > 0), F.col("dotw") / (F.col("dn") * F.col("tn")))
         .otherwise(F.lit(0.0)))
@@ -464,13 +431,6 @@ def load_topic_model(spark, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in ("topics", "topic_terms", "centroids")}
 
 
-def clamp_components(k: int, n: int, width: int) -> int:
-    return max(1, min(k, n - 2, width))
-
-
-_ = math  # keep the import for callers that size tiles
-
-
 # ---------------------------------------------------------------------------
 # Keyword refinement with an encoder
 # ---------------------------------------------------------------------------

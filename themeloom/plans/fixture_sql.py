@@ -47,11 +47,13 @@ select row_id, gpt_model, temperature, system_message, pos,
        cast(pos + 1 as varchar) || '. **' || split_part(line, ' ', 1) || '**: ' || line as line
 from answer_lines_raw""",
     "topic_docs": """
-select e.vec_id as row_id, case when e.label = 9 then -1 else e.label end as topic,
-       case when e.vec_id % 3 = 0 and e.label % 2 = 0 then 1.0e0
-            else cast(e.vec_id % 100 as double) / 100 end as probability,
+select d.doc_id as row_id,
+       case when coalesce(e.label, cast(d.doc_id % 10 as integer)) = 9 then -1
+            else coalesce(e.label, cast(d.doc_id % 10 as integer)) end as topic,
+       case when d.doc_id % 3 = 0 and coalesce(e.label, cast(d.doc_id % 10 as integer)) % 2 = 0 then 1.0e0
+            else cast(d.doc_id % 100 as double) / 100 end as probability,
        d.doc_id % 97 as total_cites, d.text as title_abstract, e.embedding
-from embeddings e join documents d on e.vec_id = d.doc_id""",
+from documents d left join embeddings e on e.vec_id = d.doc_id""",
 }
 
 # views that other views read

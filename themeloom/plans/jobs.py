@@ -97,10 +97,10 @@ def answers_long(records: DataFrame, cap: int = 100, seed: int = 42) -> DataFram
 # ---------------------------------------------------------------- G4 / G5
 def discover_topics(docs: DataFrame, threshold: float, min_size: int, id_col: str = "row_id",
                     vec: str = "embedding", text_col: str = "text", n_keywords: int = 10,
-                    ngram_range=(1, 2), tile_rows: int = 2048) -> dict[str, DataFrame]:
+                    ngram_range=(1, 2), block_rows: int = 1024) -> dict[str, DataFrame]:
     """T2 -> T3 -> T4 -> T5 -> T6/T7 -> T10. Returns the documents with
     ``topic, probability`` and the topic tables."""
-    assign, edges = topics.density_clusters(docs, threshold, min_size, id_col, vec, tile_rows)
+    assign, edges = topics.density_clusters(docs, threshold, min_size, id_col, vec, block_rows)
     prob = topics.membership_probability(assign, edges, id_col)
     d = docs.join(prob, id_col)
     counts = topics.topic_term_counts(d, "topic", text_col, ngram_range)
@@ -115,30 +115,43 @@ def discover_topics(docs: DataFrame, threshold: float, min_size: int, id_col: st
 
 def summarise_topics(docs: DataFrame, keywords: DataFrame, completer=None, text_col: str = "text",
                      n_docs: int = 5) -> DataFrame:
-    """W4 -> L3 -> L4 -> L5."""
+    """W4 -> L3 -> L4 -> L5. ``keywords`` are the similarity-refined ones
+    (T8) in the jobs; any (topic, term, rank) table will do."""
     req = responses.summary_requests(docs, keywords, n_docs, text_col)
     done = responses.complete(req, completer)
-    return responses.flatten_summaries(responses.summaries_map(done))
+    return responses.flatten_summaries(responses.summary_records(done))
+
+
+def refined_keywords(docs: DataFrame, text_col: str = "text", id_col: str = "row_id", n: int = 10,
+                     encoder=None) -> tuple[DataFrame, DataFrame]:
+    """T4 -> T5 -> T10 -> T8: the topics' weights and their keywords refined by
+    similarity to the representative documents."""
+    weights = topics.ctfidf(topics.topic_term_counts(docs, "topic", text_col))
+    reps = topics.representative_docs(docs, weights, 3, "topic", id_col, text_col)
+    return weights, topics.similarity_keywords(weights, reps, docs, n, 30, id_col, text_col, encoder)
 
 
 # ---------------------------------------------------------------- G6 / T15
 def plot_table(docs: DataFrame, text_col: str = "text", id_col: str = "row_id", vec: str = "embedding",
-               cites_col: str = "total_cites", completer=None) -> DataFrame:
+               cites_col: str = "total_cites", completer=None, plot_noise: bool = False) -> DataFrame:
     """Coordinates + topic + name + text + metadata + summary columns;
-    nested columns dropped; citation band (X17); missing labels filled (F15)."""
+    nested columns dropped; citation band (X17); missing names filled (F15).
+    Noise goes before the bands are set, unless ``plot_noise`` asks for it.
+    A document without a vector has no coordinates."""
     d = docs.withColumnRenamed(text_col, "doc")
-    xy = topics.project_2d(d, vec, id_col)
-    counts = topics.topic_term_counts(d, "topic", "doc")
-    kw = topics.top_keywords(topics.ctfidf(counts), 10)
-    names = topics.topic_names(kw).select("topic", "Name")
-    summ = summarise_topics(d, kw, completer, "doc")
-    out = xy.join(names, "topic", "left").join(summ.select("topic", "topic_name", "topic_description"), "topic", "left")
+    xy = topics.project_2d(d.filter(F.col(vec).isNotNull()), vec, id_col).select(id_col, "x", "y")
+    weights, refined = refined_keywords(d, "doc", id_col)
+    names = topics.topic_names(topics.top_keywords(weights, 10)).select("topic", "Name")
+    summ = summarise_topics(d, refined, completer, "doc")
+    shown = d if plot_noise else filters.drop_noise(d)
+    out = (shown.join(xy, id_col, "left").join(names, "topic", "left")
+           .join(summ.select("topic", "topic_name", "topic_description"), "topic", "left"))
     if cites_col in out.columns:
         q = stats.quartiles(out, cites_col)
         qs = [q.select(c).scalar() for c in ("q25", "q50", "q75")]
         out = out.withColumn("citation_band", tx.citation_band(cites_col, *qs))
     out = filters.drop_nested(out)
-    return filters.fill_label(out, {"Name": "NA", "topic_name": "NA", "topic_description": "NA"})
+    return filters.fill_label(out, {"Name": "NA", "topic_name": "NA"})
 
 
 def topic_bar_counts(docs: DataFrame, names: DataFrame) -> DataFrame:

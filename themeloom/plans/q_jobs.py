@@ -9,6 +9,7 @@ from themeloom.plans import jobs
 from themeloom.plans.fixture_sql import with_views as V
 from themeloom.plans.q_retrieval import QUESTION, bm25_sql
 from themeloom.plans.q_text import SQL_HEADINGS, fill, sql_clean
+from themeloom.plans.q_topics import FIRST_SENTENCE, TOP_SQL
 from themeloom.plans.registry import register
 from themeloom.session import checkpoint_dir
 from themeloom.sources import corpora as C
@@ -102,18 +103,22 @@ def g3_answers_long(spark, sf):
 def g4_discover_topics(spark, sf):
     """Rows-only: density topics on the vectors, keywords from the texts."""
     checkpoint_dir(spark)
-    td = C.topic_docs(spark, sf).drop("topic", "probability").withColumnRenamed("title_abstract", "text")
-    out = jobs.discover_topics(td, 0.35, 10, tile_rows=128)
+    td = C.topic_docs(spark, sf).filter("embedding is not null")
+    td = td.drop("topic", "probability").withColumnRenamed("title_abstract", "text")
+    out = jobs.discover_topics(td, 0.35, 10, block_rows=128)
     return out["topics"].select("Topic", "Count", "Name")
 
 
-@register("g5_summarise_topics")
+@register("g5_summarise_topics", V(f"""with {TOP_SQL}
+select topic, count(*) as n_docs, md5(string_agg(title_abstract, chr(10) order by rank)) as docs_md5,
+       {FIRST_SENTENCE} as topic_description from top group by topic""", "topic_docs"))
 def g5_summarise_topics(spark, sf):
-    """Rows-only: W4 -> L3 -> L4 -> L5 on the given topics."""
+    """W4 -> L3 -> L4 -> L5 on the given topics, from the refined keywords
+    (which the offline encoder ranks: SQL cannot restate the name made of them)."""
     d = C.topic_docs(spark, sf).withColumnRenamed("title_abstract", "text")
-    kw = topics.top_keywords(topics.ctfidf(topics.topic_term_counts(d)), 10)
-    s = jobs.summarise_topics(d, kw)
-    return s.select("topic", "topic_name", F.size("representative_docs").alias("n_docs"))
+    s = jobs.summarise_topics(d, jobs.refined_keywords(d)[1])
+    return s.select("topic", F.size("representative_docs").cast("bigint").alias("n_docs"),
+                    F.md5(F.array_join("representative_docs", "\n")).alias("docs_md5"), "topic_description")
 
 
 @register("g6_topic_bar_counts", V("""
@@ -132,7 +137,7 @@ def g6_topic_bar_counts(spark, sf):
 def g7_recluster_topic(spark, sf):
     """Rows-only: topic 2 re-split by zero-shot to two user topics, rest clustered."""
     checkpoint_dir(spark)
-    td = C.topic_docs(spark, sf).withColumnRenamed("title_abstract", "text")
+    td = C.topic_docs(spark, sf).filter("embedding is not null").withColumnRenamed("title_abstract", "text")
     user = topics.centroids(filters.select_topic(td, 2), "topic", "embedding").select(
         F.lit(0).alias("topic"), "centroid").unionByName(
         topics.centroids(filters.select_topic(td, 4), "topic", "embedding").select(F.lit(1).alias("topic"), "centroid"))
@@ -143,7 +148,7 @@ def g7_recluster_topic(spark, sf):
 @register("g8_corpus_overlap")
 def g8_corpus_overlap(spark, sf):
     """Rows-only: for each topic's first representative answer, the 3 most similar abstracts."""
-    td = C.topic_docs(spark, sf).withColumnRenamed("embedding", "embeddings")
+    td = C.topic_docs(spark, sf).filter("embedding is not null").withColumnRenamed("embedding", "embeddings")
     cands = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("embeddings"))
     return jobs.corpus_overlap(cands, td, 3)
 

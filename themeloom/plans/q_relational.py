@@ -487,8 +487,7 @@ select file_no, file_pos, doi, category from abstracts where file_no = 0
 union all select file_no, file_pos, doi, 'wider' from abstracts where file_no <> 0""", "abstracts"))
 def u1_concat_exports(spark, sf):
     a = C.abstract_exports(spark, sf).select("file_no", "file_pos", "doi")
-    files = [C.ranked_export(a.filter(F.col("file_no") == i), 1000, category="main" if i == 0 else "wider")
-             for i in range(4)]
+    files = [a.filter(F.col("file_no") == i).withColumn("category", F.lit("main" if i == 0 else "wider")) for i in range(4)]
     return C.concat_exports(*files)
 
 

@@ -132,6 +132,6 @@ def j6_similarity_top_n_tiled(spark, sf):
     reps = ranking.top_docs_per_topic(td, 5).filter(F.col("rank") == 1)
     queries = reps.select(F.col("topic").cast("long").alias("topic"), "embedding")
     cands = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    top = similarity.top_n_similar(queries, cands, n=3, q_id="topic", max_broadcast=0, tile_rows=64)
+    top = similarity.top_n_similar(queries, cands, n=3, q_id="topic", block_rows=64)
     return top.select(F.col("topic").cast("int").alias("topic"), "row_id", F.round("similarity", 6).alias("similarity"),
                       "rank")

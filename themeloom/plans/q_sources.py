@@ -94,24 +94,51 @@ from topic_docs group by topic""", "topic_docs"))
 def s6_json_object_map(spark, sf):
     """One whole-file JSON object (topic id -> record), read back to rows."""
     p = _scratch(spark, "summaries.json")
-    td = C.topic_docs(spark, sf)
-    rec = (td.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-           .select(F.col("topic").cast("string").alias("k"),
-                   F.struct(F.concat(F.lit("topic "), F.col("topic").cast("string")).alias("Name:"),
-                            F.lit(None).cast("string").alias("Description:"),
-                            F.array_repeat(F.lit("d"), F.col("n").cast("int")).alias("Docs")).alias("r")))
-    # one object per file: the map of every topic (bounded by the topic count)
-    obj = rec.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "r")))).alias("value"))
-    obj.coalesce(1).write.text(p)
+    io.write_table(_summaries(spark, sf), p)
     back = io.read_table(spark, p)
-    return back.select("key", "`Name:`", F.size("Docs").cast("bigint").alias("n_docs"))
+    return back.select("key", "`Name:`", F.element_at("Docs", 1).cast("bigint").alias("n_docs"))
+
+
+def _summaries(spark, sf):
+    """A summary record per topic, its document count as text in ``Docs``."""
+    topic = F.col("topic").cast("string")
+    return (C.topic_docs(spark, sf).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+            .select(topic.alias("key"), F.concat(F.lit("topic "), topic).alias("Name:"),
+                    F.concat(F.lit('say "'), topic, F.lit('"\n, {é}')).alias("Description:"),
+                    F.array(F.col("n").cast("string"), F.lit("}")).alias("Docs"), F.array(topic).alias("Keywords"),
+                    F.lit("m").alias("Model"), (F.col("n") / 2).alias("Temperature"), F.lit(None).cast("string").alias("Prompt")))
+
+
+@register("s7_summaries_through_catalog", V("""
+select cast(topic as varchar) as key, 'topic ' || cast(topic as varchar) as "Name:",
+       'say "' || cast(topic as varchar) || '"' || chr(10) || ', {é}' as "Description:", cast(count(*) as varchar) as docs,
+       cast(topic as varchar) as keywords, 'm' as "Model", count(*) / 2 as "Temperature", cast(null as varchar) as "Prompt"
+from topic_docs group by topic""", "topic_docs"))
+def s7_summaries_through_catalog(spark, sf):
+    """S7 with S6 and S9: the summaries object saved and read through the catalog."""
+    cat = catalog.Catalog(spark, _scratch(spark, "catalog"))
+    cat.save("summaries", _summaries(spark, sf))
+    back = cat.table("summaries")
+    return back.select("key", "`Name:`", "`Description:`", F.element_at("Docs", 1).alias("docs"),
+                       F.array_join("Keywords", ",").alias("keywords"), "Model", "Temperature", "Prompt")
+
+
+@register("s5_rejected_lines", V("""
+select '{broken ' || cast(row_id as varchar) as line from answers""", "answers"))
+def s5_rejected_lines(spark, sf):
+    """The malformed lines that the lenient reader skips, listed."""
+    p = _scratch(spark, "answers_dirty")
+    good = _answer_records(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    bad = C.answers(spark, sf).select(F.concat(F.lit("{broken "), F.col("row_id").cast("string")).alias("value"))
+    good.unionByName(bad).unionByName(C.answers(spark, sf).select(F.lit("").alias("value"))).write.text(p)
+    return io.json_line_rejects(spark, p, SCHEMA_WITH_ID).select("line")
 
 
 @register("s8_json_safe_decimals", V("""
 select file_pos, round(cast(total_cites as double) / 7, 2) as ratio from abstracts""", "abstracts"))
 def s8_json_safe_decimals(spark, sf):
     """Decimals leave the sink as JSON numbers (doubles)."""
-    p = _scratch(spark, "ratios.json")
+    p = _scratch(spark, "ratios.jsonl")
     a = C.abstract_exports(spark, sf).select(
         "file_pos", F.round(F.col("total_cites").cast("decimal(20,4)") / 7, 2).alias("ratio"))
     io.write_table(a, p)

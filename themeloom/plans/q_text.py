@@ -251,9 +251,18 @@ def x22_two_tokenisations(spark, sf):
                     F.size(tx.whitespace_tokens("text")).cast("bigint").alias("n_ws_tokens"))
 
 
-@register("x23_jitter")
+def _drawn(seed: int, part: int) -> str:
+    h = f"substr(md5('{seed}|' || cast(vec_id as varchar)), {1 + 12 * part}, 12)"
+    return f"(cast(cast('0x' || {h} as bigint) as double) + 0.5) / 281474976710656.0"
+
+
+@register("x23_jitter", f"""
+select vec_id, round(cast(embedding[1] as double) + 0.5 * sqrt(-2 * ln({_drawn(7, 0)})) * cos(2 * pi() * {_drawn(7, 1)}), 6) as x,
+       round(cast(embedding[2] as double) + ({_drawn(11, 0)} - 0.5) * 0.4, 6) as y
+from embeddings""")
 def x23_jitter(spark, sf):
-    """Rows-only: seeded Gaussian jitter and uniform offset of plot coordinates."""
+    """Gaussian jitter and uniform offset of plot coordinates, drawn by row id."""
     e = C.table(spark, sf, "embeddings")
     x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
-    return e.select("vec_id", vx.gaussian_jitter(x, 0.5, 7).alias("x"), vx.uniform_offset(y, 0.4, 11).alias("y"))
+    return e.select("vec_id", F.round(vx.gaussian_jitter(x, 0.5, 7, "vec_id"), 6).alias("x"),
+                    F.round(vx.uniform_offset(y, 0.4, 11, "vec_id"), 6).alias("y"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeloom.operators import embed as em
-from themeloom.operators import filters, ranking, responses, topics
+from themeloom.operators import filters, responses, topics
 from themeloom.plans.fixture_sql import with_views as V
 from themeloom.plans.registry import register
 from themeloom.session import checkpoint_dir
@@ -14,6 +14,18 @@ from themeloom.sources import corpora as C
 
 THRESHOLD, MIN_SIZE = 0.35, 10
 
+# the five best documents of each topic (W4), and the first sentence of the best
+TOP_SQL = """
+top as (select * from (
+  select *, row_number() over (partition by topic order by
+      (case when n1 >= 5 then cast(total_cites as double) else probability end) desc nulls last, row_id) as rank
+  from (select d.*, f.n1 from topic_docs d join
+        (select topic, sum(case when probability = 1.0 then 1 else 0 end) as n1 from topic_docs where topic <> -1
+         group by topic) f on d.topic = f.topic)
+  where n1 < 5 or probability = 1.0) where rank <= 5)"""
+FIRST_SENTENCE = r"""rtrim(regexp_extract(regexp_replace(trim(arg_min(title_abstract, rank), ' ' || chr(9) || chr(10) || chr(13)) || ' ',
+                                   '([.!?])\s', '\1' || chr(1)), '^[^' || chr(1) || ']*'))"""
+
 STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in topics.ENGLISH_STOP_WORDS) + "]"
 
 CTFIDF_SQL = f"""
@@ -80,19 +92,44 @@ select comp.id as row_id, coalesce(num.topic, -1) as topic from comp left join n
 def t2_density_clusters(spark, sf):
     checkpoint_dir(spark)
     e = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    assign, _ = topics.density_clusters(e, THRESHOLD, MIN_SIZE, "row_id", "embedding", tile_rows=128)
+    assign, _ = topics.density_clusters(e, THRESHOLD, MIN_SIZE, "row_id", "embedding", block_rows=128)
     return assign
 
 
-@register("t3_membership_probability")
+T3_SQL = f"""
+with recursive pairs as (
+  select a.vec_id as s, b.vec_id as d,
+         list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as sim
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+e as (select * from pairs where sim >= {THRESHOLD}),
+r(id, c) as (select vec_id, vec_id from embeddings union select e.d, r.c from r join e on r.id = e.s),
+comp as (select id, min(c) as label from r group by id),
+sz as (select label, count(*) as size from comp group by label),
+num as (select label, cast(row_number() over (order by size desc, label) - 1 as integer) as topic
+        from sz where size >= {MIN_SIZE}),
+a as (select comp.id, coalesce(num.topic, -1) as topic from comp left join num using (label)),
+near as (select e.s as id, a.topic, 1 - max(e.sim) as dist from e join a on e.d = a.id where a.topic <> -1 group by all),
+own as (select a.id, a.topic, near.dist from a left join near on a.id = near.id and a.topic = near.topic),
+least_ as (select topic, min(dist) as tmin from own group by topic),
+p as (select own.id, own.topic, case when own.topic = -1 then 0 when own.dist is null then 0
+        when own.dist <= 0 then 1 else least(1, tmin / own.dist) end as probability from own left join least_ using (topic)),
+v as (select near.id, max(case when near.dist <= 0 then 1 else least(1, tmin / near.dist) end) as max_p
+      from near join least_ using (topic) group by near.id)
+select p.id as row_id, p.topic, round(cast(p.probability as double), 6) as probability,
+       case when (select max(topic) from a) < 0 then null else round(cast(coalesce(v.max_p, 0) as double), 6) end as max_p
+from p left join v on p.id = v.id"""
+
+
+@register("t3_membership_probability", T3_SQL)
 def t3_membership_probability(spark, sf):
-    """Rows-only: probability per document in [0, 1], plus the vector form."""
+    """Probability per document in [0, 1], and the largest of its vector form."""
     checkpoint_dir(spark)
     e = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    assign, edges = topics.density_clusters(e, THRESHOLD, MIN_SIZE, "row_id", "embedding", tile_rows=128)
+    assign, edges = topics.density_clusters(e, THRESHOLD, MIN_SIZE, "row_id", "embedding", block_rows=128)
     p = topics.membership_probability(assign, edges)
     v = topics.probability_vectors(assign, edges)
-    return p.join(v, "row_id").select("row_id", "topic", "probability", F.array_max("probabilities").alias("max_p"))
+    return p.join(v, "row_id").select("row_id", "topic", F.round("probability", 6).alias("probability"),
+                                      F.round(F.array_max("probabilities"), 6).alias("max_p"))
 
 
 # ---------------------------------------------------------------- T4-T7, T10
@@ -118,11 +155,31 @@ def t7_topic_names(spark, sf):
     return topics.topic_names(topics.top_keywords(_weights(spark, sf), 10), 4).select("topic", "Name")
 
 
-@register("t10_representative_docs")
+DOC_TERMS_SQL = f"""
+dw as (select row_id, topic, list_filter(regexp_extract_all(lower(title_abstract), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                         lambda x: not list_contains({STOP_SQL}, x)) as w from topic_docs),
+dterms as (select row_id, topic, unnest(w) as term from dw
+           union all
+           select row_id, topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term
+           from dw where len(w) >= 2),
+dtf as (select row_id, topic, term, count(*) as n from dterms group by all),
+sim as (select d.row_id, d.topic, sum(d.n * x.idf * x.weight) as dotw, sqrt(sum((d.n * x.idf) ** 2)) as dn
+        from dtf d join (select wt.*, ln(1 + av.a / ft.f) as idf from wt join ft using (term), av) x
+          on d.topic = x.topic and d.term = x.term group by all),
+norm as (select topic, sqrt(sum(weight ** 2)) as tn from wt group by topic)"""
+
+
+@register("t10_representative_docs", V(f"""with {CTFIDF_SQL}, {DOC_TERMS_SQL}
+select topic, row_id, round(similarity, 6) as similarity from (
+  select topic, row_id, case when dn > 0 and tn > 0 then dotw / (dn * tn) else 0 end as similarity,
+         row_number() over (partition by topic order by round(case when dn > 0 and tn > 0 then dotw / (dn * tn) else 0 end, 9) desc,
+                            row_id) as rank
+  from sim join norm using (topic)) where rank <= 3""", "topic_docs"))
 def t10_representative_docs(spark, sf):
-    """Rows-only: 3 documents per topic nearest to the topic's c-TF-IDF vector."""
+    """3 documents per topic nearest to the topic's c-TF-IDF vector."""
     d = _docs(spark, sf)
-    return topics.representative_docs(d, _weights(spark, sf), 3)
+    r = topics.representative_docs(d, _weights(spark, sf), 3)
+    return r.select("topic", "row_id", F.round("similarity", 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- T11-T13
@@ -178,11 +235,25 @@ def t14_project_2d(spark, sf):
     return topics.project_2d(td).select("row_id", "topic", "x", "y")
 
 
-@register("t15_plot_table")
+@register("t15_plot_table", V(f"""with {CTFIDF_SQL}, {TOP_SQL},
+names as (select topic, cast(topic as varchar) || '_' || string_agg(term, '_' order by rank) as nm
+          from kw where rank <= 4 group by topic),
+told as (select topic, {FIRST_SENTENCE} as topic_description from top group by topic),
+q as (select cast(floor(quantile_cont(cast(total_cites as double), 0.25)) as bigint) as q1,
+             cast(floor(quantile_cont(cast(total_cites as double), 0.5)) as bigint) as q2,
+             cast(floor(quantile_cont(cast(total_cites as double), 0.75)) as bigint) as q3 from topic_docs where topic <> -1)
+select d.row_id, d.topic, coalesce(n.nm, 'NA') as "Name", d.total_cites, md5(d.title_abstract) as doc_md5,
+       t.topic_description,
+       case when total_cites < q1 then '5-' || (q1 - 1) when total_cites < q2 then q1 || '-' || (q2 - 1)
+            when total_cites < q3 then q2 || '-' || (q3 - 1) else q3 || '+' end as citation_band,
+       d.embedding is not null as placed
+from topic_docs d left join names n using (topic) left join told t using (topic), q where d.topic <> -1""", "topic_docs"))
 def t15_plot_table(spark, sf):
-    """Rows-only: coordinates + topic + name + text + metadata + summary, nested columns dropped."""
+    """Topic, name, text, metadata, summary and whether there are coordinates."""
     from themeloom.plans import jobs
-    return jobs.plot_table(C.topic_docs(spark, sf), text_col="title_abstract")
+    p = jobs.plot_table(C.topic_docs(spark, sf), text_col="title_abstract")
+    return p.select("row_id", "topic", "Name", "total_cites", F.md5("doc").alias("doc_md5"), "topic_description",
+                    "citation_band", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
 
 
 @register("t16_convex_hulls")
@@ -251,29 +322,36 @@ def l3_summary_requests(spark, sf):
     return r.select("topic", F.md5("texts").alias("texts_md5"), F.array_join("keywords", ", ").alias("keywords"))
 
 
-@register("l4_complete")
+@register("l4_complete", V(f"""with {CTFIDF_SQL}, {TOP_SQL},
+kws as (select topic, string_agg(term, ' ' order by rank) as name from kw where rank <= 5 group by topic),
+told as (select topic, {FIRST_SENTENCE} as description from top group by topic)
+select t.topic, coalesce(k.name, 'unnamed') as name, t.description from told t left join kws k using (topic)""", "topic_docs"))
 def l4_complete(spark, sf):
-    """Rows-only: the built-in extractive completer over the summary requests."""
+    """The built-in extractive completer over the summary requests."""
     d = _docs(spark, sf)
     kw = topics.top_keywords(_weights(spark, sf), 10)
     done = responses.complete(responses.summary_requests(d, kw, 5))
     return done.select("topic", F.col("`Name:`").alias("name"), F.col("`Description:`").alias("description"))
 
 
-@register("l5_flatten_summaries")
+@register("l5_flatten_summaries", V(f"""with {CTFIDF_SQL}, {TOP_SQL},
+kws as (select topic, string_agg(term, ' ' order by rank) filter (rank <= 5) as name,
+               string_agg(term, ', ' order by rank) as topic_keywords from kw where rank <= 10 group by topic),
+told as (select topic, count(*) as n_docs, md5(string_agg(title_abstract, chr(10) order by rank)) as docs_md5,
+                {FIRST_SENTENCE} as topic_description from top group by topic)
+select t.topic, coalesce(k.name, 'unnamed') as topic_name, t.topic_description, t.n_docs, t.docs_md5,
+       coalesce(k.topic_keywords, '') as topic_keywords from told t left join kws k using (topic)""", "topic_docs"))
 def l5_flatten_summaries(spark, sf):
-    """Rows-only: summaries map -> five snake-cased columns, integer topic."""
+    """Summaries -> five snake-cased columns, integer topic."""
     d = _docs(spark, sf)
     kw = topics.top_keywords(_weights(spark, sf), 10)
     done = responses.complete(responses.summary_requests(d, kw, 5))
-    flat = responses.flatten_summaries(responses.summaries_map(done))
-    return flat.select("topic", "topic_name", F.size("representative_docs").alias("n_docs"),
+    flat = responses.flatten_summaries(responses.summary_records(done))
+    return flat.select("topic", "topic_name", "topic_description", F.size("representative_docs").cast("bigint").alias("n_docs"),
+                       F.md5(F.array_join("representative_docs", "\n")).alias("docs_md5"),
                        F.array_join("topic_keywords", ", ").alias("topic_keywords"))
 
 
-_ = ranking
-
-
 @register("t8_similarity_keywords")
 def t8_similarity_keywords(spark, sf):
     """Rows-only: c-TF-IDF candidates re-ranked by similarity to the topic's

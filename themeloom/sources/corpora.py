@@ -198,17 +198,20 @@ def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with a given topic (label 9 plays noise, -1) and probability.
+    """All documents with a given topic (that of their vector's label, else the
+    last digit of their id; 9 plays noise, -1) and probability; ``embedding``
+    is null where there is no vector.
 
     Even topics have many rows at probability exactly 1.0 (first branch of
     W4), odd topics none (second branch)."""
     e = table(spark, sf_dir, "embeddings")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return e.join(d, e.vec_id == d.doc_id).select(
-        F.col("vec_id").alias("row_id"),
-        F.when(F.col("label") == 9, F.lit(-1)).otherwise(F.col("label")).alias("topic"),
-        F.when((F.col("vec_id") % 3 == 0) & (F.col("label") % 2 == 0), F.lit(1.0))
-        .otherwise((F.col("vec_id") % 100).cast("double") / 100).alias("probability"),
+    group = F.coalesce(F.col("label"), (F.col("doc_id") % 10).cast("int"))
+    return d.join(e, e.vec_id == d.doc_id, "left").select(
+        F.col("doc_id").alias("row_id"),
+        F.when(group == 9, F.lit(-1)).otherwise(group).alias("topic"),
+        F.when((F.col("doc_id") % 3 == 0) & (group % 2 == 0), F.lit(1.0))
+        .otherwise((F.col("doc_id") % 100).cast("double") / 100).alias("probability"),
         (F.col("doc_id") % 97).alias("total_cites"),
         F.col("text").alias("title_abstract"),
         "embedding",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from fnmatch import fnmatch
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str,
     """One JSON record per line, plain or gzip (gzip is not splittable).
 
     ``lenient`` drops malformed lines (blank lines are skipped by the reader,
-    a UTF-8 BOM is tolerated). With ``keep_corrupt`` bad lines are kept in a
+    a UTF-8 BOM is tolerated); :func:`json_line_rejects` lists them. With ``keep_corrupt`` bad lines are kept in a
     ``_corrupt_record`` column so callers can count them instead.
     """
     r = spark.read.schema(schema).option("encoding", "UTF-8")
@@ -68,6 +69,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str,
     return r.json(path)
 
 
+def json_line_rejects(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What the lenient reader skipped, so that it can be reported: a row
+    ``(file, line)`` per malformed line."""
+    s = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    s = T.StructType(list(s.fields) + [T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_json("line", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+            .filter((F.trim("line") != "") & parsed["_corrupt_record"].isNotNull()))
+
+
 def read_json_object_map(spark: SparkSession, path: str,
                          value_schema: T.DataType = SUMMARY_RECORD,
                          key_name: str = "key") -> DataFrame:
@@ -125,8 +136,36 @@ def json_safe(df: DataFrame) -> DataFrame:
                       else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def _object_lines(batches):
+    """Lines of one JSON object from (key, record) JSON texts, as they come."""
+    yield pd.DataFrame({"value": ["{"]})
+    lead = ""
+    for b in batches:
+        lines = [f"{k}: {r}" for k, r in zip(b["k"], b["r"])]
+        if lines:
+            lines[0] = lead + lines[0]
+            lead = ", "
+            yield pd.DataFrame({"value": [lines[0], *(", " + x for x in lines[1:])]})
+    yield pd.DataFrame({"value": ["}"]})
+
+
+def write_json_object(df: DataFrame, path: str, mode: str = "overwrite", key_name: str = "key") -> None:
+    """S7 for ``*.json`` / ``*.json.gz``: one object ``{key: record}`` in one
+    file, which :func:`read_json_object_map` reads back. The format makes it one
+    task; rows stream through it, none is gathered."""
+    df = json_safe(df)
+    if key_name not in df.columns:
+        raise ValueError(f"a *.json file is one object: a column {key_name!r} must name its entries; use *.jsonl for rows")
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key_name])
+    key = F.regexp_replace(F.to_json(F.array(F.col(f"`{key_name}`").cast("string"))), r"^\[|\]$", "")
+    lines = df.select(key.alias("k"), F.to_json(record).alias("r")).repartition(1).mapInPandas(_object_lines, "value string")
+    w = lines.write.mode(mode)
+    (w.option("compression", "gzip") if path.rstrip("/").endswith(".gz") else w).text(path)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sink by suffix. ``*.json.gz`` / ``*.jsonl.gz`` -> gzip JSON lines."""
+    """Sink by suffix. ``*.jsonl`` is a record per line, ``*.json`` one
+    object; both may end in ``.gz``."""
     p = path.rstrip("/")
     if fnmatch(p, "*.parquet"):
         df.write.mode(mode).parquet(path)
@@ -136,9 +175,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
                 if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`")
                 for f in df.schema.fields]
         df.select(cols).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    elif fnmatch(p, "*.json") or fnmatch(p, "*.json.gz"):
+        write_json_object(df, path, mode)
     elif fnmatch(p, "*.gz"):
         json_safe(df).write.mode(mode).option("compression", "gzip").json(path)
-    elif fnmatch(p, "*.json") or fnmatch(p, "*.jsonl"):
+    elif fnmatch(p, "*.jsonl"):
         json_safe(df).write.mode(mode).json(path)
     elif fnmatch(p, "*.txt"):
         df.select(F.col(df.columns[0]).cast("string")).write.mode(mode).text(path)
