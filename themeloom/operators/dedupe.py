@@ -31,12 +31,15 @@ def keep_first(df: DataFrame, key: str | list[str], order_cols) -> DataFrame:
 
 def distinct_rows(df: DataFrame, order_cols) -> DataFrame:
     """Full-row distinct over every column but the ordinal, keeping the
-    smallest ordinal. A hash aggregate with map-side combine, so repeated rows
-    are merged before the shuffle."""
+    smallest ordinal (which names a row). Rows are told apart by a 256-bit
+    digest, so the aggregation moves narrow rows, repeated ones merged before
+    the shuffle, and the winners' rows are then fetched by their ordinal."""
     order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     rest = [c for c in df.columns if c not in order]
-    o = F.min(F.struct(*[F.col(c) for c in order])).alias("_o")
-    return df.groupBy(*rest).agg(o).select(*rest, *[F.col(f"_o.{c}").alias(c) for c in order]).select(df.columns)
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*rest)), 256)).alias("_digest")
+    least = F.min(F.struct(*[F.col(c) for c in order])).alias("_o")
+    winners = df.select(digest, *order).groupBy("_digest").agg(least).select("_o.*")
+    return df.join(winners.hint("shuffle_hash"), order, "left_semi").select(df.columns)
 
 
 def dedupe_doi_then_title(df: DataFrame, order_cols="ordinal",

@@ -44,20 +44,22 @@ def top_docs_per_topic(df: DataFrame, n: int = 5, topic_col: str = "topic",
     ``total_cites``, else ``cited_by_count``; with neither (answers) the rank
     falls back to probability. Ties by ``id_col``.
 
-    The per-topic count is a partial-aggregated ``groupBy`` joined back (one
-    row per topic), not a window over the whole topic.
+    Both rankings run over narrow rows, each with its limit before the
+    shuffle; the per-topic count chooses between them, and only the survivors'
+    rows are fetched (``id_col`` names a row).
     """
     if cites_col is None:
         cites_col = next((c for c in ("total_cites", "cited_by_count") if c in df.columns), None)
     d = df.filter(F.col(topic_col) != -1)
-    ones = d.groupBy(topic_col).agg(F.sum(F.when(F.col(prob_col) == 1.0, 1).otherwise(0)).alias("_n1"))
-    d = d.join(ones, topic_col).withColumn("_by_cites", F.col("_n1") >= n)
-    d = d.filter(~F.col("_by_cites") | (F.col(prob_col) == 1.0))
-    key = F.col(prob_col).cast("double")
-    if cites_col is not None:
-        key = F.when(F.col("_by_cites"), F.col(cites_col).cast("double")).otherwise(key)
-    out = top_n_per_group(d, [topic_col], [key.desc_nulls_last(), F.col(id_col)], n)
-    return out.drop("_n1", "_by_cites")
+    by_prob, certain = F.col(prob_col).cast("double"), F.col(prob_col) == 1.0
+    by_cites = F.col(cites_col).cast("double") if cites_col is not None else by_prob
+    ones = d.groupBy(topic_col).agg(F.count_if(certain).alias("_n1"))
+    narrow = d.select(topic_col, id_col, by_prob.alias("_p"), by_cites.alias("_c"))
+    first = top_n_per_group(narrow.filter(F.col("_p") == 1.0), [topic_col], [F.col("_c").desc_nulls_last(), F.col(id_col)], n)
+    second = top_n_per_group(narrow, [topic_col], [F.col("_p").desc_nulls_last(), F.col(id_col)], n)
+    chosen = first.withColumn("_cited", F.lit(True)).unionByName(second.withColumn("_cited", F.lit(False)))
+    chosen = chosen.join(ones, topic_col).filter(F.col("_cited") == (F.col("_n1") >= n)).select(topic_col, id_col, "rank")
+    return d.join(chosen, [topic_col, id_col])
 
 
 def balanced_sample(df: DataFrame, keys: list[str], id_col: str, cap: int = 100,

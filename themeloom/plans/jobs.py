@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.operators import dedupe, embed, filters, ranking, responses, retrieval, similarity, stats, topics
-from themeloom.session import cut_lineage
+from themeloom.session import stage
 from themeloom.sources import corpora
 
 
@@ -36,13 +36,12 @@ def works_ranked(works: DataFrame, question: str, relevance_threshold: float = 1
     """G1: filtered works ranked by BM25 against ``question`` (M3), optionally
     embedded (M5). Nested columns are dropped from the output.
 
-    With ``persist`` the filtered stage is checkpointed (reliably, into
-    ``spark.checkpoint.dir``) before ranking: BM25 reads its corpus several
-    times (vocabulary, corpus statistics, scores), and the stage output is
-    what the reference stores between its steps anyway (S13)."""
+    With ``persist`` the filtered stage is written as Parquet into the shared
+    folder before ranking (S13): BM25 reads its corpus twice, and then only the
+    columns it needs."""
     w = works_filtered(works, relevance_threshold)
     if persist:
-        w = cut_lineage(filters.drop_nested(w, ["biblio", "ids", "primary_location", "primary_topic", "authorships"]))
+        w = stage(filters.drop_nested(w, ["biblio", "ids", "primary_location", "primary_topic", "authorships"]), "works")
     ranked = retrieval.bm25_filter(w, question, top_k, "title_abstract", "ordinal")
     ranked = filters.drop_nested(ranked)
     if with_embeddings:

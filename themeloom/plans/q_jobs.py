@@ -34,12 +34,12 @@ select ta.ordinal, ta.doi, round(sc.bm25_score, 6) as bm25_score,
        cast(len(regexp_extract_all(ta.title_abstract, '\\p{{L}}+|\\p{{N}}{{1,3}}|[^\\s\\p{{L}}\\p{{N}}]+')) as bigint)
          as num_tokens
 from ta join sc using (ordinal)
-order by sc.bm25_score desc, ta.ordinal limit 1000""", "works", "works_flat")
+order by sc.bm25_score desc, ta.ordinal limit 100""", "works", "works_flat")
 
 
 @register("g1_works_ranked", G1_SQL)
 def g1_works_ranked(spark, sf):
-    r = jobs.works_ranked(C.works_nested(spark, sf), QUESTION, 10, 1000)
+    r = jobs.works_ranked(C.works_nested(spark, sf), QUESTION, 10, 100)
     return r.select("ordinal", "doi", F.round("bm25_score", 6).alias("bm25_score"), "num_tokens")
 
 
@@ -52,7 +52,7 @@ def g1_works_funnel(spark, sf):
 G2_SQL = V(f"""
 with a as (select * exclude (rn) from (
              select *, row_number() over (partition by file_no order by file_pos) as rn from abstracts)
-           where rn <= 1000),
+           where rn <= 100),
 b as (select *, cast(file_no as bigint) * 1000000000 + file_pos as ord from a
       where title is not null and abstract is not null and doi is not null),
 m as (select doi,
@@ -71,7 +71,7 @@ where total_cites >= 5 or category = 'main'""", "abstracts")
 
 @register("g2_abstracts_prepared", G2_SQL)
 def g2_abstracts_prepared(spark, sf):
-    a = jobs.abstracts_prepared(C.abstract_exports(spark, sf))
+    a = jobs.abstracts_prepared(C.abstract_exports(spark, sf), 100)
     return a.select("doi", "title", F.md5("title_abstract").alias("ta_md5"), "category", "total_cites")
 
 

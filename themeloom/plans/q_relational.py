@@ -24,17 +24,17 @@ def s2_parquet_scan(spark, sf):
 
 @register("s10_works_source", V("""
 select ordinal, doi, cited_by_count, relevance_score from works where cited_by_count > 4
-order by relevance_score desc, ordinal limit 10000""", "works"))
+order by relevance_score desc, ordinal limit 100""", "works"))
 def s10_works_source(spark, sf):
-    return C.works_source(C.works(spark, sf), ">4", 10_000).select("ordinal", "doi", "cited_by_count", "relevance_score")
+    return C.works_source(C.works(spark, sf), ">4", 100).select("ordinal", "doi", "cited_by_count", "relevance_score")
 
 
 @register("s11_ranked_exports", V("""
 select file_no, file_pos, doi, category from (
-  select *, row_number() over (partition by file_no order by file_pos) as rn from abstracts) where rn <= 1000""",
+  select *, row_number() over (partition by file_no order by file_pos) as rn from abstracts) where rn <= 100""",
                                   "abstracts"))
 def s11_ranked_exports(spark, sf):
-    return C.ranked_export(C.abstract_exports(spark, sf), 1000).select("file_no", "file_pos", "doi", "category")
+    return C.ranked_export(C.abstract_exports(spark, sf), 100).select("file_no", "file_pos", "doi", "category")
 
 
 # ---------------------------------------------------------------- filters
@@ -503,7 +503,12 @@ def u2_concat_corpora(spark, sf):
 
 
 @register("u3_concat_group_results", V("""
-select gpt_model, temperature, cast(count(*) as bigint) as n from answers group by all""", "answers"))
+select gpt_model, temperature, count(*) as n, null as longest from answers where temperature = 0.0 group by all
+union all select gpt_model, temperature, null, max(length(text)) from answers where temperature <> 0.0 group by all""", "answers"))
 def u3_concat_group_results(spark, sf):
-    # per-group results of one grouped job, not a driver loop over groups
-    return C.answers(spark, sf).groupBy("gpt_model", "temperature").agg(F.count(F.lit(1)).alias("n"))
+    """Results of separately run groups, of different columns, as one table."""
+    a = C.answers(spark, sf)
+    cold = a.filter(F.col("temperature") == 0.0).groupBy("gpt_model", "temperature").agg(F.count("*").alias("n"))
+    warm = a.filter(F.col("temperature") != 0.0).groupBy("gpt_model", "temperature").agg(
+        F.max(F.length("text")).cast("bigint").alias("longest"))
+    return C.concat_exports(cold, warm)

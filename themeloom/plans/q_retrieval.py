@@ -67,10 +67,10 @@ def m2_bm25_scores(spark, sf):
 @register("m3_bm25_top_k", f"""
 select doc_id, round(bm25_score, 6) as bm25_score from ({bm25_sql(QUESTION, 'select doc_id, text from documents',
                                                                   'doc_id', 'text')})
-order by bm25_score desc, doc_id limit 1000""")
+order by bm25_score desc, doc_id limit 100""")
 def m3_bm25_top_k(spark, sf):
     d = C.table(spark, sf, "documents").select("doc_id", "text")
-    s = retrieval.bm25_filter(d, QUESTION, 1000, "text", "doc_id")
+    s = retrieval.bm25_filter(d, QUESTION, 100, "text", "doc_id")
     return s.select("doc_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
@@ -79,10 +79,10 @@ select a.doc_id, round(a.bm25_score, 6) as bm25_score, round(b.retriever_score,
 from ({bm25_sql(QUESTION, 'select doc_id, text from documents', 'doc_id', 'text')}) a
 join ({bm25_sql(QUESTION, 'select doc_id, text from documents', 'doc_id', 'text', 'whitespace', 'retriever_score')}) b
   using (doc_id)
-order by b.retriever_score desc, doc_id limit 1000""")
+order by b.retriever_score desc, doc_id limit 100""")
 def m4_bm25_retriever(spark, sf):
     d = C.table(spark, sf, "documents").select("doc_id", "text")
-    s = retrieval.bm25_retrieve(d, QUESTION, 1000, "text", "doc_id")
+    s = retrieval.bm25_retrieve(d, QUESTION, 100, "text", "doc_id")
     return s.select("doc_id", F.round("bm25_score", 6).alias("bm25_score"),
                     F.round("retriever_score", 6).alias("retriever_score"))
 
