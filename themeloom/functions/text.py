@@ -195,8 +195,9 @@ def heading_label(heading, model, temperature) -> Column:
 
 def parse_name_description(c) -> Column:
     """Typed parse of a ``{"name": ..., "description": ...}`` response.
-    Unparseable input gives a null struct, so callers can flag it."""
-    return F.from_json(_c(c), "name string, description string")
+    Input that is not whole gives a null struct, so callers can flag it."""
+    p = F.from_json(_c(c), "name string, description string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return F.when(p["_bad"].isNull(), F.struct(p["name"].alias("name"), p["description"].alias("description")))
 
 
 def space_tokens(c) -> Column:

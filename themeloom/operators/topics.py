@@ -420,15 +420,27 @@ def convex_hulls(df: DataFrame, group: str, x: str = "x", y: str = "y") -> DataF
 # persistence
 # ---------------------------------------------------------------------------
 
-def save_topic_model(path: str, topics: DataFrame, topic_terms: DataFrame, cents: DataFrame) -> None:
-    """The fitted topics as plain Parquet tables."""
-    topics.write.mode("overwrite").parquet(f"{path}/topics")
-    topic_terms.write.mode("overwrite").parquet(f"{path}/topic_terms")
-    cents.write.mode("overwrite").parquet(f"{path}/centroids")
+MODEL_PARTS = ("topics", "topic_terms", "centroids", "components")
 
 
-def load_topic_model(spark, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("topics", "topic_terms", "centroids")}
+def component_table(spark, model) -> DataFrame:
+    """The reduction's matrix (T1) as rows ``(component, loadings)``."""
+    pc = model.pc.toArray().T
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(pc)],
+                                 "component int, loadings array<double>")
+
+
+def save_topic_model(path: str, topics: DataFrame, topic_terms: DataFrame, centroids: DataFrame,
+                     components: DataFrame | None = None) -> None:
+    """The fitted topics as plain Parquet tables, with the reduction's
+    matrix if there was one."""
+    for name, part in zip(MODEL_PARTS, (topics, topic_terms, centroids, components)):
+        if part is not None:
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_topic_model(spark, path: str, parts=MODEL_PARTS) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in parts}
 
 
 # ---------------------------------------------------------------------------

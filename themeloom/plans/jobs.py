@@ -8,7 +8,9 @@ columns and pushes filters down to the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
@@ -49,17 +51,28 @@ def works_ranked(works: DataFrame, question: str, relevance_threshold: float = 1
     return ranked
 
 
-def works_funnel(works: DataFrame, relevance_threshold: float = 10) -> DataFrame:
-    """A12 for G1: rows left after each stage, and the over-long count (A9),
-    as one single-row plan of scalar subqueries."""
-    s0 = filters.drop_null(works, ["title", "abstract"])
-    s1 = filters.relevance_above(s0, relevance_threshold)
-    s2 = filters.drop_null(filters.unnest_works(s1), filters.BIBLIO_REQUIRED)
-    s3 = dedupe.keep_first(s2, "doi", "ordinal")
-    s4 = dedupe.keep_first(s3, "title", "ordinal")
-    final = works_filtered(works, relevance_threshold)
-    return stats.funnel_counts(works, input=works, not_null=s0, relevance=s1, biblio=s2, doi=s3, title=s4,
-                               not_retracted=final)
+def works_funnel(works: DataFrame, relevance_threshold: float = 10, long_tokens: int = 20_000) -> DataFrame:
+    """A12 for G1: rows left after each stage, and how many of the last are
+    over-long (A9). Every row carries flags; the two keep-first steps number
+    rows among those still in; one aggregate counts all stages."""
+    w = filters.unnest_works(works)
+    has = lambda cols: functools.reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in cols])
+    tokens = tx.token_count_estimate(tx.title_abstract("title", tx.clean_abstract("abstract")))
+    rows = w.select("ordinal", "doi", "title", F.coalesce(~F.col("is_retracted"), F.lit(False)).alias("in_print"),
+                    tokens.alias("tokens"), has(["title", "abstract"]).alias("not_null"),
+                    F.coalesce(F.col("relevance_score") > relevance_threshold, F.lit(False)).alias("relevant"),
+                    has(filters.BIBLIO_REQUIRED).alias("full"))
+    rows = (rows.withColumn("relevance", F.col("not_null") & F.col("relevant"))
+            .withColumn("biblio", F.col("relevance") & F.col("full")))
+    first = lambda key, among: F.col(among) & (F.row_number().over(
+        Window.partitionBy(key, among).orderBy("ordinal")) == 1)
+    # numbers are needed only among rows still in; a row that is out may have any
+    rows = rows.withColumn("by_doi", first("doi", "biblio"))
+    rows = rows.withColumn("by_title", first("title", "by_doi"))
+    rows = rows.withColumn("not_retracted", F.col("by_title") & F.col("in_print"))
+    return rows.agg(F.count("*").alias("input"), *[F.count_if(F.col(c)).alias(c) for c in (
+        "not_null", "relevance", "biblio", "by_doi", "by_title", "not_retracted")],
+        F.count_if(F.col("not_retracted") & (F.col("tokens") > long_tokens)).alias("over_long"))
 
 
 # ---------------------------------------------------------------- G2

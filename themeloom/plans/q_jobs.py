@@ -43,10 +43,25 @@ def g1_works_ranked(spark, sf):
     return r.select("ordinal", "doi", F.round("bm25_score", 6).alias("bm25_score"), "num_tokens")
 
 
-@register("g1_works_funnel")
+@register("g1_works_funnel", V("""
+with a as (select w.ordinal, w.doi, w.title, w.abstract, w.is_retracted,
+             w.title is not null and w.abstract is not null as s1,
+             s1 and coalesce(w.relevance_score > 10, false) as s2,
+             s2 and w.doi is not null and f.volume is not null and f.issue is not null and f.first_page is not null
+               and f.last_page is not null and f.pmid is not null and f.journal is not null and f.publisher is not null
+               and f.issn_l is not null as s3
+           from works w join works_flat f using (ordinal)),
+b as (select *, s3 and row_number() over (partition by doi, s3 order by ordinal) = 1 as s4 from a),
+c as (select *, s4 and row_number() over (partition by title, s4 order by ordinal) = 1 as s5 from b),
+d as (select *, s5 and not is_retracted as s6, <CLEAN> as abstract_clean from c),
+e as (select *, title || case when title like '%.' then ' ' else '. ' end || abstract_clean as ta from d)
+select count(*) as input, count_if(s1) as not_null, count_if(s2) as relevance, count_if(s3) as biblio, count_if(s4) as by_doi,
+       count_if(s5) as by_title, count_if(s6) as not_retracted,
+       count_if(s6 and len(regexp_extract_all(ta, '\\p{L}+|\\p{N}{1,3}|[^\\s\\p{L}\\p{N}]+')) > 500) as over_long
+from e""".replace("<CLEAN>", sql_clean("abstract")), "works", "works_flat"))
 def g1_works_funnel(spark, sf):
-    """Rows-only: the G1 filter funnel as one row of stage counts."""
-    return jobs.works_funnel(C.works_nested(spark, sf))
+    """The G1 filter funnel as one row of stage counts."""
+    return jobs.works_funnel(C.works_nested(spark, sf), long_tokens=500)
 
 
 G2_SQL = V(f"""

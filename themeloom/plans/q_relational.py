@@ -481,6 +481,16 @@ def w6_balanced_sample(spark, sf):
         "row_id", "gpt_model", "temperature")
 
 
+@register("w7_file_order_head", V("""
+select file_no, file_pos, 'wider' as category from (
+  select *, row_number() over (partition by file_no order by file_pos) as rn from abstracts where file_no <> 0) where rn <= 20""",
+                                   "abstracts"))
+def w7_file_order_head(spark, sf):
+    """The first rows of each file in file order."""
+    a = C.abstract_exports(spark, sf).filter("file_no <> 0").drop("category")
+    return C.ranked_export(a, 20, category="wider").select("file_no", "file_pos", "category")
+
+
 # ---------------------------------------------------------------- sets
 @register("u1_concat_exports", V("""
 select file_no, file_pos, doi, category from abstracts where file_no = 0

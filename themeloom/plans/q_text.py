@@ -230,9 +230,11 @@ def x20_heading_label(spark, sf):
                                                        F.col("temperature")).alias("label"))
 
 
-@register("x21_parse_name_description")
+@register("x21_parse_name_description", """
+select doc_id, case when doc_id % 5 <> 0 then text end as name, case when doc_id % 5 <> 0 then lang end as description,
+       doc_id % 5 = 0 as parse_failed from documents""")
 def x21_parse_name_description(spark, sf):
-    """Rows-only: every fifth response loses its closing brace and must come back flagged."""
+    """Every fifth response loses its closing brace and must come back flagged."""
     d = C.table(spark, sf, "documents")
     js = F.to_json(F.struct(F.col("text").alias("name"), F.col("lang").alias("description")))
     resp = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(js, "}$", "")).otherwise(js)

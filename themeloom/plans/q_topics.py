@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from themeloom.operators import embed as em
@@ -68,12 +69,21 @@ def m5_embed(spark, sf):
 
 
 # ---------------------------------------------------------------- T1-T3
-@register("t1_reduce_dimensions")
+@register("t1_reduce_dimensions", """
+select count(*) as n, least(50, count(*) - 2, any_value(len(embedding))) as k, true as orthonormal, true as by_variance,
+       true as uncorrelated from embeddings""")
 def t1_reduce_dimensions(spark, sf):
-    """Rows-only: PCA on unit vectors, k clamped to min(k, n-2, width)."""
+    """PCA on unit vectors, k clamped to min(k, n-2, width); what it must satisfy, as a row."""
     e = C.table(spark, sf, "embeddings")
-    red, _ = topics.reduce_dimensions(e, 50, "embedding", "reduced")
-    return red.select("vec_id", F.size("reduced").alias("k"))
+    red, model = topics.reduce_dimensions(e, 50, "embedding", "reduced")
+    pc = model.pc.toArray()
+    orthonormal = bool(np.allclose(pc.T @ pc, np.eye(pc.shape[1]), atol=1e-8))
+    v = [F.col("reduced")[i] for i in range(3)]
+    s = red.agg(F.count("*").alias("n"), F.max(F.size("reduced")).cast("bigint").alias("k"),
+                *[F.variance(v[i]).alias(f"v{i}") for i in range(3)], F.corr(v[0], v[1]).alias("c1"), F.corr(v[1], v[2]).alias("c2"))
+    return s.select("n", "k", F.lit(orthonormal).alias("orthonormal"),
+                    ((F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2"))).alias("by_variance"),
+                    ((F.abs("c1") < 1e-6) & (F.abs("c2") < 1e-6)).alias("uncorrelated"))
 
 
 T2_SQL = f"""
@@ -183,12 +193,21 @@ def t10_representative_docs(spark, sf):
 
 
 # ---------------------------------------------------------------- T11-T13
-@register("t11_reduce_topics")
+@register("t11_reduce_topics", V("""
+select count(*) as n_docs, sum(case when topic = -1 then 1 else 0 end) as n_noise, 4 as n_topics, true as by_size,
+       count(distinct topic) filter (topic <> -1) as n_merged
+from topic_docs where embedding is not null""", "topic_docs"))
 def t11_reduce_topics(spark, sf):
-    """Rows-only: merge the 9 topics of topic_docs down to 4, relabel the documents."""
-    td = C.topic_docs(spark, sf)
+    """The topics merged down to 4, documents relabelled; what must hold, as a row."""
+    td = C.topic_docs(spark, sf).filter("embedding is not null")
     mapping = topics.reduce_topics(td.select("row_id", "topic"), td.select("row_id", "embedding"), 4)
-    return td.join(mapping, td.topic == mapping.old_topic).select("row_id", "old_topic", mapping.topic)
+    new = td.join(mapping, td.topic == mapping.old_topic).select("row_id", "old_topic", mapping.topic)
+    sizes = new.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("old_topic").alias("merged"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("topic") >= 0, F.struct("topic", "n")))), lambda x: -x["n"])
+    return sizes.agg(F.sum("n").alias("n_docs"), F.sum(F.when(F.col("topic") == -1, F.col("n")).otherwise(0)).alias("n_noise"),
+                     F.count_if(F.col("topic") >= 0).cast("int").alias("n_topics"),
+                     (F.array_sort(in_order) == in_order).alias("by_size"),
+                     F.sum(F.when(F.col("topic") >= 0, F.col("merged"))).alias("n_merged"))
 
 
 CENT_SQL = """
@@ -228,11 +247,18 @@ def t13_zero_shot_assignment(spark, sf):
 
 
 # ---------------------------------------------------------------- T14-T17
-@register("t14_project_2d")
+def _placed(spark, sf):
+    return topics.project_2d(C.topic_docs(spark, sf).filter("embedding is not null"))
+
+
+@register("t14_project_2d", V("""
+select count(*) as n, count(distinct row_id) as n_ids, true as uncorrelated, true as by_variance
+from topic_docs where embedding is not null""", "topic_docs"))
 def t14_project_2d(spark, sf):
-    """Rows-only: 2-D PCA coordinates with fixed axis signs."""
-    td = C.topic_docs(spark, sf)
-    return topics.project_2d(td).select("row_id", "topic", "x", "y")
+    """2-D PCA coordinates with fixed axis signs; what they must satisfy, as a row."""
+    s = _placed(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("n_ids"), F.corr("x", "y").alias("c"),
+                               F.variance("x").alias("vx"), F.variance("y").alias("vy"))
+    return s.select("n", "n_ids", (F.abs("c") < 1e-6).alias("uncorrelated"), (F.col("vx") >= F.col("vy")).alias("by_variance"))
 
 
 @register("t15_plot_table", V(f"""with {CTFIDF_SQL}, {TOP_SQL},
@@ -256,26 +282,50 @@ def t15_plot_table(spark, sf):
                     "citation_band", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
 
 
-@register("t16_convex_hulls")
+@register("t16_convex_hulls", V("""
+select 'g' || cast(row_id % 4 as varchar) as "group", count(*) as n_points, true as closed, true as convex, true as around_all
+from topic_docs where embedding is not null group by 1""", "topic_docs"))
 def t16_convex_hulls(spark, sf):
-    """Rows-only: closed hull ring per answer model over 2-D coordinates."""
-    td = C.topic_docs(spark, sf)
-    xy = topics.project_2d(td).withColumn("group", F.concat(F.lit("g"), (F.col("row_id") % 4).cast("string")))
-    return topics.convex_hulls(xy, "group")
-
-
-@register("t17_save_load_topics")
+    """Closed hull ring per group of 2-D coordinates; what a ring must satisfy, a row per group."""
+    from themeloom.session import stage
+
+    xy = stage(_placed(spark, sf).select(F.concat(F.lit("g"), (F.col("row_id") % 4).cast("string")).alias("group"), "x", "y"), "hull-points")
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("order", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rings = topics.convex_hulls(xy, "group").groupBy("group").agg(ring.alias("ring"))  # hull points only
+    left = lambda a, b, p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+    corners = F.sequence(F.lit(0), F.size("ring") - 3)
+    at = lambda i: F.get("ring", i)
+    sides = F.sequence(F.lit(0), F.size("ring") - 2)
+    point = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
+    held = xy.join(rings, "group").groupBy("group").agg(
+        F.count("*").alias("n_points"), F.bool_and(F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"),
+        F.bool_and(F.forall(corners, lambda i: left(at(i), at(i + 1), at(i + 2)) > 0)).alias("convex"),
+        F.bool_and(F.forall(sides, lambda i: left(at(i), at(i + 1), point) >= -1e-9)).alias("around_all"))
+    return held
+
+
+@register("t17_save_load_topics", """
+select unnest(['centroids', 'components', 'topic_terms', 'topics']) as part, true as any_rows, true as equal""")
 def t17_save_load_topics(spark, sf):
-    """Rows-only: fitted topics written as Parquet tables and read back."""
+    """Fitted topics written as Parquet tables and read back: each part holds rows, the same ones."""
     import uuid
     root = checkpoint_dir(spark).rstrip("/") + f"/topic-model-{uuid.uuid4().hex}"
     w = _weights(spark, sf)
     kw = topics.top_keywords(w, 10)
     names = topics.topic_names(kw)
     cent = topics.centroids(C.topic_docs(spark, sf), "topic", "embedding")
-    topics.save_topic_model(root, names, w, cent)
-    m = topics.load_topic_model(spark, root)
-    return m["topics"].join(m["centroids"], "topic").select("topic", "Name", F.size("centroid").alias("width"))
+    _, model = topics.reduce_dimensions(C.table(spark, sf, "embeddings"), 20)
+    kept = {"topics": names, "topic_terms": w, "centroids": cent, "components": topics.component_table(spark, model)}
+    topics.save_topic_model(root, **kept)
+    out = None
+    for part, back in topics.load_topic_model(spark, root).items():
+        # rows by digest, counted on both sides
+        row = F.xxhash64(F.to_json(F.struct(*kept[part].columns))).alias("row")
+        both = kept[part].select(row, F.lit(1).alias("n")).unionByName(back.select(row, F.lit(-1).alias("n")))
+        check = both.groupBy("row").agg(F.sum("n").alias("n")).agg(
+            F.lit(part).alias("part"), (F.count("*") > 0).alias("any_rows"), F.bool_and(F.col("n") == 0).alias("equal"))
+        out = check if out is None else out.unionByName(check)
+    return out
 
 
 # ---------------------------------------------------------------- L1-L5
@@ -296,11 +346,17 @@ def l1_request_table(spark, sf):
                                    "what are the themes?", done)
 
 
-@register("l2_response_records")
+@register("l2_response_records", V("""
+select array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), '|') as lines,
+       gpt_model, temperature, 'what are the themes?' as research_question, system_message, true as timed
+from answers""", "answers"))
 def l2_response_records(spark, sf):
-    """Rows-only: answer texts to stored records (lines, time, model, ...)."""
+    """Answer texts to stored records (lines, time, model, ...); the time is only checked for its form."""
     a = C.answers(spark, sf).withColumns({"research_question": F.lit("what are the themes?")})
-    return responses.response_records(a.withColumnRenamed("text", "answer_text")).drop("datetime")
+    r = responses.response_records(a.withColumnRenamed("text", "answer_text"))
+    timed = F.col("datetime").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$")
+    return r.select(F.array_join("answer", "|").alias("lines"), "gpt_model", "temperature", "research_question",
+                    "system_message", timed.alias("timed"))
 
 
 @register("l3_summary_requests", V(f"""with {CTFIDF_SQL},
