@@ -6,20 +6,21 @@ It runs inside ``mapInPandas`` so the text never leaves the executors, and is
 called on chunks of ``batch_size`` texts (the reference used 10 to bound
 memory).
 
-The default encoder works offline: signed feature hashing of word unigrams
-and character trigrams into ``dim`` buckets, sublinear term frequency, L2
-normalised. It gives lexical, not semantic, similarity; thresholds tuned for
-a neural encoder (e.g. 0.85 zero-shot) must stay parameters.
+The default encoder works offline: words are hashed into ``dim`` buckets with a
+sign, both from the MD5 of the word (so that another engine can restate it),
+term frequency is sublinear, vectors are L2 normalised. It gives lexical, not
+semantic, similarity; thresholds tuned for a neural encoder (e.g. 0.85
+zero-shot) must stay parameters.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,29 +28,27 @@ _WORD = re.compile(r"\w+", re.UNICODE)
 
 
 class HashingEncoder:
-    def __init__(self, dim: int = 384, seed: int = 42):
-        self.dim, self.seed = dim, seed
+    """Each distinct word of a call is hashed once; sums run over arrays."""
 
-    def _features(self, text: str):
-        t = (text or "").lower()
-        words = _WORD.findall(t)
-        feats = list(words)
-        for w in words:
-            p = f"#{w}#"
-            feats.extend(p[i:i + 3] for i in range(len(p) - 2))
-        return feats
+    def __init__(self, dim: int = 384):
+        self.dim = dim
+
+    def place(self, word: str) -> tuple[int, float]:
+        h = hashlib.md5(word.encode()).hexdigest()
+        return int(h[:8], 16) % self.dim, 1.0 if int(h[8], 16) < 8 else -1.0
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for r, text in enumerate(texts):
-            counts: dict[int, float] = {}
-            for f in self._features(text):
-                h = xxhash.xxh64_intdigest(f, seed=self.seed)
-                idx = h % self.dim
-                sign = 1.0 if (h >> 63) & 1 else -1.0
-                counts[idx] = counts.get(idx, 0.0) + sign
-            for idx, v in counts.items():
-                out[r, idx] = np.sign(v) * (1.0 + np.log(abs(v))) if v != 0 else 0.0
+        words = [_WORD.findall((t or "").lower()) for t in texts]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        out = np.zeros((len(texts), self.dim))
+        if number:
+            place = [self.place(w) for w in number]
+            bucket, sign = np.array([p for p, _ in place]), np.array([s for _, s in place])
+            row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+            word = np.array([number[w] for ws in words for w in ws])
+            pairs, tf = np.unique(row * len(number) + word, return_counts=True)
+            row, word = pairs // len(number), pairs % len(number)
+            np.add.at(out, (row, bucket[word]), sign[word] * (1.0 + np.log(tf)))
         n = np.linalg.norm(out, axis=1, keepdims=True)
         n[n == 0] = 1.0
         return out / n

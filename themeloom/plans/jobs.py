@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
+from themeloom.functions import vectors as vx
 from themeloom.operators import dedupe, embed, filters, ranking, responses, retrieval, similarity, stats, topics
 from themeloom.session import stage
 from themeloom.sources import corpora
@@ -109,18 +110,32 @@ def answers_long(records: DataFrame, cap: int = 100, seed: int = 42) -> DataFram
 # ---------------------------------------------------------------- G4 / G5
 def discover_topics(docs: DataFrame, threshold: float, min_size: int, id_col: str = "row_id",
                     vec: str = "embedding", text_col: str = "text", n_keywords: int = 10,
-                    ngram_range=(1, 2), block_rows: int = 1024) -> dict[str, DataFrame]:
-    """T2 -> T3 -> T4 -> T5 -> T6/T7 -> T10. Returns the documents with
-    ``topic, probability`` and the topic tables."""
-    assign, edges = topics.density_clusters(docs, threshold, min_size, id_col, vec, block_rows)
-    prob = topics.membership_probability(assign, edges, id_col)
+                    ngram_range=(1, 2), block_rows: int = 1024, reduce_to: int | None = None,
+                    n_topics: int | None = None, save_to: str | None = None) -> dict[str, DataFrame]:
+    """T1 -> T2 -> T3 -> T11 -> T4 -> T5 -> T6/T7 -> T10 -> T17. Returns the
+    documents with ``topic, probability`` and the topic tables. Vectors are
+    reduced to ``reduce_to`` dimensions and topics merged to ``n_topics`` where
+    given; ``save_to`` is a folder for the fitted topics."""
+    points, model = docs, None
+    if reduce_to is not None:
+        points, model = topics.reduce_dimensions(docs, reduce_to, vec, "_reduced")
+        points = points.drop(vec).withColumnRenamed("_reduced", vec)
+    assign, edges = topics.density_clusters(points, threshold, min_size, id_col, vec, block_rows)
+    prob = stage(topics.membership_probability(assign, edges, id_col), "topic-assignment")
     d = docs.join(prob, id_col)
+    if n_topics is not None:
+        merged = topics.reduce_topics(prob, docs.select(id_col, vec), n_topics, id_col, vec)
+        d = (d.join(merged.withColumnRenamed("topic", "_merged"), F.col("topic") == F.col("old_topic"))
+             .withColumn("topic", F.col("_merged")).drop("old_topic", "_merged"))
     counts = topics.topic_term_counts(d, "topic", text_col, ngram_range)
     weights = topics.ctfidf(counts)
     kw = topics.top_keywords(weights, n_keywords)
     names = topics.topic_names(kw)
     reps = topics.representative_docs(d, weights, 3, "topic", id_col, text_col, ngram_range)
     info = stats.topic_info(d).join(names.withColumnRenamed("topic", "Topic"), "Topic", "left")
+    if save_to is not None:
+        parts = topics.component_table(docs.sparkSession, model) if model is not None else None
+        topics.save_topic_model(save_to, info, weights, topics.centroids(d, "topic", vec), parts)
     return {"documents": d, "edges": edges, "topic_terms": weights, "keywords": kw, "topics": info,
             "representative_docs": reps}
 
@@ -172,6 +187,18 @@ def topic_bar_counts(docs: DataFrame, names: DataFrame) -> DataFrame:
     return counts.join(names, "topic", "inner")
 
 
+def topic_map(plot_rows: DataFrame, sigma: float = 0.05, seed: int = 7, id_col: str = "row_id") -> DataFrame:
+    """G6 map: the plot table's points jittered (X23) so that copies do not
+    cover each other, with the citation band that sizes them."""
+    return plot_rows.filter(F.col("x").isNotNull()).withColumns({
+        "x_shown": vx.gaussian_jitter("x", sigma, seed, id_col), "y_shown": vx.gaussian_jitter("y", sigma, seed + 1, id_col)})
+
+
+def topic_hulls(plot_rows: DataFrame) -> DataFrame:
+    """G6 outlines: the closed hull ring (T16) of each topic's points, in order."""
+    return topics.convex_hulls(filters.drop_noise(plot_rows).filter(F.col("x").isNotNull()), "topic")
+
+
 # ---------------------------------------------------------------- G7
 def recluster_topic(docs: DataFrame, topic: int, user_topics: DataFrame, min_similarity: float,
                     threshold: float, min_size: int, id_col: str = "row_id", vec: str = "embedding",

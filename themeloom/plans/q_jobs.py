@@ -9,9 +9,10 @@ from themeloom.plans import jobs
 from themeloom.plans.fixture_sql import with_views as V
 from themeloom.plans.q_retrieval import QUESTION, bm25_sql
 from themeloom.plans.q_text import SQL_HEADINGS, fill, sql_clean
-from themeloom.plans.q_topics import FIRST_SENTENCE, TOP_SQL
+from themeloom.plans.q_text import drawn
+from themeloom.plans.q_topics import CTFIDF_SQL, FIRST_SENTENCE, TOP_SQL
 from themeloom.plans.registry import register
-from themeloom.session import checkpoint_dir
+from themeloom.session import checkpoint_dir, shared_folder
 from themeloom.sources import corpora as C
 
 G1_SQL = V(f"""
@@ -114,14 +115,31 @@ def g3_answers_long(spark, sf):
     return long.select("row_id", "pos", "heading", "answer_cleaned")
 
 
-@register("g4_discover_topics")
+G4_SQL = f"""
+with recursive base as (select vec_id, embedding from embeddings where vec_id in (select doc_id from documents)),
+e as (select a.vec_id as s, b.vec_id as d from base a join base b on a.vec_id <> b.vec_id
+      where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.35),
+r(id, c) as (select vec_id, vec_id from base union select e.d, r.c from r join e on r.id = e.s),
+comp as (select id, min(c) as label from r group by id),
+sz as (select label, count(*) as size from comp group by label),
+num as (select label, cast(row_number() over (order by size desc, label) - 1 as integer) as topic from sz where size >= 10),
+topic_docs as (select coalesce(num.topic, -1) as topic, d.text as title_abstract
+               from comp left join num using (label) join documents d on d.doc_id = comp.id), {CTFIDF_SQL},
+names as (select topic, cast(topic as varchar) || '_' || string_agg(term, '_' order by rank) as nm
+          from kw where rank <= 4 group by topic)
+select t.topic as "Topic", count(*) as "Count", n.nm as "Name" from topic_docs t left join names n using (topic) group by all"""
+
+
+@register("g4_discover_topics", G4_SQL)
 def g4_discover_topics(spark, sf):
-    """Rows-only: density topics on the vectors, keywords from the texts."""
-    checkpoint_dir(spark)
+    """Reduction, density topics on the vectors, keywords from the texts, saved
+    and read back. All 64 dimensions are kept, which leaves similarities as
+    they are, so that SQL can restate the topics."""
     td = C.topic_docs(spark, sf).filter("embedding is not null")
     td = td.drop("topic", "probability").withColumnRenamed("title_abstract", "text")
-    out = jobs.discover_topics(td, 0.35, 10, block_rows=128)
-    return out["topics"].select("Topic", "Count", "Name")
+    folder = shared_folder(spark, "topic-model")
+    jobs.discover_topics(td, 0.35, 10, block_rows=128, reduce_to=64, save_to=folder)
+    return topics.load_topic_model(spark, folder)["topics"].select("Topic", "Count", "Name")
 
 
 @register("g5_summarise_topics", V(f"""with {TOP_SQL}
@@ -148,6 +166,33 @@ def g6_topic_bar_counts(spark, sf):
     return jobs.topic_bar_counts(td, names)
 
 
+@register("g6_topic_map", V(f"""
+with q as (select cast(floor(quantile_cont(cast(total_cites as double), 0.25)) as bigint) as q1,
+             cast(floor(quantile_cont(cast(total_cites as double), 0.5)) as bigint) as q2,
+             cast(floor(quantile_cont(cast(total_cites as double), 0.75)) as bigint) as q3 from topic_docs where topic <> -1)
+select row_id, topic, case when total_cites < q1 then '5-' || (q1 - 1) when total_cites < q2 then q1 || '-' || (q2 - 1)
+         when total_cites < q3 then q2 || '-' || (q3 - 1) else q3 || '+' end as citation_band,
+       round(0.05 * sqrt(-2 * ln({drawn(7, 0, 'row_id')})) * cos(2 * pi() * {drawn(7, 1, 'row_id')}), 6) as dx,
+       round(0.05 * sqrt(-2 * ln({drawn(8, 0, 'row_id')})) * cos(2 * pi() * {drawn(8, 1, 'row_id')}), 6) as dy
+from topic_docs, q where topic <> -1 and embedding is not null""", "topic_docs"))
+def g6_topic_map(spark, sf):
+    """The citation-sized map: bands, and how far each point is moved."""
+    m = jobs.topic_map(jobs.plot_table(C.topic_docs(spark, sf), text_col="title_abstract"))
+    return m.select("row_id", "topic", "citation_band", F.round(F.col("x_shown") - F.col("x"), 6).alias("dx"),
+                    F.round(F.col("y_shown") - F.col("y"), 6).alias("dy"))
+
+
+@register("g6_topic_hulls", V("""
+select topic, true as closed, true as enough from topic_docs where topic <> -1 and embedding is not null
+group by topic having count(*) >= 3""", "topic_docs"))
+def g6_topic_hulls(spark, sf):
+    """The outline of each topic on the map: a closed ring of three corners or more."""
+    xy = topics.project_2d(C.topic_docs(spark, sf).filter("embedding is not null"))
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("order", "x", "y"))), lambda p: F.struct(p["x"], p["y"]))
+    return (jobs.topic_hulls(xy).groupBy("topic").agg(ring.alias("ring"))
+            .select("topic", (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"), (F.size("ring") >= 4).alias("enough")))
+
+
 @register("g7_recluster_topic")
 def g7_recluster_topic(spark, sf):
     """Rows-only: topic 2 re-split by zero-shot to two user topics, rest clustered."""

@@ -253,14 +253,15 @@ def x22_two_tokenisations(spark, sf):
                     F.size(tx.whitespace_tokens("text")).cast("bigint").alias("n_ws_tokens"))
 
 
-def _drawn(seed: int, part: int) -> str:
-    h = f"substr(md5('{seed}|' || cast(vec_id as varchar)), {1 + 12 * part}, 12)"
+def drawn(seed: int, part: int, row_id: str = "vec_id") -> str:
+    """The draw of ``vectors._uniform`` in SQL."""
+    h = f"substr(md5('{seed}|' || cast({row_id} as varchar)), {1 + 12 * part}, 12)"
     return f"(cast(cast('0x' || {h} as bigint) as double) + 0.5) / 281474976710656.0"
 
 
 @register("x23_jitter", f"""
-select vec_id, round(cast(embedding[1] as double) + 0.5 * sqrt(-2 * ln({_drawn(7, 0)})) * cos(2 * pi() * {_drawn(7, 1)}), 6) as x,
-       round(cast(embedding[2] as double) + ({_drawn(11, 0)} - 0.5) * 0.4, 6) as y
+select vec_id, round(cast(embedding[1] as double) + 0.5 * sqrt(-2 * ln({drawn(7, 0)})) * cos(2 * pi() * {drawn(7, 1)}), 6) as x,
+       round(cast(embedding[2] as double) + ({drawn(11, 0)} - 0.5) * 0.4, 6) as y
 from embeddings""")
 def x23_jitter(spark, sf):
     """Gaussian jitter and uniform offset of plot coordinates, drawn by row id."""

@@ -59,13 +59,29 @@ def _weights(spark, sf):
 
 
 # ---------------------------------------------------------------- M5
-@register("m5_embed")
+@register("m5_embed", """
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as word from documents),
+tf as (select doc_id, word, count(*) as n from w group by all),
+f as (select doc_id, cast('0x' || substr(md5(word), 1, 8) as bigint) % 384 as i,
+             (case when cast('0x' || substr(md5(word), 9, 1) as int) < 8 then 1 else -1 end) * (1 + ln(n)) as v from tf),
+e as (select doc_id, i, sum(v) as v from f group by all),
+s as (select doc_id, string_agg(i || case when v > 0 then '+' else '-' end, ' ' order by i) as signs,
+             arg_max(i, round(abs(v), 9) - i / 1e9) as largest
+      from e where abs(v) > 1e-6 group by doc_id)
+select d.doc_id, 384 as dim, coalesce(md5(s.signs), '') as signs, s.largest, case when s.signs is null then 0 else 1 end as norm2
+from documents d left join s using (doc_id)""")
 def m5_embed(spark, sf):
-    """Rows-only: default offline encoder, 384-d unit vectors, batches of 10."""
+    """Default offline encoder: 384-d unit vectors, batches of 10; which
+    components have which sign, and the largest."""
     d = C.table(spark, sf, "documents").select("doc_id", "text")
     e = em.embed(d, "text", "embedding", dim=384, batch_size=10)
-    return e.select("doc_id", F.size("embedding").alias("dim"),
-                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+    found = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("v"))),
+                     lambda c: F.abs(c["v"]) > 1e-8)
+    signs = F.array_join(F.transform(found, lambda c: F.concat(c["i"].cast("string"), F.when(c["v"] > 0, "+").otherwise("-"))), " ")
+    largest = F.array_max(F.transform(found, lambda c: F.struct(F.round(F.abs(c["v"]), 6), -c["i"])))["col2"]
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.when(F.size(found) > 0, F.md5(signs)).otherwise("").alias("signs"),
+                    (-largest).cast("bigint").alias("largest"), F.round(norm2).cast("int").alias("norm2"))
 
 
 # ---------------------------------------------------------------- T1-T3
