@@ -200,24 +200,52 @@ def topic_hulls(plot_rows: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- G7
-def recluster_topic(docs: DataFrame, topic: int, user_topics: DataFrame, min_similarity: float,
-                    threshold: float, min_size: int, id_col: str = "row_id", vec: str = "embedding",
-                    text_col: str = "text") -> DataFrame:
-    """One topic's documents re-split: zero-shot to the user topics (T13),
-    the rest clustered (T2) with fresh ids after the user topic ids."""
-    sub = filters.drop_nested(filters.select_topic(docs, topic).select(id_col, vec, text_col), [])
-    assigned, rest = topics.zero_shot(sub, user_topics, min_similarity, id_col, vec)
-    n_user = user_topics.agg(F.max("topic")).scalar() + 1
-    clustered, _ = topics.density_clusters(rest, threshold, min_size, id_col, vec)
-    clustered = clustered.withColumn("topic", F.when(F.col("topic") == -1, -1).otherwise(F.col("topic") + n_user))
-    merged = assigned.select(id_col, "topic").unionByName(clustered)
-    return sub.join(merged, id_col)
+def user_topics(keywords: DataFrame, encoder=None, **embed_options) -> DataFrame:
+    """(topic, name, centroid) of a user's topics given as (topic, keywords),
+    the keywords a comma-separated text (X19 -> M5)."""
+    named = keywords.withColumn("name", F.array_join(tx.keyword_list("keywords", trim_only=True), " "))
+    return embed.embed(named, "name", "centroid", encoder=encoder, **embed_options).select("topic", "name", "centroid")
+
+
+def recluster_topic(docs: DataFrame, topic: int, keywords: DataFrame, min_similarity: float,
+                    threshold: float, min_size: int, id_col: str = "row_id", text_col: str = "text",
+                    encoder=None, completer=None) -> dict[str, DataFrame]:
+    """One topic's documents re-split. They and the user's keywords (topic,
+    keywords) are embedded alike; documents near a user topic take it (T13),
+    the rest is clustered (T2) with fresh ids after the user's, and what
+    results is summarised and prepared for plotting (W4 -> L3 -> L5 -> T15).
+    Returns ``documents``, ``user_topics``, ``summaries`` and ``plot``."""
+    sub = stage(embed.embed(filters.select_topic(docs, topic).drop("topic", "probability", "embedding"), text_col,
+                            "embedding", encoder=encoder), "recluster")
+    wanted = stage(user_topics(keywords, encoder), "user-topics")
+    assigned, rest = topics.zero_shot(sub, wanted, min_similarity, id_col, "embedding")
+    first_free = (wanted.agg(F.max("topic")).first()[0] or 0) + 1  # one number
+    clustered, edges = topics.density_clusters(rest, threshold, min_size, id_col, "embedding")
+    found = topics.membership_probability(clustered, edges, id_col).withColumn(
+        "topic", F.when(F.col("topic") == -1, -1).otherwise(F.col("topic") + first_free))
+    merged = assigned.select(id_col, "topic", F.col("similarity").alias("probability")).unionByName(found)
+    d = stage(sub.join(merged, id_col), "reclustered")
+    refined = refined_keywords(d, text_col, id_col)[1]
+    return {"documents": d, "user_topics": wanted, "summaries": summarise_topics(d, refined, completer, text_col),
+            "plot": plot_table(d, text_col, id_col)}
 
 
 # ---------------------------------------------------------------- G8
-def corpus_overlap(abstracts: DataFrame, answers: DataFrame, n: int = 3, vec: str = "embeddings") -> DataFrame:
-    """Align the two corpora (F13/F14 -> U2) and, for each answer topic's
-    first representative document, the ``n`` most similar abstracts (M6)."""
+JOINT_COLUMNS = ["row_id", "text", "topic", "total_cites", "embedding"]
+
+
+def joint_corpora(abstracts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Both corpora in one schema (F13, F14 -> U2) with the coordinates of
+    one projection over both (T14). Answers have no citations."""
+    a = filters.with_constants(filters.project(abstracts, JOINT_COLUMNS), {"source": "abstracts"})
+    g = filters.project(answers.withColumn("total_cites", F.lit(None).cast("bigint")), JOINT_COLUMNS)
+    both = a.unionByName(filters.with_constants(g, {"source": "answers"}))
+    return topics.project_2d(both.filter(F.col("embedding").isNotNull()), "embedding", "row_id")
+
+
+def corpus_overlap(abstracts: DataFrame, answers: DataFrame, n: int = 3, vec: str = "embedding") -> DataFrame:
+    """For each answer topic's first representative answer, the ``n`` most
+    similar abstracts (W4 -> M6)."""
     reps = ranking.top_docs_per_topic(answers, 5).filter(F.col("rank") == 1)
     q = reps.select(F.col("topic").cast("long").alias("topic"), F.col(vec).alias("embedding"))
     c = abstracts.select(F.col("row_id"), F.col(vec).alias("embedding"))

@@ -193,24 +193,47 @@ def g6_topic_hulls(spark, sf):
             .select("topic", (F.element_at("ring", 1) == F.element_at("ring", -1)).alias("closed"), (F.size("ring") >= 4).alias("enough")))
 
 
-@register("g7_recluster_topic")
+@register("g7_recluster_topic", V("""
+select row_id, true as placed, true as in_range from topic_docs where topic = 2""", "topic_docs"))
 def g7_recluster_topic(spark, sf):
-    """Rows-only: topic 2 re-split by zero-shot to two user topics, rest clustered."""
-    checkpoint_dir(spark)
-    td = C.topic_docs(spark, sf).filter("embedding is not null").withColumnRenamed("title_abstract", "text")
-    user = topics.centroids(filters.select_topic(td, 2), "topic", "embedding").select(
-        F.lit(0).alias("topic"), "centroid").unionByName(
-        topics.centroids(filters.select_topic(td, 4), "topic", "embedding").select(F.lit(1).alias("topic"), "centroid"))
-    out = jobs.recluster_topic(td, 2, user, 0.3, 0.35, 5)
-    return out.select("row_id", "topic")
+    """Topic 2 re-split by two keyword lists, the rest clustered: every document
+    comes back once, with coordinates unless it is noise, and a topic of the
+    user's, a fresh one or -1."""
+    td = C.topic_docs(spark, sf).withColumnRenamed("title_abstract", "text")
+    lists = spark.createDataFrame([(0, "the, and, of the"), (1, "der, die, das")], "topic int, keywords string")
+    out = jobs.recluster_topic(td, 2, lists, 0.3, 0.6, 5)
+    plot = out["plot"].select("row_id", F.col("x").isNotNull().alias("seen"), F.col("Name").alias("named"))
+    d = out["documents"].join(plot, "row_id", "left")
+    return d.select("row_id", (F.coalesce("seen", F.lit(False)) == (F.col("topic") != -1)).alias("placed"),
+                    (F.col("topic") >= -1).alias("in_range"))
+
+
+def _embedded_corpora(spark, sf):
+    """Documents as abstracts and assistant turns as answers, embedded alike."""
+    from themeloom.operators import embed
+    from themeloom.session import stage
+
+    d = C.topic_docs(spark, sf).select("row_id", F.col("title_abstract").alias("text"), "topic", "total_cites")
+    a = C.answers(spark, sf).select("row_id", "text", (F.col("row_id") % 5).cast("int").alias("topic"),
+                                    ((F.col("row_id") % 100) / 100).alias("probability"))
+    return [stage(embed.embed(x, "text", "embedding", dim=64), "g8") for x in (d, a)]
+
+
+@register("g8_joint_corpora", V("""
+select 'abstracts' as source, row_id, topic, total_cites, true as placed from topic_docs
+union all select 'answers', row_id, cast(row_id % 5 as integer), null, true from answers""", "topic_docs", "answers"))
+def g8_joint_corpora(spark, sf):
+    """Both corpora in one schema with the coordinates of one projection."""
+    abstracts, answers = _embedded_corpora(spark, sf)
+    j = jobs.joint_corpora(abstracts, answers)
+    return j.select("source", "row_id", "topic", "total_cites", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
 
 
 @register("g8_corpus_overlap")
 def g8_corpus_overlap(spark, sf):
-    """Rows-only: for each topic's first representative answer, the 3 most similar abstracts."""
-    td = C.topic_docs(spark, sf).filter("embedding is not null").withColumnRenamed("embedding", "embeddings")
-    cands = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("embeddings"))
-    return jobs.corpus_overlap(cands, td, 3)
+    """Rows-only: for each topic's first representative answer, the 3 most
+    similar abstracts (the offline encoder's vectors on both sides)."""
+    return jobs.corpus_overlap(*_embedded_corpora(spark, sf), 3)
 
 
 G9_SQL = V("""
