@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from themeloom.session import checkpoint_dir
+from themeloom.session import shared_folder, stage  # noqa: F401  (the operators' way to written tables)
 
 #: ASCII white space, as a Java character class. Python's ``bytes.split`` and
 #: ``bytes.strip`` use exactly this set, and ``bytes.lower`` maps A-Z only.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder (``spark.checkpoint.dir``)."""
-    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    The plan runs once, later readers prune columns, and a lost executor costs
-    only the tasks it ran.
-    """
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str = "text") -> Column:
