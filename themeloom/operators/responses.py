@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions import text as tx
-from themeloom.operators import filters, joins, ranking, stats
+from themeloom.operators import filters, joins, ranking
 from themeloom.sources.io import SUMMARY_RECORD
 
 # The default summary request: its two places take the texts and the keywords.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.operators import filters, topics
+from themeloom.operators import topics
 from themeloom.plans import jobs
 from themeloom.plans.fixture_sql import with_views as V
 from themeloom.plans.q_retrieval import QUESTION, bm25_sql
@@ -12,7 +12,7 @@ from themeloom.plans.q_text import SQL_HEADINGS, fill, sql_clean
 from themeloom.plans.q_text import drawn
 from themeloom.plans.q_topics import CTFIDF_SQL, FIRST_SENTENCE, TOP_SQL
 from themeloom.plans.registry import register
-from themeloom.session import checkpoint_dir, shared_folder
+from themeloom.session import shared_folder
 from themeloom.sources import corpora as C
 
 G1_SQL = V(f"""
