@@ -151,10 +151,11 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 100, se
               .select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first_id").distinct())
     repeated = keyed.groupBy("page_id", "digest").count().filter("count > 1 or page_id is null").select(
         F.col("page_id").alias("id"), F.col("digest").alias("d"), F.lit(True).alias("copy"))
-    notes = refers.unionByName(repeated, allowMissingColumns=True).groupBy("id", "d").agg(
-        F.max("first_id").alias("first_id"), F.max("copy").alias("copy"))
+    # written, so that Spark knows their size: pages move only if the notes on them are many
+    notes = stage(refers.unionByName(repeated, allowMissingColumns=True).groupBy("id", "d").agg(
+        F.max("first_id").alias("first_id"), F.max("copy").alias("copy")), "page-notes")
     (pages.withColumn("digest", digest)
-     .join(notes.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
+     .join(notes, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
      .select("page_id", "url", "html", "digest", "first_id", F.coalesce("copy", F.lit(False)).alias("copy"))
      .mapInArrow(_written(segment_bytes, chunk_bytes), "value binary")
      .select(F.col("value").cast("string").alias("value"))
