@@ -76,10 +76,14 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments:
     best = stage(index.select(F.lit(0).cast("long").alias("query"), "code", "held", "first",
                               F.lit(0).alias("distance")).limit(0), "hamming-best")
     open_, closed = every, best
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for radius in range(width + 1):
+        # few rows become very many: they are dealt out first, and the join is told
+        # to build on the index, as Spark would take the probes for a small table
         probes = (open_.select("query", "bound", *own, F.posexplode(F.array(*own)).alias("segment", "__own"))
+                  .repartition(tasks, "query", "segment")
                   .withColumn("value", F.explode(F.transform(_flips(width, radius), lambda m: m.bitwiseXOR(F.col("__own"))))))
-        found = (probes.join(index, ["segment", "value"])
+        found = (probes.join(index.hint("shuffle_hash"), ["segment", "value"])
                  .select("query", "code", "held", "first", _distance(segments).alias("distance"), "bound")
                  .filter(F.col("bound").isNull() | (F.col("distance") <= F.col("bound"))).drop("bound"))
         # a code met in several segments counts once; k codes hold k ids at least
