@@ -83,3 +83,29 @@ def test_neighbours_match_plain_bm25():
         assert sorted(got) == np.flatnonzero(unused).tolist()
         s = np.array([score(q, d) for d in got])
         assert (np.diff(s) <= 1e-9).all()
+
+
+def test_production_query_holds_every_shared_token():
+    rng = np.random.default_rng(5)
+    rare = np.arange(1000, 1070)                   # 70 tokens that two documents share
+    middling = np.arange(2000, 2200)               # 200 tokens that six documents share
+    seed = np.concatenate([rare, middling])
+    docs = [seed, rare[:2], *[middling] * 5, *[rng.integers(0, 900, 200) for _ in range(40)], rare[2:]]
+    docs = [d.astype(np.uint32) for d in docs]
+    index, plain = packing.ShardIndex(docs), packing.ShardIndex(docs, query_terms=100_000)
+    unused = np.ones(len(docs), bool)
+    unused[0] = False
+    got = index.neighbours(0, unused).tolist()
+    assert got == plain.neighbours(0, unused).tolist()
+    # five whole copies of the middling tokens outweigh two rare ones
+    assert got.index(1) > max(got.index(d) for d in range(2, 7))
+
+
+def test_dropping_used_documents_keeps_the_order_of_the_rest():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 300, rng.integers(80, 200)).astype(np.uint32) for _ in range(80)]
+    index, whole, unused = packing.ShardIndex(docs), packing.ShardIndex(docs), np.ones(80, bool)
+    for q in range(0, 60, 6):
+        unused[q:q + 6] = False
+        index.drop_used(unused)
+        assert index.neighbours(q, unused).tolist() == whole.neighbours(q, unused).tolist()

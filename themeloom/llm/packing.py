@@ -29,9 +29,10 @@ PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence
 class ShardIndex:
     """BM25 postings over the token ids of a shard's documents.
 
-    A query is a document's ``query_terms`` rarest tokens that others hold too."""
+    A query is all of a document's tokens that others hold too, or its
+    ``query_terms`` rarest ones."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 64):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int | None = None):
         self.n, self.query_terms = len(docs), query_terms
         lengths = np.array([len(d) for d in docs])
         flat = np.concatenate(docs).astype(np.int64)
@@ -48,11 +49,17 @@ class ShardIndex:
         self.doc_at = np.searchsorted(doc, np.arange(self.n + 1))
         self.df, self.idf = df, idf
 
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Postings of used documents go; the scores of the others stay as they are."""
+        keep = unused[self.post_doc]
+        self.post_at = np.concatenate([[0], np.cumsum(keep)])[self.post_at]
+        self.post_doc, self.post_weight = self.post_doc[keep], self.post_weight[keep]
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents: by falling score, those without a score last, ties in order."""
         terms = self.terms[self.doc_at[seed]:self.doc_at[seed + 1]]
         terms = terms[self.df[terms] > 1]
-        if len(terms) > self.query_terms:
+        if self.query_terms is not None and len(terms) > self.query_terms:
             terms = terms[np.argsort(self.df[terms], kind="stable")[:self.query_terms]]
         spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
         left = np.flatnonzero(unused)
@@ -68,7 +75,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     index = ShardIndex(docs)
     unused = np.ones(len(docs), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
-    seq, following, left_over = 0, 0, None
+    seq, following, left_over, listed = 0, 0, None, len(docs)
 
     while True:
         if left_over is None:
@@ -86,6 +93,9 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
         if start + take < len(docs[doc]):
             left_over = (doc, start + take)
         elif room:
+            if (n := np.count_nonzero(unused)) < 0.85 * listed:
+                index.drop_used(unused)
+                listed = n
             for near in map(int, index.neighbours(doc, unused)):
                 unused[near] = False
                 take = min(room, len(docs[near]))
