@@ -109,3 +109,28 @@ def test_dropping_used_documents_keeps_the_order_of_the_rest():
         unused[q:q + 6] = False
         index.drop_used(unused)
         assert index.neighbours(q, unused).tolist() == whole.neighbours(q, unused).tolist()
+
+
+def test_statistics_cover_all_shards(spark, monkeypatch):
+    ship_package(spark)
+    rows = [(i, "common word " * (1 + i % 3) + f"w{chr(97 + i % 20)}x") for i in range(120)] + [(None, None), (7, "")]
+    df = spark.createDataFrame([(*r, "s", "l", "i") for r in rows], DOCS)
+    made, plain = [], packing.corpus_of
+    monkeypatch.setattr(packing, "corpus_of", lambda encoded: made.append(plain(encoded)) or made[-1])
+    assert packing.pack_documents(df, queries.TOKENIZER, window=64, shard_bytes=300).select("sequence_id").count()
+    tok = Tokenizer.from_file(queries.TOKENIZER)
+    ids = [tok.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows]
+    [corpus] = made
+    assert (corpus.n, corpus.tokens) == (len(ids), sum(map(len, ids)))
+    assert {t: n for t, n in enumerate(corpus.df.tolist()) if n} == {t: sum(t in x for x in ids) for x in ids for t in x}
+
+
+def test_index_weighs_by_corpus_statistics():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint32) for _ in range(90)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
+    whole = packing.ShardIndex(docs)
+    part = packing.ShardIndex(docs[:30], corpus=packing.Corpus(90, sum(map(len, docs)), df))
+    unused = np.arange(90) < 30
+    for q in range(30):
+        assert part.neighbours(q, unused[:30]).tolist() == whole.neighbours(q, unused).tolist()

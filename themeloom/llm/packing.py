@@ -2,7 +2,8 @@
 
 Documents are dealt by hash to shards of about ``shard_bytes`` of text; a task
 packs one shard at a time. A shard's inverted index holds the BM25 weight of
-every (token, document). A window begins with a seed: what is left of the
+every (token, document); the statistics in it are those of the whole corpus, but
+only the seed's own shard is asked for neighbours. A window begins with a seed: what is left of the
 document that the window before cut, else the next unused document. The index
 returns the seed's unused neighbours, best first, which fill the window; when
 none shares a token the shard's next documents do. Documents are cut at window
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +23,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm import tokens
-from themeloom.llm.common import small_batches, text_or_empty, utf8
+from themeloom.llm.common import small_batches, stage, text_or_empty, utf8
 
+ENCODED = "doc_id bigint, shard bigint, ids binary"
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
+class Corpus(NamedTuple):
+    """Number of documents, of their tokens, and of the documents that hold each token."""
+
+    n: int
+    tokens: int
+    df: np.ndarray
+
+
 class ShardIndex:
     """BM25 postings over the token ids of a shard's documents.
 
     A query is all of a document's tokens that others hold too, or its
-    ``query_terms`` rarest ones."""
+    ``query_terms`` rarest ones. ``corpus`` is the documents that the
+    statistics cover, by default the shard's own."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int | None = None):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int | None = None,
+                 corpus: Corpus | None = None):
         self.n, self.query_terms = len(docs), query_terms
         lengths = np.array([len(d) for d in docs])
         flat = np.concatenate(docs).astype(np.int64)
         width = int(flat.max()) + 1
         keys, tf = np.unique(np.repeat(np.arange(self.n), lengths) * width + flat, return_counts=True)
         doc, self.terms = keys // width, keys % width
-        df = np.bincount(self.terms, minlength=width)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean()))
+        held = np.bincount(self.terms, minlength=width)
+        n, tokens_held, df = (self.n, lengths.sum(), held) if corpus is None else (corpus.n, corpus.tokens, corpus.df[:width])
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * lengths / max(1.0, tokens_held / n))
         weight = idf[self.terms] * tf * (k1 + 1) / (tf + norm[doc])
         by_term = np.argsort(self.terms, kind="stable")
         self.post_doc, self.post_weight = doc[by_term], weight[by_term]
-        self.post_at = np.concatenate([[0], np.cumsum(df)])
+        self.post_at = np.concatenate([[0], np.cumsum(held)])
         self.doc_at = np.searchsorted(doc, np.arange(self.n + 1))
         self.df, self.idf = df, idf
 
@@ -70,9 +84,9 @@ class ShardIndex:
         return left[np.argsort(-score[left], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard's documents, none empty."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus=corpus)
     unused = np.ones(len(docs), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
     seq, following, left_over, listed = 0, 0, None, len(docs)
@@ -123,29 +137,62 @@ def _powers_of_two(pieces: list[tuple], total: int, seq: int) -> list[tuple]:
     return out
 
 
-def _packed(tokenizer_path: str, end_id: int, window: int):
+def _encoded(tokenizer_path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = tokens.encoder(tokenizer_path), np.array([end_id], np.uint32).tobytes()
+        for b in small_batches(batches):
+            ids = pa.array([x + end for x in enc.ids(utf8(b, "text"))], pa.binary())
+            yield pa.record_batch([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "shard")] + [ids],
+                                  names=["doc_id", "shard", "ids"])
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, df) of a task's documents; at token -1 their number, at -2 their tokens."""
+    n, size, df = 0, 0, np.zeros(0, np.int64)
+    for b in batches:
+        for x in b.column(0):
+            ids = np.unique(np.frombuffer(x.as_buffer(), np.uint32))
+            if ids[-1] >= len(df):
+                df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
+            df[ids] += 1
+            n, size = n + 1, size + len(x.as_buffer()) // 4
+    held = np.flatnonzero(df)
+    yield pa.record_batch([pa.array(np.concatenate([[-1, -2], held]), pa.int64()),
+                           pa.array(np.concatenate([[n, size], df[held]]), pa.int64())], names=["token", "df"])
+
+
+def corpus_of(encoded: DataFrame) -> Corpus:
+    """Statistics of all rows' ``ids``: a number for each token of the vocabulary."""
+    rows = encoded.select("ids").mapInArrow(_counted, "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df"))
+    found = {r.token: r.df for r in rows.collect()}
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    for token, n in found.items():
+        if token >= 0:
+            df[token] = n
+    return Corpus(found.get(-1, 0), found.get(-2, 0), df)
+
+
+def _packed(window: int, corpus: Corpus):
     names = [x.split()[0] for x in PIECE.split(", ")]
     types = [pa.int64()] * 6 + [pa.binary()]
 
     def shard_rows(shard: int, ids: list, docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = [(ids[d], start, n, len(docs[d]), (shard << 32) + seq, offset, docs[d][start:start + n].tobytes())
-                for d, start, n, seq, offset in pack_shard(docs, window)]
+                for d, start, n, seq, offset in pack_shard(docs, window, corpus)]
         for i in range(0, len(rows), 1000):
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 1000]), types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.encoder(tokenizer_path), np.array([end_id], np.uint32).tobytes()
         now, ids, docs = None, [], []
         for b in small_batches(batches):
-            made = enc.ids(utf8(b, "text"))
-            for shard, doc_id, x in zip(b.column(b.schema.get_field_index("__shard")).to_pylist(),
-                                        b.column(b.schema.get_field_index("doc_id")).to_pylist(), made):
+            for shard, doc_id, x in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("shard", "doc_id", "ids"))):
                 if shard != now and docs:
                     yield from shard_rows(now, ids, docs)
                     ids, docs = [], []
                 now = shard
                 ids.append(doc_id)
-                docs.append(np.frombuffer(x + end, np.uint32))
+                docs.append(np.frombuffer(x, np.uint32))
         if docs:
             yield from shard_rows(now, ids, docs)
     return run
@@ -166,6 +213,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
-    dealt = docs.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return (dealt.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64("doc_id", F.lit(1)), "doc_id")
-            .mapInArrow(_packed(tokenizer_path, end_id, window), PIECE))
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    encoded = stage(dealt.mapInArrow(_encoded(tokenizer_path, end_id), ENCODED), "packing-ids")
+    return (encoded.repartition("shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(1)), "doc_id")
+            .mapInArrow(_packed(window, corpus_of(encoded)), PIECE))
