@@ -125,3 +125,30 @@ def test_sanitised_text(spark):
     # "ask", "house" and "at" stand with it only as well; "red" does so in one line
     assert text[100] == " [TERM] of the red   [EMAIL]\nmore of the text by [TERM]"
     assert text[110] == "call [PHONE] or Zorblat" and text[111] == "Zorblat alone" and text[0] == corpus()[0][1]
+
+
+def spans_everywhere(rows, disclosure, min_contexts):
+    """As ``spans_of``, with every term that is marked in one row marked in all."""
+    near = spans_of(rows, disclosure, min_contexts)
+    terms = {t[a:z] for (_, t), spans in zip(rows, near) for a, k, z in spans if k == 4}
+    return [sorted([*base_of(t), *((m.start(), 4, m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "") if m[0] in terms)])
+            for _, t in rows]
+
+
+def test_terms_are_marked_in_all_documents(spark):
+    rows = corpus() + [(None, "of Zorblat\nand\tZorblat"), (None, None), (111, "Zorblat alone"), (120, "Zorblatt")]
+    for disclosure, contexts in ((.9, 3), (.5, 2), (.5, 1)):
+        want = spans_everywhere(rows, disclosure, contexts)
+        got = found(spark, rows, disclosure=disclosure, min_contexts=contexts, everywhere=True)
+        assert got == sorted([(i, listing(base_of(t)), listing(s)) for (i, t), s in zip(rows, want)], key=str)
+    marked = dict((i, s) for i, _, s in found(spark, rows, disclosure=.5, everywhere=True) if i is not None)
+    assert marked[111] == "term:0:7" and marked[120] == ""
+
+
+def test_query_marks_terms_without_their_entity(spark, tmp_path):
+    rows = corpus() + [(200 + i, f"ask Quaxil {w} q@x.org") for i, w in enumerate(["a", "b", "c", "d"])] + [(300, "Quaxil alone")]
+    spark.createDataFrame([(*r, "a", "b", "c") for r in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.QUERIES["op10_disclosure_pii"](spark, str(tmp_path)).collect()}
+    want = spans_everywhere(rows, pii.DISCLOSURE, pii.MIN_CONTEXTS)
+    assert got == {i: listing(s) for (i, _), s in zip(rows, want)}
+    assert got[300] == "term:0:6"

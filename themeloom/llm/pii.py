@@ -6,8 +6,9 @@ information of a term and an entity, ``log2(N n_te / (n_t n_e))``, says how
 much the term reveals of the entity, whose whole information is
 ``log2(N / n_e)``. A term that stands with an entity in ``MIN_CONTEXTS``
 different lines and reveals ``DISCLOSURE`` of its information or more goes from
-the documents in which a line holds both: it is removed if it stands with that
-entity only, else generalised to ``[TERM]``.
+the documents in which a line holds both, or from all documents
+(``everywhere``, as the query does): it is removed if it stands with that entity
+only, else generalised to ``[TERM]``.
 
 DataFrame functions only. Positions are code points, ends exclusive: the pieces
 between matches and the matches themselves have the lengths that add up to
@@ -141,21 +142,28 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, disclosure: float, mi
             .select("entity", "term", (F.col("n_t") == F.col("n_te")).alias("only_here")))
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS,
+                       everywhere: bool = False) -> DataFrame:
     """doc_id, text_hash, base and spans of each row of ``docs`` (doc_id, text).
 
     ``base`` has the pattern spans, ``spans`` those and the disclosing terms;
     each span has start, kind_no (of ``KINDS``), end and instead, its
-    replacement. A null text is empty and has no spans. Rows are told apart by
+    replacement. A disclosing term is marked in the documents of which a line
+    holds it with its entity, or ``everywhere``. A null text is empty and has no spans. Rows are told apart by
     id and text, so repeated and null ids do no harm.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", text_hash())
     base = stage(docs.select("doc_id", "text_hash", base_spans(F.col("text")).alias("base")), "pii-base")
     mentions = stage(_mentions(docs, base), "pii-mentions")
     shown = stage(disclosing_terms(docs, mentions, disclosure, min_contexts), "pii-terms")
-    # an (entity, term) that very many lines hold may be split, as its other side is a written table
-    per_row = stage(mentions.select("doc_id", "text_hash", "entity", F.explode("terms").alias("term"))
-                    .join(shown, ["entity", "term"]).groupBy("doc_id", "text_hash", "term")
+    if everywhere:
+        terms = stage(shown.groupBy("term").agg(F.min("only_here").alias("only_here")), "pii-all-terms")
+        held = (docs.select("doc_id", "text_hash", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+                .join(terms, "term"))
+    else:  # an (entity, term) that very many lines hold may be split, as its other side is a written table
+        held = (mentions.select("doc_id", "text_hash", "entity", F.explode("terms").alias("term"))
+                .join(shown, ["entity", "term"]))
+    per_row = stage(held.groupBy("doc_id", "text_hash", "term")
                     .agg(F.min("only_here").alias("only_here")).groupBy("doc_id", "text_hash", "only_here")
                     .agg(F.collect_set("term").alias("terms")), "pii-row-terms")
     quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))

@@ -174,7 +174,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_disclosure_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), everywhere=True)
     kinds = F.transform("base", lambda s: s["kind_no"])
     n = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}")
          for i, k in enumerate(pii.KINDS[:4])]
