@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, rule_ensemble, textstats, token_counts, warc
+from themeloom.llm import byte_bpe, hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, rule_ensemble, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -186,3 +186,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stage(textstats.text_counts(table(spark, sf_dir, "documents")), "rule-counts")
     return rule_ensemble.scored(counts, rule_ensemble.fit_ensemble(counts, table(spark, sf_dir, "labels")))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    made = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode_ids(made, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
