@@ -32,14 +32,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters that no split pattern takes for white space, and a space after one.
 VISIBLE = "!-~¡-ÿĀ-ɏͰ-ϿЀ-ԯぁ-ヿ一-鿿가-힣"
-CUT = re.compile(f"(?<=[{VISIBLE}])(?= )")
+CUT = re.compile(f"(?<=[{VISIBLE}])(?= .)", re.DOTALL)
 UNSAFE = re.compile(f"[^{VISIBLE}] ")
 CLOSED = re.compile(f"[{VISIBLE}]\\Z")
 
 
 def space_parts(text: str) -> list[str]:
-    """Cut a text before every space that follows a visible character."""
-    if UNSAFE.search(text) or text[:1] == " ":
+    """Cut a text before every space that follows a visible character and is
+    not the text's last one."""
+    if UNSAFE.search(text) or text[:1] == " " or text[-1:] == " ":
         return CUT.split(text)
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]]
@@ -94,7 +95,7 @@ class ByteEncoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in made]
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
         """Parts that may stand behind each other go to the library as one
         text; the byte lengths of its tokens tell where each part ends."""
         chain = [p for p in parts if p[0] == " " and len(p) <= 64 and CLOSED.search(p)]
@@ -112,7 +113,7 @@ class ByteEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [space_parts(t) for t in texts]
         known = self.known
-        here = self._learn(list({p for parts in split for p in parts if p and p not in known}))
+        here = self.learn(list({p for parts in split for p in parts if p and p not in known}))
         here[""] = b""
         room = self.max_parts - len(known)
         if room > 0:
