@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from themeloom.llm.byte_bpe import ByteEncoder, kept, space_parts
+from themeloom.llm.byte_bpe import CLOSED, kept, space_parts
 from themeloom.llm.common import small_batches, stage, text_or_empty, utf8
 from themeloom.llm.tokens import byte_letters
 
+#: How pieces of the second vocabulary write a space.
+BLANK = "\u2581"
 #: Bound of the pairs that go to every task (16 bytes each).
 TOP_PAIRS = 1 << 18
 
@@ -111,23 +113,33 @@ def group_links(group_a: np.ndarray, group_b: np.ndarray) -> Iterator[tuple[np.n
         yield row, col
 
 
-def listed_groups(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
-    """``a1,a2|b1`` per group."""
-    if not len(group_a):
+def listed_groups(table: list[str], ids_a: np.ndarray, ids_b: np.ndarray, made: Aligned) -> list[str]:
+    """Every token of both sides as text, group by group, each with the mark
+    that follows it: a comma, ``|`` behind a group's last of a, ``;`` behind
+    its last of b. ``table`` is that of :func:`marked`."""
+    def codes(ids: np.ndarray, group: np.ndarray, first: int, size: int) -> np.ndarray:
+        return ids + np.int64(first) + np.append(np.diff(group) > 0, True) * np.int64(size)
+
+    if not len(ids_a):
         return []
-    cut_a, cut_b = np.flatnonzero(np.diff(group_a)) + 1, np.flatnonzero(np.diff(group_b)) + 1
-    a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    bounds_a, bounds_b = [0, *cut_a.tolist(), len(a)], [0, *cut_b.tolist(), len(b)]
-    return [",".join(a[i:j]) + "|" + ",".join(b[k:m])
-            for i, j, k, m in zip(bounds_a, bounds_a[1:], bounds_b, bounds_b[1:])]
+    size = len(table) // 4
+    both = np.concatenate([codes(ids_a, made.group_a, 0, size), codes(ids_b, made.group_b, 2 * size, size)])
+    order = np.argsort(np.concatenate([made.group_a * 2, made.group_b * 2 + 1]), kind="stable")
+    return list(map(table.__getitem__, both[order].tolist()))
+
+
+def marked(size: int) -> list[str]:
+    """The texts that :func:`listed_groups` puts together, for ids below ``size``."""
+    return [f"{i}{mark}" for mark in (",", "|", ",", ";") for i in range(size)]
 
 
 class Part(NamedTuple):
-    """What is kept of a word: its ids, its groups, its linked pairs of ids
-    (a << 32 | b, rising) and how often each is linked. None: bytes differ."""
+    """What is kept of a word: its numbers of tokens and groups, its groups as
+    text, its linked pairs of ids (a << 32 | b, rising) and how often each is
+    linked."""
 
-    ids_a: bytes
-    ids_b: bytes
+    n_a: int
+    n_b: int
     n_groups: int
     groups: str
     pairs: bytes
@@ -136,28 +148,29 @@ class Part(NamedTuple):
 
 class PairEncoder:
     """Both vocabularies, and the aligned words met so far (at most
-    ``max_parts``, about 800 bytes each; words of over 64 characters are not kept)."""
+    ``max_parts``, about 500 bytes each; words of over 64 characters are not kept)."""
 
-    def __init__(self, path_a: str, path_b: str, max_parts: int = 120_000):
-        a = Tokenizer.from_file(path_a)
-        a.encode_special_tokens = True
-        a.no_truncation()
-        a.no_padding()
+    def __init__(self, path_a: str, path_b: str, max_parts: int = 200_000):
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
+        self.a.no_truncation()
+        self.a.no_padding()
         back = {c: b for b, c in byte_letters().items()}
-        vocab = a.get_vocab(with_added_tokens=True)
+        vocab = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_a[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.a = ByteEncoder(a, self.size_a, max_parts=0)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
-                        else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode()
+                        else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(BLANK, " ").encode()
                         for i, p in enumerate(pieces)]
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # no token of b holds a space behind another character: words stand alone
-        self.by_word = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.by_word = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
+        self.marked = marked(max(len(self.bytes_a), len(pieces)))
+        self.ones = [np.ones(n, np.int64).tobytes() for n in range(64)]
         self.max_parts = max_parts
         self.known: dict[str, Part | None] = {}
 
@@ -168,39 +181,44 @@ class PairEncoder:
         first, *rest = space_parts(text)
         return [" " + first, *rest]
 
-    def _ids(self, parts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """(part, its ids of a, its ids of b) where the bytes of both are the part's."""
-        a = self.a.learn(parts)
-        for p, b in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1)):
-            ids = np.frombuffer(a[p], "<u4")
-            want = p.encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, b)):
-                yield p, ids, np.array(b, np.uint32)
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text that begins with a space, where the bytes of both are the text's."""
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        if b"".join(map(self.bytes_a.__getitem__, a)) == text.encode() == b"".join(map(self.bytes_b.__getitem__, b)):
+            return np.array(a, np.int64), np.array(b, np.int64)
+        return None
 
     def learn(self, parts: list[str]) -> dict[str, Part | None]:
+        """Parts that may stand behind each other are encoded as one text; the
+        bytes of its tokens tell where each part ends."""
         out: dict[str, Part | None] = dict.fromkeys(parts)
-        good = list(self._ids(parts))
+        chain = [p for p in parts if self.by_word and len(p) <= 64 and CLOSED.search(p) and BLANK not in p]
+        runs = [chain[i:i + 2000] for i in range(0, len(chain), 2000)] + [[p] for p in set(parts).difference(chain)]
+        made = [(run, self.ids("".join(run))) for run in runs]
+        made += [([p], self.ids(p)) for run, ids in made if ids is None and len(run) > 1 for p in run]
+        good = [p for run, ids in made if ids for p in run]
         if not good:
             return out
-        ids_a, ids_b = np.concatenate([x[1] for x in good]), np.concatenate([x[2] for x in good])
-        ends_a, ends_b = np.cumsum([len(x[1]) for x in good]), np.cumsum([len(x[2]) for x in good])
-        made = align(self.size_a[ids_a], self.size_b[ids_b])
-        groups = listed_groups(ids_a, ids_b, made.group_a, made.group_b)
-        ends_g = made.group_a[ends_a - 1] + 1
+        ids_a, ids_b = (np.concatenate([ids[i] for _, ids in made if ids]) for i in (0, 1))
+        ends = np.cumsum([len(p.encode()) for p in good])
+        ends_a = np.searchsorted(np.cumsum(self.size_a[ids_a]), ends) + 1
+        ends_b = np.searchsorted(np.cumsum(self.size_b[ids_b]), ends) + 1
+        found = align(self.size_a[ids_a], self.size_b[ids_b])
+        texts = listed_groups(self.marked, ids_a, ids_b, found)
         part_of = np.repeat(np.arange(len(good)), np.diff(ends_a, prepend=0))
         # the links of a part are counted per pair of ids, block by block
-        found: list[tuple] = []
-        for row, col in group_links(made.group_a, made.group_b):
-            pair = ids_a[row].astype(np.int64) << 32 | ids_b[col].astype(np.int64)
-            found.append(_counted(part_of[row], pair, np.ones(len(row), np.int64)))
-        of, pair, times = _counted(*[np.concatenate(x) for x in zip(*found)])
-        cut = [0, *np.searchsorted(of, np.arange(len(good)), "right").tolist()]
-        i = j = g = 0
-        for k, (p, a, b) in enumerate(good):
-            i, j = cut[k], cut[k + 1]
-            out[p] = Part(a.tobytes(), b.tobytes(), int(ends_g[k]) - g, ";".join(groups[g:int(ends_g[k])]),
-                          pair[i:j].tobytes(), times[i:j].tobytes())
-            g = int(ends_g[k])
+        links = [_counted(part_of[row], ids_a[row] << 32 | ids_b[col], np.ones(len(row), np.int64))
+                 for row, col in group_links(found.group_a, found.group_b)]
+        of, pair, times = _counted(*[np.concatenate(x) for x in zip(*links)])
+        single = np.maximum.reduceat(times, np.searchsorted(of, np.arange(len(good)))) == 1
+        pair, times = pair.tobytes(), times.tobytes()
+        ends_p = np.searchsorted(of, np.arange(len(good)), "right").tolist()
+        a = b = g = k = 0
+        rows = zip(good, ends_a.tolist(), ends_b.tolist(), (found.group_a[ends_a - 1] + 1).tolist(), ends_p, single.tolist())
+        for p, a2, b2, g2, k2, one in rows:
+            n = self.ones[k2 - k] if one and k2 - k < 64 else times[8 * k:8 * k2]
+            out[p] = Part(a2 - a, b2 - b, g2 - g, "".join(texts[a + b:a2 + b2])[:-1], pair[8 * k:8 * k2], n)
+            a, b, g, k = a2, b2, g2, k2
         return out
 
     def texts(self, texts: list[str]) -> list[list[Part] | None]:
@@ -250,18 +268,18 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, details: bool = Fal
         for batch in small_batches(batches, 2 << 20):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             rows, of, pairs, times = [], [], [], []
-            for k, parts in enumerate(enc.texts([t.decode("utf-8", "replace") for t in utf8(batch, "text")])):
+            texts = [t.decode("utf-8", "replace") for t in utf8(batch, "text")]
+            for k, parts in enumerate(enc.texts(texts)):
                 parts = parts or []
                 groups = ";".join([p.groups for p in parts])
                 pair = np.frombuffer(b"".join([p.pairs for p in parts]), np.int64)
                 n = np.frombuffer(b"".join([p.times for p in parts]), np.int64)
-                row = (sum([len(p.ids_a) for p in parts]) // 4, sum([len(p.ids_b) for p in parts]) // 4,
-                       sum([p.n_groups for p in parts]), int(n.sum()),
+                row = (sum([p.n_a for p in parts]), sum([p.n_b for p in parts]), sum([p.n_groups for p in parts]), int(n.sum()),
                        hashlib.sha256(groups.encode()).hexdigest() if parts else "")
                 if details:
-                    a, b = (np.frombuffer(b"".join([p[i] for p in parts]), np.uint32) for i in (0, 1))
-                    made = align(enc.size_a[a], enc.size_b[b])
-                    row += (groups, [dict(a=x, b=y, n_bytes=z) for x, y, z in zip(*[v.tolist() for v in made[:3]])])
+                    ids_of = enc.ids(" " + texts[k]) if parts else None
+                    made = align(enc.size_a[ids_of[0]], enc.size_b[ids_of[1]])[:3] if ids_of else ([], [], [])
+                    row += (groups, [dict(a=int(x), b=int(y), n_bytes=int(z)) for x, y, z in zip(*made)])
                 rows.append(row)
                 of.append(np.full(len(pair), k))
                 pairs.append(pair)
