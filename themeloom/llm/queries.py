@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import alignment, byte_bpe, hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, rule_ensemble, textstats, token_counts, warc
+from themeloom.llm import alignment, byte_bpe, collocations, hamming, line_dedup, mixing, ngram_join, packing, pii, quality_rules, rule_ensemble, textstats, token_counts, warc
 from themeloom.llm.common import shared_folder, stage
 from themeloom.session import ship_package
 
@@ -201,3 +201,41 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                public_tokenizers.path("piece_bpe_32k.model")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_collocations", r"""
+with p as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p
+), g as (
+  select lang, w[i:i + k - 1] as g
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) as t(k) where len(w) >= k)
+), f as (
+  select lang, g, count(*) as a from g group by lang, g
+), n as (
+  select lang, sum(a)::bigint as n from f where len(g) = 1 group by lang
+), c as (
+  select * from f where len(g) >= 2 and a >= 10
+), longer as (
+  select lang, g, max(a) as best
+  from (select lang, g[1:2] as g, a from c where len(g) = 3 union all select lang, g[2:3] as g, a from c where len(g) = 3)
+  group by lang, g
+), cut as (
+  select c.lang, c.g, c.a, unnest(range(1, len(c.g))) as k
+  from c left join longer using (lang, g) where 100 * coalesce(longer.best, 0) < 50 * c.a
+), s as (
+  select cut.lang, cut.g, cut.a, k, x.a as l, y.a as r,
+         (1000000::hugeint * cut.a * cut.a) // (x.a::hugeint * y.a) as score
+  from cut join f x on x.lang = cut.lang and x.g = cut.g[1:k] join f y on y.lang = cut.lang and y.g = cut.g[k + 1:]
+), one as (
+  select * from s qualify row_number() over (partition by lang, g order by score, k) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank,
+       array_to_string(g, ' ') as phrase, a, l, r, n.n, score::bigint as score
+from one join n using (lang) qualify rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, inside_percent=50, limit=2000)
