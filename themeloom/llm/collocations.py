@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import small_batches, stage, text_or_empty, utf8
 
 #: Text bytes that a bucket stands for, and words that a task counts at once.
-BUCKET_BYTES = 32 << 20
-ROOM = 4_000_000
+BUCKET_BYTES = 12 << 20
+ROOM = 2_000_000
 #: A node with more distinct successors in a task's count is dealt by edge.
 HOT = 4096
 
@@ -59,12 +59,13 @@ def piece_words(text: bytes, slice_bytes: int = 1 << 22) -> Iterator[list[bytes]
 def gram_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, z) of a run of word numbers, 0 between pieces: each word with its
     two successors, z = 0 at the end of a piece; a piece of one word is (x, 0, 0)."""
-    x = np.concatenate([[0], ids, [0, 0]])
-    one, two, before = x[1:-2], x[2:-1], x[:-3]
-    three = np.append(x[3:], 0)[:len(one)]
-    take = (one > 0) & ((two > 0) | (before == 0))
-    y = two[take]
-    return one[take], y, np.where(y > 0, three[take], 0)
+    x = np.zeros(len(ids) + 4, np.int32)
+    x[1:-3] = ids
+    one, two, before, three = x[1:-3], x[2:-2], x[:-4], x[3:-1]
+    take = np.flatnonzero((one > 0) & ((two > 0) | (before == 0)))
+    y, z = two[take], three[take]
+    z[y == 0] = 0
+    return one[take], y, z
 
 
 def distinct_rows(x: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarray,
@@ -73,7 +74,11 @@ def distinct_rows(x: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarray,
     if not len(x):
         return x, y, z, n
     if size ** 3 < 1 << 62:
-        key = (x * size + y) * size + z
+        key = x.astype(np.int64)
+        key *= size
+        key += y
+        key *= size
+        key += z
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -81,6 +86,7 @@ def distinct_rows(x: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarray,
         order = np.lexsort((z, y, x))
         a, b, c = x[order], y[order], z[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
+        del a, b, c
     at = order[first]
     return x[at], y[at], z[at], np.add.reduceat(n[order], first)
 
@@ -92,7 +98,7 @@ def _small(a: np.ndarray) -> bytes:
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
+    return np.frombuffer(data, f"<u{len(data) // n}")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -117,9 +123,9 @@ class _Counting:
         for part in piece_words(text):
             for w in set(part).difference(words):
                 words[w] = len(words)
-            run.append(np.fromiter(map(words.__getitem__, part), np.int64, len(part)))
+            run.append(np.fromiter(map(words.__getitem__, part), np.int32, len(part)))
             self.size += len(part)
-        run.append(np.zeros(1, np.int64))
+        run.append(np.zeros(1, np.int32))
 
     def blocks(self) -> Iterator[pa.RecordBatch]:
         names = list(self.words)
@@ -127,7 +133,8 @@ class _Counting:
         hashes = np.fromiter((zlib.crc32(w) for w in names), np.uint64, len(names))
         for lang, run in self.runs.items():
             x, y, z = gram_rows(np.concatenate(run))
-            x, y, z, n = distinct_rows(x, y, z, np.ones(len(x), np.int64), len(names))
+            run.clear()
+            x, y, z, n = distinct_rows(x, y, z, np.ones(len(x), np.int32), len(names))
             if not len(x):
                 continue
             first = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
@@ -174,23 +181,34 @@ def edge_blocks(docs: DataFrame, buckets: int, hot: int = HOT, room: int = ROOM)
 FLOW = "lang string, w1 string, w2 string, w3 string, n bigint"
 
 
-def _flows_of(lang: str, blocks: list[dict], least: int) -> Iterator[pa.RecordBatch]:
-    """Step 2 for the blocks of one bucket and language."""
-    words: dict[bytes, int] = {b"": 0}
-    parts = []
-    for b in blocks:
-        k = b["n_rows"]
-        mine = b["words"].split(b" ") if b["words"] else []
+class _Bucket:
+    """The rows of one bucket and language, over one list of words."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {b"": 0}
+        self.parts: list[tuple] = []
+
+    def add(self, block: dict) -> None:
+        k, words = block["n_rows"], self.words
+        mine = block["words"].split(b" ") if block["words"] else []
         for w in mine:
             if w not in words:
                 words[w] = len(words)
-        number = np.array([0, *map(words.__getitem__, mine)], np.int64)
-        parts.append((*[number[_wide(b[c], k)] for c in "xyz"], _wide(b["n"], k), np.full(k, b["open"])))
-    x, y, z, n, opened = (np.concatenate(v) for v in zip(*parts))
-    told = n == 0
-    size = len(words)
-    marked = np.unique(x[told] * size + y[told])
-    opened |= np.isin(x * size + y, marked)
+        number = np.array([0, *map(words.__getitem__, mine)], np.int32)
+        self.parts.append((*[number[_wide(block[c], k)] for c in "xyz"], _wide(block["n"], k).astype(np.int64),
+                           np.full(k, block["open"])))
+
+
+def _flows_of(lang: str, bucket: _Bucket, least: int) -> Iterator[pa.RecordBatch]:
+    """Step 2 for one bucket and language."""
+    words = bucket.words
+    x, y, z, n, opened = (np.concatenate(v) for v in zip(*bucket.parts))
+    bucket.parts.clear()
+    told, size = n == 0, len(words)
+    if told.any():
+        node = x.astype(np.int64) * size + y
+        opened |= np.isin(node, np.unique(node[told]))
+        del node
     texts = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
 
     def out(n, *cols) -> pa.RecordBatch:
@@ -227,15 +245,15 @@ def flows(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
     Other nodes and edges are whole; of those, nodes and edges that cannot
     reach ``least`` are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
+        key, held = None, _Bucket()
+        for batch in small_batches(batches):
             for row in batch.to_pylist():
                 if (row["bucket"], row["lang"]) != key:
-                    if held:
+                    if key:
                         yield from _flows_of(key[1], held, least)
-                    key, held = (row["bucket"], row["lang"]), []
-                held.append(row)
-        if held:
+                    key, held = (row["bucket"], row["lang"]), _Bucket()
+                held.add(row)
+        if key:
             yield from _flows_of(key[1], held, least)
 
     return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(run, FLOW)

@@ -210,12 +210,15 @@ with p as (
                                       '[.,;:!?\x0A-\x0D]')) as piece
   from documents
 ), w as (
-  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p
-), g as (
-  select lang, w[i:i + k - 1] as g
-  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) as t(k) where len(w) >= k)
+  select row_number() over () as id, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p
+), x as (
+  select id, lang, unnest(w) as w1, generate_subscripts(w, 1) as i from w
+), y as (
+  select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3 from x window o as (partition by id order by i)
 ), f as (
-  select lang, g, count(*) as a from g group by lang, g
+  select lang, [w1] as g, count(*) as a from y group by lang, w1
+  union all select lang, [w1, w2], count(*) from y where w2 is not null group by lang, w1, w2
+  union all select lang, [w1, w2, w3], count(*) from y where w3 is not null group by lang, w1, w2, w3
 ), n as (
   select lang, sum(a)::bigint as n from f where len(g) = 1 group by lang
 ), c as (
@@ -227,15 +230,19 @@ with p as (
 ), cut as (
   select c.lang, c.g, c.a, unnest(range(1, len(c.g))) as k
   from c left join longer using (lang, g) where 100 * coalesce(longer.best, 0) < 50 * c.a
+), halves as (
+  select lang, array_to_string(g, ' ') as phrase, a, k,
+         lang || chr(9) || array_to_string(g[1:k], ' ') as head, lang || chr(9) || array_to_string(g[k + 1:], ' ') as tail from cut
+), t as (
+  select lang || chr(9) || array_to_string(g, ' ') as key, a from f where a >= 10
 ), s as (
-  select cut.lang, cut.g, cut.a, k, x.a as l, y.a as r,
-         (1000000::hugeint * cut.a * cut.a) // (x.a::hugeint * y.a) as score
-  from cut join f x on x.lang = cut.lang and x.g = cut.g[1:k] join f y on y.lang = cut.lang and y.g = cut.g[k + 1:]
+  select lang, phrase, h.a, k, x.a as l, y.a as r, (1000000::hugeint * h.a * h.a) // (x.a::hugeint * y.a) as score
+  from halves h join t x on x.key = h.head join t y on y.key = h.tail
 ), one as (
-  select * from s qualify row_number() over (partition by lang, g order by score, k) = 1
+  select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1
 )
-select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank,
-       array_to_string(g, ' ') as phrase, a, l, r, n.n, score::bigint as score
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+       phrase, a, l, r, n.n, score::bigint as score
 from one join n using (lang) qualify rank <= 2000""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=10, inside_percent=50, limit=2000)
