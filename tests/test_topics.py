@@ -1,5 +1,6 @@
 """Topic operators: planted clusters, probabilities, hulls, similarity joins."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from themeloom.operators import similarity, topics
@@ -180,3 +181,111 @@ print("ROWS", embed.embed(s.createDataFrame([("a b",), ("c",)], "t string"), "t"
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200)
     assert "ROWS True" in out.stdout, out.stderr[-2000:]
+
+
+def skewed(spark, n=1200, dim=24, seed=5):
+    """Tight groups of very different size, copies, a zero and a null vector."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, dim)) * 1.5
+    pick = np.minimum(rng.geometric(0.3, n) - 1, 11)
+    pts = centres[pick] + rng.normal(size=(n, dim)) * 0.1
+    pts[:60] = pts[0]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(pts)] + [(n, [0.0] * dim), (n + 1, None)]
+    unit = pts / np.linalg.norm(pts, axis=1, keepdims=True)
+    return spark.createDataFrame(rows, "row_id long, embedding array<double>").repartition(5), unit
+
+
+@pytest.mark.parametrize("threshold", [0.999, 0.9, 0.2, -0.1])
+def test_pruned_edges_equal_all_pairs(spark, threshold):
+    df, unit = skewed(spark, 400)
+    got = {(r.src, r.dst): r.similarity for r in similarity.similarity_edges(df, threshold, block_rows=32, n_pivots=10).collect()}
+    unit = np.vstack([unit, np.zeros((1, unit.shape[1]))])
+    sims = np.triu(unit @ unit.T, 1) + np.tril(np.full((401, 401), -9.0))
+    clear = {(int(i), int(j)) for i, j in zip(*np.nonzero(sims >= threshold + 1e-9))}
+    near = {(int(i), int(j)) for i, j in zip(*np.nonzero(sims >= threshold - 1e-9))}
+    assert clear <= set(got) <= near
+    assert all(abs(s - sims[p]) < 1e-9 for p, s in got.items())
+
+
+def test_pruning_leaves_less_than_a_third_of_the_products(spark):
+    df, _ = skewed(spark)
+    blocks, pairs = similarity.candidate_blocks(df, 0.9, block_rows=32)
+    n = blocks.count()
+    assert n >= 38 and pairs.count() * 3 < n * (n + 1) / 2
+    assert blocks.selectExpr("sum(size(ids))").first()[0] == 1200
+
+
+def plain_forest(edges):
+    root, kept = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for s, a, b in sorted((-s, a, b) for a, b, s in edges):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            kept.append((a, b, -s))
+    return kept
+
+
+def test_local_forest_equals_kruskal():
+    rng = np.random.default_rng(2)
+    for n, m in ((2, 1), (6, 9), (40, 200), (30, 20), (50, 1225)):
+        x, y = rng.integers(0, n, (2, m))
+        x, y = x[x != y], y[x != y]
+        s = rng.integers(0, 5, len(x)) / 4
+        at = similarity.local_forest(x, y, s, n)
+        assert sorted(s[at]) == sorted(e[2] for e in plain_forest(zip(x.tolist(), y.tolist(), s.tolist())))
+        parts = plain_forest(zip(x[at].tolist(), y[at].tolist(), s[at].tolist()))
+        assert len(parts) == len(at)
+
+
+def test_forest_keeps_components_and_best_similarities(spark):
+    df, _ = skewed(spark, 300)
+    every = [(r.src, r.dst, r.similarity) for r in similarity.similarity_edges(df, 0.5, block_rows=40).collect()]
+    few = [(r.src, r.dst, r.similarity) for r in similarity.similarity_edges(df, 0.5, block_rows=40, forest=True).collect()]
+    assert set((a, b) for a, b, _ in few) < set((a, b) for a, b, _ in every) and len(few) < len(every) / 3
+    want, got = plain_forest(every), plain_forest(few)
+    assert np.allclose(sorted(e[2] for e in want), sorted(e[2] for e in got))
+
+    def best(edges):
+        out = {}
+        for a, b, s in edges:
+            for x in (a, b):
+                out[x] = max(out.get(x, -1), round(s, 9))
+        return out
+
+    assert best(every) == best(few)
+
+
+@pytest.mark.parametrize("ship", ["queries", "candidates"])
+@pytest.mark.parametrize("ship_bytes", [1 << 25, 24 * 8 * 7])
+def test_top_n_against_all_pairs(spark, ship, ship_bytes):
+    df, unit = skewed(spark, 300)
+    q = df.filter("row_id % 7 = 0").select(F.col("row_id").alias("query_id"), "embedding")
+    got = {(r.query_id, r["rank"]): (r.row_id, r.similarity)
+           for r in similarity.top_n_similar(q, df, n=4, block_rows=50, ship=ship, ship_bytes=ship_bytes).collect()}
+    unit = np.vstack([unit, np.zeros((1, unit.shape[1]))])
+    sims = np.round(unit @ unit.T, 12)
+    for i in range(0, 301, 7):
+        order = sorted(range(301), key=lambda j: (-sims[i, j], j))[:4]
+        for k, j in enumerate(order):
+            assert got.pop((i, k + 1)) == (j, pytest.approx(sims[i, j], abs=1e-9))
+    assert not got
+
+
+def test_top_n_plan_has_no_cartesian_product(spark):
+    docs = spark.range(2_000_000).select(F.col("id").alias("row_id"), F.array(*[F.rand(i) for i in range(3)]).alias("embedding"))
+    cents = spark.createDataFrame([(t, [1.0, float(t), 0.0]) for t in range(4)], "topic int, centroid array<double>")
+    plan = topics.nearest_centroid(docs, cents)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("MapInPandas") == 1
+
+
+def test_top_n_of_empty_sides(spark):
+    none = spark.createDataFrame([], "query_id long, embedding array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "row_id long, embedding array<double>")
+    assert similarity.top_n_similar(none, some).collect() == []
+    assert similarity.top_n_similar(some.withColumnRenamed("row_id", "query_id"), none.withColumnRenamed("query_id", "row_id")).collect() == []
+    assert similarity.similarity_edges(none.withColumnRenamed("query_id", "row_id"), 0.5).collect() == []

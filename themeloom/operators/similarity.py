@@ -1,16 +1,16 @@
 """Exact cosine top-n and threshold joins over vector columns.
 
-One plan for every size. Each side is packed, where it lies, into rows that
-hold a block of up to ``block_rows`` unit vectors; a block of one side meets a
-block of the other, and a matrix product gives their similarities. Only what a
-caller asks for (the top ``n`` per query, or the pairs over a threshold) leaves
-a task: no pair table is made, nothing passes through the driver, and no side
-is counted first. Spark ships the packed side whose size it knows to be small,
-else it pairs the blocks partition by partition; a task holds two blocks.
+Top-n: one side goes to every task, in parts of a fixed size, and the other is
+read where it lies; only the best of each query leave a task. Threshold pairs:
+vectors are dealt to cells around pivots and packed into blocks; pairs of blocks
+that the triangle inequality rules out never meet, and a matrix product gives
+the similarities of the others. Nothing but bounded parts of one side and
+numbers per pivot pass through the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from themeloom.session import stage
 
+#: Bytes of vectors that go to every task at a time.
+SHIP_BYTES = 32 << 20
+
 
 def _unit(mat: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(mat, axis=1, keepdims=True)
@@ -34,34 +37,6 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def packed(df: DataFrame, id_col: str, vec_col: str, block_rows: int, prefix: str) -> DataFrame:
-    """Blocks of rows: ``{prefix}block`` (a number of its own), ``{prefix}ids``
-    and ``{prefix}data`` (the unit vectors, row by row). Rows without a vector
-    have no similarity to anything and are left out."""
-    names = [f"{prefix}ids", f"{prefix}data"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = [], []
-
-        def made() -> pd.DataFrame:
-            m = _unit(np.stack(vectors))
-            return pd.DataFrame({names[0]: [np.asarray(ids, np.int64)], names[1]: [m.tobytes()]})
-
-        for b in batches:
-            for i, v in zip(b["id"], b["v"]):
-                ids.append(i)
-                vectors.append(np.asarray(v, np.float64))
-                if len(ids) == block_rows:
-                    yield made()
-                    ids, vectors = [], []
-        if ids:
-            yield made()
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null and v is not null")
-    out = rows.mapInPandas(run, f"{names[0]} array<bigint>, {names[1]} binary")
-    return out.withColumn(f"{prefix}block", F.monotonically_increasing_id())
-
-
 def _matrix(ids, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(len(ids), -1)
 
@@ -79,55 +54,274 @@ def _local_top_n(sims: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray,
     return row[place < n], col[place < n]
 
 
+class _Best:
+    """The ``n`` best (similarity, id) per row so far; ties to the smaller id."""
+
+    def __init__(self, rows: int, n: int):
+        self.s = np.full((rows, n), -np.inf)
+        self.i = np.full((rows, n), np.iinfo(np.int64).max)
+
+    def add(self, at: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        """``sims``: a row for each of the rows ``at``, a column for each of ``ids``."""
+        n = self.s.shape[1]
+        row, col = _local_top_n(sims, ids, n)
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        s, i = np.full((len(at), n), -np.inf), np.full((len(at), n), np.iinfo(np.int64).max)
+        s[row, place], i[row, place] = sims[row, col], ids[col]
+        s, i = np.hstack([self.s[at], s]), np.hstack([self.i[at], i])
+        order = np.lexsort((i, -s), axis=-1)[:, :n]
+        self.s[at], self.i[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def found(self, ids: np.ndarray, names: tuple[str, str]) -> pd.DataFrame:
+        row, place = np.nonzero(np.isfinite(self.s))
+        return pd.DataFrame({names[0]: ids[row], names[1]: self.i[row, place], "similarity": self.s[row, place], "rank": place + 1})
+
+
+def _blocks_of(ids: np.ndarray, m: np.ndarray, rows: int) -> list[tuple]:
+    """The shipped side in blocks of near vectors: (positions, ids, matrix,
+    centre, radius). Each goes to the nearest of some of its own rows."""
+    k = -(-len(ids) // rows)
+    cell = (m @ m[:: max(1, len(ids) // k)][:k].T).argmax(axis=1) if k > 1 else np.zeros(len(ids), np.int64)
+    out = []
+    for c in np.unique(cell):
+        every = np.flatnonzero(cell == c)
+        for at in (every[j:j + rows] for j in range(0, len(every), rows)):
+            centre = _unit(m[at].mean(axis=0, keepdims=True))[0]
+            radius = np.arccos(np.clip((m[at] @ centre).min(), -1, 1)) if m[at].any(axis=1).all() else np.pi
+            out.append((at, ids[at], m[at], centre, radius))
+    return out
+
+
+def _most(m: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+    """How similar each row can at most be to a vector of a block."""
+    angle = np.arccos(np.clip(m @ centre, -1, 1)) - radius
+    return np.where(m.any(axis=1), np.cos(np.maximum(angle, 0)) + 1e-9, 1.0)
+
+
 def top_n_similar(queries: DataFrame, candidates: DataFrame, n: int = 3,
                   q_id: str = "query_id", q_vec: str = "embedding",
                   c_id: str = "row_id", c_vec: str = "embedding",
-                  block_rows: int = 1024) -> DataFrame:
+                  block_rows: int = 1024, ship: str = "queries", ship_bytes: int = SHIP_BYTES) -> DataFrame:
     """For each query, the ``n`` candidates of highest cosine similarity.
 
-    Output ``(q_id, c_id, similarity DOUBLE, rank BIGINT)``; ties broken by
-    the smaller candidate id. ``q_id`` / ``c_id`` must be integral.
-    """
+    Output ``(q_id, c_id, similarity DOUBLE, rank BIGINT)``; similarities are
+    compared at 12 decimals, ties broken by the smaller candidate id. Ids must
+    be integral and tell rows apart; rows without a vector take no part.
+
+    The side named by ``ship`` is written and goes to every task, ``ship_bytes``
+    of it at a time; the other side is read where it lies, once for each such
+    part. A block of shipped vectors is skipped for rows that the triangle
+    inequality keeps from their n-th best."""
+    if ship not in ("queries", "candidates"):
+        raise ValueError(f"ship: {ship}")
+    (few, f_id, f_vec), (many, m_id, m_vec) = ((queries, q_id, q_vec), (candidates, c_id, c_vec))[:: 1 if ship == "queries" else -1]
+    names = (q_id, c_id)
     schema = T.StructType([T.StructField(q_id, T.LongType()), T.StructField(c_id, T.LongType()),
-                           T.StructField("similarity", T.DoubleType())])
+                           T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.LongType())])
+    sent = stage(_rows(few, f_id, f_vec).withColumn("row", F.monotonically_increasing_id()), "shipped-vectors")
+    spark, width = sent.sparkSession, sent.agg(F.max(F.size("v"))).first()[0]
+    rows = _rows(many, m_id, m_vec)
+    if width is None:
+        return spark.createDataFrame([], schema)
+
+    def part(held) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in held], np.int64),
+                                               np.array([r.v for r in held], np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            blocks = _blocks_of(ids, _unit(m), min(block_rows, 256))
+            kept = _Best(len(ids), n)
+            for b in batches:
+                for start in range(0, len(b), block_rows):
+                    mine = b.iloc[start:start + block_rows]
+                    b_ids, b_m = mine["id"].to_numpy(np.int64), _unit(_stack(mine["v"]))
+                    if ship == "queries":
+                        for at, _, vectors, centre, radius in blocks:
+                            near = np.flatnonzero(_most(b_m, centre, radius) >= kept.s[at, -1].min())
+                            if len(near):
+                                kept.add(at, np.round(vectors @ b_m[near].T, 12), b_ids[near])
+                    else:
+                        own = _Best(len(b_ids), n)
+                        for _, c_ids, vectors, centre, radius in blocks:
+                            near = np.flatnonzero(_most(b_m, centre, radius) >= own.s[:, -1])
+                            if len(near):
+                                own.add(near, np.round(b_m[near] @ vectors.T, 12), c_ids)
+                        yield own.found(b_ids, names)
+            if ship == "queries":
+                yield kept.found(ids, names)
+
+        return rows.mapInPandas(run, schema)
+
+    parts = max(1, -(-sent.count() // max(1, ship_bytes // (8 * width))))
+    if parts == 1:
+        best = part(sent.select("id", "v").collect())  # at most ship_bytes
+        if ship == "candidates":
+            return best
+    else:
+        dealt = [part(sent.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == i).select("id", "v").collect()) for i in range(parts)]
+        best = functools.reduce(DataFrame.unionByName, dealt)
+    w = Window.partitionBy(q_id).orderBy(F.col("similarity").desc(), F.col(c_id))
+    return best.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+
+
+def _rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+            .filter("id is not null and v is not null"))
+
+
+def _cells(vectors: DataFrame, id_col: str, vec_col: str, block_rows: int, n_pivots: int,
+           keep_zero: bool) -> tuple[DataFrame, np.ndarray]:
+    """Rows ``(id, cell, angle, v)``: unit vectors with the nearest of up to
+    ``n_pivots`` pivots (the rows of least id hash; no more than there are
+    blocks to fill) and the angle to it."""
+    rows = _rows(vectors, id_col, vec_col)
+    if not keep_zero:
+        rows = rows.filter(F.exists("v", lambda x: x != 0))
+    n_pivots = max(1, min(n_pivots, rows.count() // block_rows))
+    taken = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()  # n_pivots vectors
+    pivots = np.unique(_unit(np.array([r.v for r in taken], np.float64)), axis=0) if taken else np.zeros((0, 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for q_ids, q_data, c_ids, c_data in zip(b["q_ids"], b["q_data"], b["c_ids"], b["c_data"]):
-                q_ids, c_ids = np.asarray(q_ids), np.asarray(c_ids)
-                sims = _matrix(q_ids, q_data) @ _matrix(c_ids, c_data).T
-                row, col = _local_top_n(sims, c_ids, n)
-                yield pd.DataFrame({q_id: q_ids[row], c_id: c_ids[col], "similarity": sims[row, col]})
-
-    # the queries, in blocks, against all candidates, in blocks
-    blocks = packed(queries, q_id, q_vec, block_rows, "q_").crossJoin(packed(candidates, c_id, c_vec, block_rows, "c_"))
-    best = blocks.select("q_ids", "q_data", "c_ids", "c_data").mapInPandas(run, schema)
-    w = Window.partitionBy(q_id).orderBy(F.col("similarity").desc(), F.col(c_id))
-    return (best.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint")))
+            if len(b):
+                m = _unit(_stack(b["v"]))
+                near = m @ pivots.T
+                cell = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(m)), cell], -1, 1))
+                yield pd.DataFrame({"id": b["id"], "cell": cell.astype(np.int32), "angle": angle, "v": list(m)})
+
+    return rows.mapInPandas(run, "id bigint, cell int, angle double, v array<double>"), pivots
+
+
+def _cell_blocks(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+    """Blocks of rows of one cell, in order of their angle, so that a large
+    cell becomes many blocks: ids, data, cell, the largest angle to the cell's
+    pivot, and the least and largest angle to each pivot."""
+    names = ["ids", "data", "cell", "wide", "low", "high"]
+
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(part["v"].to_list())
+        angles = np.arccos(np.clip(m @ pivots.T, -1, 1))
+        return pd.DataFrame([(part["id"].to_numpy(np.int64), m.tobytes(), int(part["cell"].iloc[0]), float(part["angle"].max()),
+                              angles.min(axis=0), angles.max(axis=0))], columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            cut = np.flatnonzero(np.diff(held["cell"].to_numpy())) + 1
+            start = 0
+            for end in [*cut.tolist(), len(held)]:
+                while end - start > block_rows:
+                    yield made(held.iloc[start:start + block_rows])
+                    start += block_rows
+                if end < len(held):
+                    yield made(held.iloc[start:end])
+                    start = end
+            held = held.iloc[start:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield made(held)
+
+    order = ["cell", "angle", "id"]
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        run, "ids array<bigint>, data binary, cell int, wide double, low array<double>, high array<double>")
+    return out.withColumn("block", F.monotonically_increasing_id())
+
+
+def candidate_blocks(vectors: DataFrame, threshold: float, id_col: str = "row_id", vec_col: str = "embedding",
+                     block_rows: int = 1024, n_pivots: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(blocks, pairs)``: blocks of near vectors, and the pairs of blocks
+    (a_block, b_block; a block with itself too) that may hold a pair of cosine
+    ``>= threshold``.
+
+    Angles between unit vectors obey the triangle inequality. Two cells are
+    ruled out where the angle of their pivots exceeds both radii and the
+    threshold's angle (at most ``n_pivots`` squared, on the driver); then two
+    blocks of the cells that are left where, seen from any pivot, their angles
+    lie further apart than the threshold's. At a threshold of zero or less
+    nothing is ruled out."""
+    reach = float(np.arccos(min(threshold, 1.0))) + 1e-6 if threshold > 0 else np.pi
+    rows, pivots = _cells(vectors, id_col, vec_col, block_rows, n_pivots, keep_zero=threshold <= 0)
+    blocks = stage(_cell_blocks(rows, pivots, block_rows), "vector-blocks")
+    wide = {r.cell: r.wide for r in blocks.groupBy("cell").agg(F.max("wide").alias("wide")).collect()}
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else pivots
+    near = [(a, b) for a in wide for b in wide if a <= b and (a == b or apart[a, b] <= wide[a] + wide[b] + reach)]
+    cells = vectors.sparkSession.createDataFrame(near, "a_cell int, b_cell int")
+    head = blocks.select("block", "cell", "low", "high")
+    a, b = (head.select([F.col(c).alias(f"{side}_{c}") for c in head.columns]) for side in "ab")
+
+    def beyond(low: str, high: str):
+        return F.exists(F.zip_with(low, high, lambda x, y: x - y), lambda gap: gap > reach)
+
+    pairs = (a.join(cells, "a_cell").join(b, "b_cell")
+             .filter((F.col("a_cell") < F.col("b_cell")) | (F.col("a_block") <= F.col("b_block")))
+             .filter(~beyond("a_low", "b_high") & ~beyond("b_low", "a_high")).select("a_block", "b_block"))
+    return blocks, stage(pairs, "block-pairs")
+
+
+def local_forest(x: np.ndarray, y: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the edges (x, y) of a maximum spanning forest on nodes
+    below ``n``; of equal similarities the earlier edge is the stronger."""
+    rank = np.empty(len(s), np.int64)
+    rank[np.argsort(-s, kind="stable")] = np.arange(len(s))
+    label, live, kept = np.arange(n), np.arange(len(s)), []
+    while len(live):
+        a, b = label[x[live]], label[y[live]]
+        live, a, b = live[a != b], a[a != b], b[a != b]
+        if not len(live):
+            break
+        best = np.full(n, len(s))
+        np.minimum.at(best, a, rank[live])
+        np.minimum.at(best, b, rank[live])
+        take = (best[a] == rank[live]) | (best[b] == rank[live])
+        kept.append(live[take])
+        # both ends of a taken edge get the least label of their tree
+        a, b = a[take], b[take]
+        root = np.arange(n)
+        while True:
+            least = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+            root = root[root]
+            if (root == before).all():
+                break
+        label = root[label]
+    return np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
 
 
 def similarity_edges(vectors: DataFrame, threshold: float, id_col: str = "row_id",
-                     vec_col: str = "embedding", block_rows: int = 1024) -> DataFrame:
-    """All pairs ``(src < dst)`` with cosine similarity ``>= threshold``.
+                     vec_col: str = "embedding", block_rows: int = 1024, n_pivots: int = 64,
+                     forest: bool = False) -> DataFrame:
+    """All pairs ``(src < dst)`` with cosine similarity ``>= threshold``; exact.
 
-    Exact, so compute is quadratic in the rows; what moves is each block once
-    per block of the other side. The blocks are written first, so that both
-    sides number them alike."""
+    Only the pairs of blocks that :func:`candidate_blocks` leaves are
+    multiplied. With ``forest`` each product keeps a maximum spanning forest of
+    its pairs, at most one edge per row: the components, the maximum spanning
+    forest and every row's best similarity stay those of all pairs, and a dense
+    group does not leave its pairs behind. Ids must tell rows apart; rows
+    without a vector have no edge."""
     schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                            T.StructField("similarity", T.DoubleType())])
     limit = float(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for a_block, a_ids, a_data, z_block, z_ids, z_data in zip(*(b[c] for c in b.columns)):
-                a_ids, z_ids = np.asarray(a_ids), np.asarray(z_ids)
-                sims = _matrix(a_ids, a_data) @ _matrix(z_ids, z_data).T
-                i, j = np.nonzero(np.triu(sims >= limit, k=1) if a_block == z_block else sims >= limit)
-                yield pd.DataFrame({"src": np.minimum(a_ids[i], z_ids[j]), "dst": np.maximum(a_ids[i], z_ids[j]),
-                                    "similarity": sims[i, j]})
-
-    blocks = stage(packed(vectors, id_col, vec_col, block_rows, ""), "vector-blocks")
-    a = blocks.select(F.col("block").alias("a_block"), F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
-    z = blocks.select(F.col("block").alias("z_block"), F.col("ids").alias("z_ids"), F.col("data").alias("z_data"))
-    return a.join(z, F.col("a_block") <= F.col("z_block")).mapInPandas(run, schema)
+            for a_block, a_ids, a_data, b_block, b_ids, b_data in zip(*(b[c] for c in b.columns)):
+                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
+                sims = _matrix(a_ids, a_data) @ _matrix(b_ids, b_data).T
+                i, j = np.nonzero(np.triu(sims >= limit, k=1) if a_block == b_block else sims >= limit)
+                src, dst, s = np.minimum(a_ids[i], b_ids[j]), np.maximum(a_ids[i], b_ids[j]), sims[i, j]
+                if forest and len(s):
+                    order = np.lexsort((dst, src))
+                    src, dst, s = src[order], dst[order], s[order]
+                    nodes, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+                    at = local_forest(place[:len(s)], place[len(s):], s, len(nodes))
+                    src, dst, s = src[at], dst[at], s[at]
+                yield pd.DataFrame({"src": src, "dst": dst, "similarity": s})
+
+    blocks, pairs = candidate_blocks(vectors, threshold, id_col, vec_col, block_rows, n_pivots)
+    a, b = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in ("block", "ids", "data")]) for side in "ab")
+    met = pairs.join(b, "b_block").join(a, "a_block")
+    return met.select("a_block", "a_ids", "a_data", "b_block", "b_ids", "b_data").mapInPandas(run, schema)

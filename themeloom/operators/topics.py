@@ -7,10 +7,10 @@ not label-identical:
 
 * T1 / T14  -- ``ml.feature.PCA`` on unit vectors (distributed fit).
 * T2        -- density clustering: exact similarity edges over a threshold
-               (:func:`themeloom.operators.similarity.similarity_edges`),
-               connected components by min-label propagation with pointer
-               jumping (lineage cut with reliable checkpoints), components
-               below the minimum size are noise ``-1``.
+               (:func:`themeloom.operators.similarity.similarity_edges`), then
+               connected components, or the leaves of the single-linkage tree
+               (:mod:`themeloom.operators.linkage`); groups below the minimum
+               size are noise ``-1``.
 * T3        -- membership probability from nearest-neighbour distances.
 * T4-T7     -- vocabulary, c-TF-IDF, keywords and names, counted over
                topics-as-documents with partial aggregation.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions import vectors as vx
-from themeloom.operators import similarity
+from themeloom.operators import linkage, similarity
 from themeloom.operators.components import connected_components
 from themeloom.session import cut_lineage, stage
 
@@ -96,20 +96,32 @@ def project_2d(df: DataFrame, vec: str = "embedding", id_col: str = "row_id") ->
 # ---------------------------------------------------------------------------
 
 def density_clusters(vectors: DataFrame, threshold: float, min_size: int, id_col: str = "row_id",
-                     vec: str = "embedding", block_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
+                     vec: str = "embedding", block_rows: int = 1024, select: str = "components") -> tuple[DataFrame, DataFrame]:
     """``(assignments(row_id, topic), edges)``.
 
     Edges join vectors whose cosine is ``>= threshold``; each connected
     component of at least ``min_size`` members is a topic, the rest is noise
     ``-1``. Topics are numbered 0.. by size (descending), ties by smallest id.
-    Fewer rows than ``min_size`` -> all noise.
+    Fewer rows than ``min_size`` -> all noise. Of the edges those that span
+    the components are returned, every row's best one among them.
+
+    With ``select="leaves"`` the threshold is only the lowest of a sweep: a
+    topic is one of the finest groups of at least ``min_size``, as they stand
+    before they meet another one (``linkage.leaf_groups``), so that single links
+    between groups do not chain them together.
     """
+    if select not in ("components", "leaves"):
+        raise ValueError(f"select: {select}")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
-    edges = cut_lineage(similarity.similarity_edges(v.withColumnRenamed("v", "embedding"), threshold, "id",
-                                                    "embedding", block_rows))
-    comp = connected_components(v.select("id"), edges, "id")
+    edges = stage(similarity.similarity_edges(v, threshold, "id", "v", block_rows, forest=True), "similarity-edges")
+    if select == "leaves":
+        leaves = stage(linkage.leaf_groups(edges, min_size), "leaf-groups")
+        least = leaves.groupBy("leaf").agg(F.min("id").alias("label"))
+        comp = stage(v.select("id").join(leaves.join(least, "leaf").select("id", "label"), "id", "left"), "leaf-labels")
+    else:
+        comp = connected_components(v.select("id"), edges, "id")
     sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.filter(F.col("size") >= min_size)
+    big = sizes.filter((F.col("size") >= min_size) & F.col("label").isNotNull())
     # numbering over the (few) surviving components; one window over a small table
     num = big.withColumn("topic", (F.row_number().over(Window.orderBy(F.col("size").desc(), F.col("label"))) - 1)
                          .cast("int"))
@@ -287,61 +299,39 @@ def representative_docs(docs: DataFrame, weights: DataFrame, n: int = 3, topic_c
 def nearest_centroid(docs: DataFrame, cents: DataFrame, floor: float = 0.0, id_col: str = "row_id",
                      vec: str = "embedding", topic_col: str = "topic", cvec: str = "centroid") -> DataFrame:
     """Each document takes its most similar centroid, or -1 below ``floor``.
-    The centroid table is the query side of a top-1 search per document."""
+    The centroids go to every task; the documents are read once, where they lie."""
     top = similarity.top_n_similar(
         docs.select(F.col(id_col).alias("_doc"), F.col(vec).alias("embedding")),
         cents.select(F.col(topic_col).cast("long").alias("_t"), F.col(cvec).alias("embedding")),
-        n=1, q_id="_doc", c_id="_t")
+        n=1, q_id="_doc", c_id="_t", ship="candidates")
     return top.select(F.col("_doc").alias(id_col),
                       F.when(F.col("similarity") >= floor, F.col("_t").cast("int")).otherwise(F.lit(-1)).alias(topic_col),
                       F.col("similarity"))
 
 
-def reduce_topics(assign: DataFrame, vectors: DataFrame, target: int, id_col: str = "row_id",
-                  vec: str = "embedding", max_topics: int = 10_000) -> DataFrame:
-    """Merge topics down to ``target`` by average-linkage on the topic
-    centroids' cosine similarity, then relabel every document.
-
-    The k x k similarity is built from one centroid per topic; k is checked
-    against ``max_topics`` before the small matrix goes to the driver. Returns
-    ``(old_topic, topic)``: join it to relabel, then rebuild T4-T6.
-    """
+def topic_units(assign: DataFrame, vectors: DataFrame, id_col: str = "row_id", vec: str = "embedding") -> DataFrame:
+    """(g, v): each topic's centroid, noise aside, as a unit vector."""
     a = assign.filter(F.col("topic") != -1)
-    cent = centroids(a.join(vectors.select(id_col, vec), id_col), "topic", vec)
-    sizes = a.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    k = cent.count()
-    if k > max_topics:
-        raise ValueError(f"{k} topics exceed max_topics={max_topics}")
-    pdf = cent.join(sizes, "topic").orderBy("topic").toPandas()
-    ids = pdf["topic"].tolist()
-    m = np.stack([np.asarray(v, dtype=float) for v in pdf["centroid"]]) if len(pdf) else np.zeros((0, 1))
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sim = m @ m.T
-    # average linkage via the Lance-Williams update: a merged cluster's
-    # similarity to z is the member-count-weighted mean of its parts'
-    k = len(ids)
-    sim = sim.astype(float).copy()
-    np.fill_diagonal(sim, -np.inf)
-    members = {i: [i] for i in range(k)}
-    alive = k
-    while alive > max(target, 1):
-        x, y = np.unravel_index(int(np.argmax(sim)), sim.shape)
-        x, y = (int(x), int(y)) if x < y else (int(y), int(x))
-        nx, ny = len(members[x]), len(members[y])
-        row = (nx * sim[x] + ny * sim[y]) / (nx + ny)
-        sim[x, :], sim[:, x] = row, row
-        sim[x, x] = -np.inf
-        sim[y, :], sim[:, y] = -np.inf, -np.inf
-        members[x] += members.pop(y)
-        alive -= 1
-    clusters = {ids[c]: m for c, m in members.items()}
-    # new ids by merged size, descending
-    size = dict(zip(ids, pdf["n"].tolist()))
-    order = sorted(clusters, key=lambda c: (-sum(size[ids[i]] for i in clusters[c]), c))
-    rows = [(ids[i], new) for new, c in enumerate(order) for i in clusters[c]]
-    spark = assign.sparkSession
-    mapping = spark.createDataFrame(rows + [(-1, -1)], "old_topic int, topic int")
-    return mapping
+    cent = centroids(a.select(id_col, "topic").join(vectors.select(id_col, vec), id_col), "topic", vec)
+    return cent.select(F.col("topic").cast("long").alias("g"), vx.l2_normalize("centroid").alias("v"))
+
+
+def reduce_topics(assign: DataFrame, vectors: DataFrame, target: int, id_col: str = "row_id",
+                  vec: str = "embedding") -> DataFrame:
+    """Merge topics down to ``target`` by average linkage on the cosine
+    similarity of their centroids (see ``operators/linkage.py``); new ids by
+    documents, descending, ties by the least old id. Noise stays -1; topics
+    without a vector merge with none. Returns ``(old_topic, topic)``: join it to
+    relabel, then rebuild T4-T6."""
+    units = stage(topic_units(assign, vectors, id_col, vec), "topic-units")
+    groups = linkage.merged_groups(units, target)
+    sizes = assign.filter(F.col("topic") != -1).groupBy(F.col("topic").cast("long").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    old = stage(sizes.join(groups, "g", "left").withColumn("group", F.coalesce("group", "g")), "topic-groups")
+    # one row per remaining topic
+    order = Window.orderBy(F.col("n").desc(), "group")
+    new = old.groupBy("group").agg(F.sum("n").alias("n")).select("group", (F.row_number().over(order) - 1).cast("int").alias("topic"))
+    noise = assign.sparkSession.range(1).select(F.lit(-1).alias("old_topic"), F.lit(-1).alias("topic"))
+    return old.join(new, "group").select(F.col("g").cast("int").alias("old_topic"), "topic").unionByName(noise)
 
 
 def zero_shot(docs: DataFrame, topic_vectors: DataFrame, min_similarity: float = 0.85,

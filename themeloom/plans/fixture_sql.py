@@ -75,6 +75,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} as ({VIEWS[n]})" for n in order)
     body = sql.lstrip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{sql}"

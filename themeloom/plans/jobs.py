@@ -244,9 +244,9 @@ def joint_corpora(abstracts: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def corpus_overlap(abstracts: DataFrame, answers: DataFrame, n: int = 3, vec: str = "embedding") -> DataFrame:
-    """For each answer topic's first representative answer, the ``n`` most
-    similar abstracts (W4 -> M6)."""
-    reps = ranking.top_docs_per_topic(answers, 5).filter(F.col("rank") == 1)
+    """For each answer topic's first representative answer, of those that
+    have a vector, the ``n`` most similar abstracts (W4 -> M6)."""
+    reps = ranking.top_docs_per_topic(answers.filter(F.col(vec).isNotNull()), 5).filter(F.col("rank") == 1)
     q = reps.select(F.col("topic").cast("long").alias("topic"), F.col(vec).alias("embedding"))
     c = abstracts.select(F.col("row_id"), F.col(vec).alias("embedding"))
     return similarity.top_n_similar(q, c, n=n, q_id="topic")

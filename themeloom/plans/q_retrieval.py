@@ -96,6 +96,8 @@ select row_id, topic from (
          group by topic) f on d.topic = f.topic)
   where n1 < 5 or probability = 1.0)
 where rank = 1"""
+# the same among the documents that have a vector
+W4_RANK1_VECTOR = W4_RANK1.replace("topic_docs", "(select * from topic_docs where embedding is not null)")
 
 
 @register("m6_most_similar_per_topic", V(f"""
@@ -105,11 +107,11 @@ select topic, row_id, round(similarity, 6) as similarity, rank from (
          cast(row_number() over (partition by q.topic order by
               list_cosine_similarity(cast(qe.embedding as double[]), cast(e.embedding as double[])) desc, e.vec_id)
               as bigint) as rank
-  from ({W4_RANK1}) q join embeddings qe on q.row_id = qe.vec_id, embeddings e)
+  from ({W4_RANK1_VECTOR}) q join embeddings qe on q.row_id = qe.vec_id, embeddings e)
 where rank <= 3""", "topic_docs"))
 def m6_most_similar_per_topic(spark, sf):
     td = C.topic_docs(spark, sf)
-    reps = ranking.top_docs_per_topic(td, 5).filter(F.col("rank") == 1)
+    reps = ranking.top_docs_per_topic(td.filter("embedding is not null"), 5).filter(F.col("rank") == 1)
     queries = reps.select(F.col("topic").cast("long").alias("topic"), "embedding")
     cands = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     top = similarity.top_n_similar(queries, cands, n=3, q_id="topic")
@@ -124,14 +126,14 @@ select topic, row_id, round(similarity, 6) as similarity, rank from (
          cast(row_number() over (partition by q.topic order by
               list_cosine_similarity(cast(qe.embedding as double[]), cast(e.embedding as double[])) desc, e.vec_id)
               as bigint) as rank
-  from ({W4_RANK1}) q join embeddings qe on q.row_id = qe.vec_id, embeddings e)
+  from ({W4_RANK1_VECTOR}) q join embeddings qe on q.row_id = qe.vec_id, embeddings e)
 where rank <= 3""", "topic_docs"))
 def j6_similarity_top_n_tiled(spark, sf):
-    """J6 through the tile plan (the one used when the query side is too big to ship)."""
+    """J6 where the query side is too big to ship at once: parts of at most 2 KiB of vectors."""
     td = C.topic_docs(spark, sf)
-    reps = ranking.top_docs_per_topic(td, 5).filter(F.col("rank") == 1)
+    reps = ranking.top_docs_per_topic(td.filter("embedding is not null"), 5).filter(F.col("rank") == 1)
     queries = reps.select(F.col("topic").cast("long").alias("topic"), "embedding")
     cands = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    top = similarity.top_n_similar(queries, cands, n=3, q_id="topic", block_rows=64)
+    top = similarity.top_n_similar(queries, cands, n=3, q_id="topic", block_rows=64, ship_bytes=2 << 10)
     return top.select(F.col("topic").cast("int").alias("topic"), "row_id", F.round("similarity", 6).alias("similarity"),
                       "rank")

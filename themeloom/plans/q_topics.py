@@ -122,6 +122,16 @@ def t2_density_clusters(spark, sf):
     return assign
 
 
+@register("t2_leaf_topics")
+def t2_leaf_topics(spark, sf):
+    """Topics from the leaves of the single-linkage tree instead of its
+    components: the finest groups of at least three above the threshold."""
+    checkpoint_dir(spark)
+    e = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    assign, _ = topics.density_clusters(e, THRESHOLD, 3, "row_id", "embedding", block_rows=128, select="leaves")
+    return assign
+
+
 T3_SQL = f"""
 with recursive pairs as (
   select a.vec_id as s, b.vec_id as d,
@@ -209,23 +219,6 @@ def t10_representative_docs(spark, sf):
 
 
 # ---------------------------------------------------------------- T11-T13
-@register("t11_reduce_topics", V("""
-select count(*) as n_docs, sum(case when topic = -1 then 1 else 0 end) as n_noise, 4 as n_topics, true as by_size,
-       count(distinct topic) filter (topic <> -1) as n_merged
-from topic_docs where embedding is not null""", "topic_docs"))
-def t11_reduce_topics(spark, sf):
-    """The topics merged down to 4, documents relabelled; what must hold, as a row."""
-    td = C.topic_docs(spark, sf).filter("embedding is not null")
-    mapping = topics.reduce_topics(td.select("row_id", "topic"), td.select("row_id", "embedding"), 4)
-    new = td.join(mapping, td.topic == mapping.old_topic).select("row_id", "old_topic", mapping.topic)
-    sizes = new.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("old_topic").alias("merged"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("topic") >= 0, F.struct("topic", "n")))), lambda x: -x["n"])
-    return sizes.agg(F.sum("n").alias("n_docs"), F.sum(F.when(F.col("topic") == -1, F.col("n")).otherwise(0)).alias("n_noise"),
-                     F.count_if(F.col("topic") >= 0).cast("int").alias("n_topics"),
-                     (F.array_sort(in_order) == in_order).alias("by_size"),
-                     F.sum(F.when(F.col("topic") >= 0, F.col("merged"))).alias("n_merged"))
-
-
 CENT_SQL = """
 p as (select topic, cast(generate_subscripts(embedding, 1) as bigint) as i, cast(unnest(embedding) as double) as v
       from topic_docs where topic <> -1),
@@ -233,6 +226,29 @@ cent as (select topic, list(v order by i) as centroid from (select topic, i, avg
          group by topic)"""
 
 
+# average linkage one merge at a time: the groups that are left, as (group, topic) rows
+T11_SQL = f"""with recursive {CENT_SQL.strip()},
+sim as (select a.topic as x, b.topic as y, round(list_cosine_similarity(a.centroid, b.centroid), 12) as s
+        from cent a join cent b on a.topic <> b.topic),
+m(step, topic, grp) as (
+  select 0, topic, topic from cent
+  union all
+  select m.step + 1, m.topic, case when m.grp = p.b then p.a else m.grp end
+  from m, (select a.grp as a, b.grp as b from m a join m b on a.grp < b.grp join sim on sim.x = a.topic and sim.y = b.topic
+           group by a.grp, b.grp order by round(avg(s), 9) desc, a.grp, b.grp limit 1) p),
+old as (select topic as old_topic, grp from m where step = (select count(*) from cent) - 4),
+size as (select grp, count(*) as n from old join topic_docs d on d.topic = old.old_topic where d.embedding is not null group by grp),
+num as (select grp, cast(row_number() over (order by n desc, grp) - 1 as integer) as topic from size)
+select old_topic, topic from old join num using (grp) union all select -1, -1"""
+
+
+@register("t11_reduce_topics", V(T11_SQL, "topic_docs"))
+def t11_reduce_topics(spark, sf):
+    """The topics merged down to 4: which old topic is in which new one."""
+    td = C.topic_docs(spark, sf).filter("embedding is not null")
+    return topics.reduce_topics(td.select("row_id", "topic"), td.select("row_id", "embedding"), 4)
+
+
 @register("t12_assign_nearest_centroid", V(f"""with {CENT_SQL},
 s as (select e.vec_id, c.topic, list_cosine_similarity(cast(e.embedding as double[]), c.centroid) as sim
       from embeddings e, cent c),
