@@ -3,6 +3,8 @@ import math
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from themeloom.operators import dedupe, ranking, retrieval, stats
 
 
@@ -97,3 +99,56 @@ def test_answers_stream_roundtrip(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
     assert [r.heading for r in got] == ["a", "b b", None]
     assert got[0].answer_cleaned == " A: x"
+
+
+def test_merge_needs_no_sort_of_values(spark):
+    rows = [(0, i, "hot" if i % 2 else f"k{i}", None if i % 3 else f"t{i}", i if i % 5 == 0 else None) for i in range(300)] + [(1, 0, None, "z", 1)]
+    df = spark.createDataFrame(rows, "f int, p long, doi string, title string, cites long")
+    out = dedupe.merge_first_non_null(df, "doi", ["f", "p"])
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doi: (r.title, r.cites, r.f, r.p) for r in out.collect()}
+    want = {}
+    for f, p, k, t, c in rows:
+        if k is not None:
+            a = want.setdefault(k, [None, None, f, p])
+            a[0], a[1] = a[0] or t, a[1] if a[1] is not None else c
+    assert got == {k: tuple(v) for k, v in want.items()}
+    one = dedupe.merge_first_non_null(df.drop("f"), "doi", "p", drop_null_key=False)
+    assert one.count() == len(want) + 1
+
+
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_order_statistics(spark, bins):
+    import random
+
+    r = random.Random(4)
+    values = [r.choice([0.0, -0.0, 1e-300, -1e308, 1e308, 3.5, float("inf")]) for _ in range(40)] + [r.gauss(0, 1e6) for _ in range(200)] + [7.0] * 100
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
+    want = sorted(min(v, 1.7976931348623157e308) for v in values)
+    ranks = [0, 1, 57, 170, 171, len(values) - 1]
+    assert stats.order_statistics(df, "v", ranks, bins) == {k: want[k] for k in ranks}
+
+
+def test_quartiles_are_those_of_numpy(spark):
+    import numpy as np
+
+    for values in ([5], [1, 2], [3, 3, 3, 9], list(range(101)), [x * x % 97 for x in range(250)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+        assert np.allclose(stats.quartile_values(df, "v"), np.percentile(values, [25, 50, 75]))
+    none = stats.quartiles(spark.createDataFrame([], "v long"), "v").first()
+    assert (none.q25, none.q50, none.q75) == (None, None, None)
+
+
+def test_join_on_text_with_a_hot_text_on_both_sides(spark):
+    from themeloom.operators import joins
+
+    rows = [(i, "hot" if i % 2 else f"t{i % 50}" if i % 3 else None) for i in range(2600)]
+    docs = [(i, "hot" if i < 6 else f"t{i}", "x") for i in range(60)] + [(99, None, "y")]
+    left = spark.createDataFrame(rows, "file_pos long, doc string")
+    right = spark.createDataFrame(docs, "row_id long, title_abstract string, extra string")
+    got = joins.with_documents_by_text(left, right, salts=4)
+    assert got.columns == ["file_pos", "doc", "row_id", "title_abstract", "extra"]
+    want = sorted(((i, t, *m) for i, t in rows for m in ([m for m in docs if t is not None and m[1] == t] or [(None, None, None)])), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x]
+    assert exchanges and all("doc" not in x.split("hashpartitioning(")[1].split(")")[0] for x in exchanges)

@@ -289,3 +289,16 @@ def test_top_n_of_empty_sides(spark):
     assert similarity.top_n_similar(none, some).collect() == []
     assert similarity.top_n_similar(some.withColumnRenamed("row_id", "query_id"), none.withColumnRenamed("query_id", "row_id")).collect() == []
     assert similarity.similarity_edges(none.withColumnRenamed("query_id", "row_id"), 0.5).collect() == []
+
+
+def test_a_saved_model_is_applied_as_the_fitted_one(spark, tmp_path):
+    df, _ = skewed(spark, 200)
+    red, model = topics.reduce_dimensions(df.filter("embedding is not null"), 5)
+    red = red.withColumn("topic", (F.col("row_id") % 4).cast("int"))
+    cents = topics.centroids(red, "topic", "reduced")
+    names = spark.createDataFrame([(t, "x") for t in range(4)], "topic int, Name string")
+    topics.save_topic_model(str(tmp_path / "m"), names, names, cents, topics.component_table(spark, model))
+    direct = topics.nearest_centroid(red.select("row_id", "reduced"), cents, 0.1, vec="reduced")
+    back = topics.apply_topic_model(topics.load_topic_model(spark, str(tmp_path / "m")), df, 0.1)
+    got = {r.row_id: (r.topic, round(r.similarity, 8)) for r in back.collect()}
+    assert got == {r.row_id: (r.topic, round(r.similarity, 8)) for r in direct.collect()} and len(got) == 201

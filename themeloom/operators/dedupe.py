@@ -49,23 +49,43 @@ def dedupe_doi_then_title(df: DataFrame, order_cols="ordinal",
     return keep_first(keep_first(df, doi_col, order_cols), title_col, order_cols)
 
 
+def _one_number(order: list[str]) -> Column:
+    """One or two whole-number order columns (the first below 10^17 in size) as one number."""
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) > 2:
+        raise ValueError("order by one or two whole-number columns")
+    high, low = F.col(order[0]).cast("decimal(17,0)"), F.col(order[1]).cast("decimal(19,0)")
+    return (high * F.lit("100000000000000000000").cast("decimal(21,0)") + low).cast("decimal(38,0)")
+
+
 def merge_first_non_null(df: DataFrame, key: str, order_cols, drop_null_key: bool = True) -> DataFrame:
     """D3: one row per ``key``; every column independently takes its first
     non-null value in source order.
 
-    ``min_by(c, ordinal)`` skips rows whose ordering value is null, so the
-    ordering is nulled where ``c`` is null. All columns are merged in one
-    aggregate with partial (map-side) aggregation.
+    A narrow hash aggregate finds, per key and column, the ordinal of the first
+    row with a value; the rows so named (at most one per column) are fetched
+    once, each with the columns that it won, and put together. The ordinal
+    names a row.
     """
     order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    o = F.struct(*[F.col(c) for c in order])
     if drop_null_key:
         df = df.filter(F.col(key).isNotNull())  # pandas groupby drops null keys (P2)
     rest = [c for c in df.columns if c != key and c not in order]
-    aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(c) for c in rest]
-    aggs.append(F.min(o).alias("_o"))
-    out = df.groupBy(key).agg(*aggs)
-    return out.select(key, *rest, *[F.col(f"_o.{c}").alias(c) for c in order])
+    df = df.withColumn("_at", _one_number(order))
+    won = [F.min(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_w{i}") for i, c in enumerate(rest)]
+    first = df.groupBy(key).agg(*won, F.min("_at").alias("_w"))
+    at = [f"_w{i}" for i in range(len(rest))]
+    wanted = first.select(*at, "_w", F.explode(F.array_distinct(F.array_compact(F.array(*at, "_w")))).alias("_at"))
+    rows = df.join(wanted.hint("shuffle_hash"), "_at")
+    mine = [F.when(F.col("_at") == F.col(w), F.col(c)).alias(c) for w, c in zip(at, rest)]
+    mine += [F.when(F.col("_at") == F.col("_w"), F.col(c)).alias(c) for c in order]
+    held = rows.select(key, F.struct(*mine).alias("_r")).groupBy(key).agg(F.collect_list("_r").alias("_r"))
+
+    def value(c: str) -> Column:
+        return F.get(F.filter("_r", lambda r: r[c].isNotNull()), 0)[c].alias(c)
+
+    return held.select(key, *[value(c) for c in [*rest, *order]])
 
 
 def title_dedupe_smallest_doi(df: DataFrame, title_col: str = "title", doi_col: str = "doi") -> DataFrame:

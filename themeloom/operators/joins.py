@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators import similarity
+from themeloom.session import stage
 
 
 def with_topic_info(docs: DataFrame, topic_info: DataFrame, topic_col: str = "topic") -> DataFrame:
@@ -24,11 +25,27 @@ def with_topic_info(docs: DataFrame, topic_info: DataFrame, topic_col: str = "to
 
 
 def with_documents_by_text(rows: DataFrame, docs: DataFrame, text_col: str = "doc",
-                           doc_text_col: str = "title_abstract") -> DataFrame:
+                           doc_text_col: str = "title_abstract", salts: int = 32, hot_share: float = 0.001) -> DataFrame:
     """Left join on the full text; duplicate texts multiply rows, as in the
-    reference. Joining on ``row_id`` is the default elsewhere; this variant
-    reproduces the text fan-out."""
-    return rows.join(docs, rows[text_col] == docs[doc_text_col], "left")
+    reference. Joining on ``row_id`` (J5) is the default elsewhere; this variant
+    reproduces the text fan-out.
+
+    The key is a 256-bit digest; the documents' texts do not move, a match takes
+    its text from ``rows``. Texts that hold over ``hot_share`` of the rows (so at
+    most its inverse many) are dealt to ``salts`` places, their documents to all
+    of them."""
+    left = rows.withColumn("_key", F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
+    counts = stage(left.filter("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "text-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = [r["_key"] for r in counts.filter(F.col("_n") > max(1000, total * hot_share)).select("_key").collect()]
+    is_hot = F.col("_key").isin(*[bytes(k) for k in hot]) if hot else F.lit(False)
+    left = left.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"))
+    right = (docs.withColumn("_key", F.unhex(F.sha2(F.col(doc_text_col).cast("string"), 256))).drop(doc_text_col)
+             .withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+             .withColumn("_met", F.lit(True)))
+    out = left.join(right, ["_key", "_salt"], "left")
+    text = F.when(F.col("_met"), F.col(text_col)).alias(doc_text_col)
+    return out.select(*rows.columns, *[text if c == doc_text_col else right[c] for c in docs.columns])
 
 
 def with_summaries(rows: DataFrame, summaries: DataFrame, topic_col: str = "topic") -> DataFrame:

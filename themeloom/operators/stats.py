@@ -1,9 +1,8 @@
 """Aggregations.
 
-Every aggregate here is a hash aggregate with partial (map-side)
-aggregation, so a hot group is combined before the shuffle. Scalars that
-later steps need (minimum group size, quartiles) stay in the plan as scalar
-subqueries (``DataFrame.scalar()``), not as driver round trips.
+Aggregates combine map-side before the shuffle. Quartiles are order statistics
+found by counting; they reach the driver as numbers, and later steps hold them
+as literals.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.session import stage
+
 
 def count_per_group(df: DataFrame, keys: list[str], drop_null: list[str] | None = None,
                     name: str = "count") -> DataFrame:
@@ -39,16 +40,71 @@ def count_at_minimum(df: DataFrame, col: str = "cited_by_count") -> DataFrame:
                          F.min_by("count", col).cast("bigint").alias("n_at_min"))
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = 4096) -> dict[int, float]:
+    """The values at the given ranks (from 0) of the sorted non-null numbers.
+
+    Each round counts, per open interval, the values of ``bins`` equal bins and
+    goes on in the bins that hold a rank, until such a bin has one value. What
+    moves is counts; the driver reads at most ``bins`` rows per open rank. The
+    values are read once a round. Infinite values count as the largest doubles."""
+    big = 1.7976931348623157e308
+    v = F.greatest(F.lit(-big), F.least(F.lit(big), F.col(col).cast("double")))
+    values = df.select(v.alias("v")).filter("v is not null and not isnan(v)")
+    least, most = values.agg(F.min("v"), F.max("v")).first()
+    found: dict[int, float] = {}
+    open_: dict[tuple, list[tuple[int, int]]] = {(least, most): [(r, r) for r in ranks]}  # rank, rank within
+    while open_:
+        one = [k for k in open_ if k[0] == k[1]]
+        for k in one:
+            found.update({rank: k[0] for rank, _ in open_.pop(k)})
+        parts = []
+        for low, high in open_:
+            # halves, as a difference of doubles may be no double
+            place = (F.col("v") * 0.5 - low * 0.5) / F.lit(high * 0.5 - low * 0.5) * bins
+            inside = (F.col("v") >= low) & (F.col("v") <= high)
+            parts.append(F.when(inside, F.struct(F.lit(len(parts)).alias("i"),
+                                                 F.least(F.lit(bins - 1), F.floor(place).cast("int")).alias("bin"))))
+        if not parts:
+            break
+        rows = (values.select("v", F.explode(F.array_compact(F.array(*parts))).alias("at")).groupBy("at.i", "at.bin")
+                .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("i", "bin").collect())
+        following: dict[tuple, list[tuple[int, int]]] = {}
+        for i, wanted in enumerate(open_.values()):
+            below = 0
+            for r in (r for r in rows if r.i == i):
+                for rank, at in wanted:
+                    if below <= at < below + r.n:
+                        following.setdefault((r.low, r.high), []).append((rank, at - below))
+                below += r.n
+        open_ = following
+    return found
+
+
+def quartile_values(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75)) -> list[float | None]:
+    """A6 as numbers: quantiles with linear interpolation (nulls and NaN
+    skipped, as pandas; None where there are no values). ``df`` is read a few
+    times; where it is not a written table, its column is written first."""
+    rows = stage(df.select(F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)"), "quantile-values")
+    n = rows.count()
+    if n == 0:
+        return [None for _ in probs]
+    at = [(n - 1) * p for p in probs]
+    ranks = sorted({int(x) for x in at} | {min(int(x) + 1, n - 1) for x in at})
+    value = order_statistics(rows, "v", ranks)
+    return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, n - 1)] - value[int(x)]) if x != int(x) else value[int(x)] for x in at]
+
+
 def quartiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), approx: bool = False,
               accuracy: int = 10_000) -> DataFrame:
-    """Quartiles (linear interpolation, nulls skipped, as pandas), one row
-    with columns ``q25, q50, q75``. ``approx`` uses ``percentile_approx``,
-    which returns data points instead of interpolating."""
-    c = F.col(col).cast("double")
-    arr = (F.percentile_approx(c, list(probs), accuracy) if approx
-           else F.percentile(c, F.array(*[F.lit(p) for p in probs])))
+    """Quartiles, one row with columns ``q25, q50, q75``: exact ones by
+    :func:`quartile_values`; ``approx`` uses ``percentile_approx``, which
+    returns data points instead of interpolating."""
     names = [f"q{int(round(p * 100))}" for p in probs]
-    return df.agg(arr.alias("_q")).select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    if approx:
+        arr = F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy)
+        return df.agg(arr.alias("_q")).select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    found = quartile_values(df, col, probs)
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(nm) for v, nm in zip(found, names)])
 
 
 def value_counts(df: DataFrame, col: str, include_null: bool = False, name: str = "count") -> DataFrame:

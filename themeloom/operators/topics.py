@@ -433,6 +433,37 @@ def load_topic_model(spark, path: str, parts=MODEL_PARTS) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{path}/{n}") for n in parts}
 
 
+def reduced_by(docs: DataFrame, components: DataFrame, vec: str = "embedding") -> DataFrame:
+    """``docs`` with ``vec`` replaced by its unit vector's coordinates on the
+    saved components (at most as many rows as a vector is long); null stays null."""
+    rows = components.orderBy("component").collect()
+    matrix = np.array([r.loadings for r in rows], np.float64)
+    rest = [c for c in docs.columns if c != vec]
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(vec, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            has = b[vec].notna().to_numpy()
+            out: list = [None] * len(b)
+            if has.any():
+                for i, v in zip(np.flatnonzero(has), similarity._unit(similarity._stack(b[vec][has])) @ matrix.T):
+                    out[i] = v
+            yield b[rest].assign(**{vec: pd.Series(out, index=b.index, dtype=object)})
+
+    return docs.select(*rest, F.col(vec).cast("array<double>").alias(vec)).mapInPandas(run, schema)
+
+
+def apply_topic_model(model: dict[str, DataFrame], docs: DataFrame, floor: float = 0.0, id_col: str = "row_id",
+                      vec: str = "embedding") -> DataFrame:
+    """T17 -> T12: new documents take the topics of a loaded model: their vectors
+    go through its components, where it has them (its centroids then are in that
+    space), and each document takes its most similar centroid, or -1 below ``floor``."""
+    if "components" in model:
+        docs = reduced_by(docs.select(id_col, vec), model["components"], vec)
+    cents = model["centroids"].filter(F.col("topic") != -1)
+    return nearest_centroid(docs, cents, floor, id_col, vec)
+
+
 # ---------------------------------------------------------------------------
 # Keyword refinement with an encoder
 # ---------------------------------------------------------------------------

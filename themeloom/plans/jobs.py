@@ -174,8 +174,8 @@ def plot_table(docs: DataFrame, text_col: str = "text", id_col: str = "row_id",
     out = (shown.join(xy, id_col, "left").join(names, "topic", "left")
            .join(summ.select("topic", "topic_name", "topic_description"), "topic", "left"))
     if cites_col in out.columns:
-        q = stats.quartiles(out, cites_col)
-        qs = [q.select(c).scalar() for c in ("q25", "q50", "q75")]
+        # joined one to one, so the documents that are shown have the plot table's quartiles
+        qs = [F.lit(q) for q in stats.quartile_values(shown, cites_col)]
         out = out.withColumn("citation_band", tx.citation_band(cites_col, *qs))
     out = filters.drop_nested(out)
     return filters.fill_label(out, {"Name": "NA", "topic_name": "NA"})

@@ -167,6 +167,30 @@ def s12_append_collection(spark, sf):
     return _answers_out(io.read_json_lines(spark, p, SCHEMA_WITH_ID))
 
 
+@register("s12_answer_stream", V("""
+with l as (select row_id, gpt_model, temperature, list_filter(string_split(text, chr(10)), lambda x: x <> '') as answer from answers)
+select row_id as second, gpt_model, temperature, cast(generate_subscripts(answer, 1) - 1 as bigint) as pos,
+       md5(unnest(answer)) as line_md5 from l where len(answer) > 0
+union all select row_id, gpt_model, temperature, null, null from l where len(answer) = 0""", "answers"))
+def s12_answer_stream(spark, sf):
+    """S12 as a stream: two available-now rounds from one checkpoint; the second
+    finds new files and the first ones once more, under other names."""
+    from themeloom.streaming import answers as st
+
+    start = 1704067200  # 2024-01-01; a second of its own for every answer
+    recs = _answer_records(spark, sf).withColumn(
+        "datetime", F.date_format(F.timestamp_seconds(F.col("row_id") + start), "yyyy-MM-dd'T'HH:mm:ss")).drop("row_id")
+    landed, out, state = (_scratch(spark, x) for x in ("answers_landed", "answers_lines", "answers_state"))
+    early = recs.filter(F.col("temperature") == 0.0)
+    for batch in (early, recs.filter(F.col("temperature") != 0.0).unionByName(early)):
+        io.append_records(batch, landed)
+        records = st.first_records(st.answer_records_stream(spark, landed), late="10000 days")
+        st.start_append(st.answer_lines_stream(records), out, state).awaitTermination()
+    lines = spark.read.parquet(out)
+    second = F.unix_timestamp("datetime", "yyyy-MM-dd'T'HH:mm:ss") - start
+    return lines.select(second.alias("second"), "gpt_model", "temperature", "pos", F.md5("line").alias("line_md5"))
+
+
 @register("s13_persist_stage", V("""
 select ordinal, doi from works where relevance_score > 10""", "works"))
 def s13_persist_stage(spark, sf):

@@ -194,8 +194,7 @@ from works, {q} q""", "works")
 
 def _bands(spark, sf, zero_na):
     w = C.works(spark, sf)
-    q = stats.quartiles(w, "cited_by_count")
-    qs = [q.select(c).scalar() for c in ("q25", "q50", "q75")]
+    qs = [F.lit(q) for q in stats.quartile_values(w, "cited_by_count")]
     return w.select("ordinal", tx.citation_band(F.col("cited_by_count") % 40, *qs, zero_na=zero_na)
                     .alias("citation_band"))
 

@@ -249,12 +249,15 @@ def t11_reduce_topics(spark, sf):
     return topics.reduce_topics(td.select("row_id", "topic"), td.select("row_id", "embedding"), 4)
 
 
-@register("t12_assign_nearest_centroid", V(f"""with {CENT_SQL},
+T12_SQL = V(f"""with {CENT_SQL},
 s as (select e.vec_id, c.topic, list_cosine_similarity(cast(e.embedding as double[]), c.centroid) as sim
       from embeddings e, cent c),
 b as (select vec_id, topic, sim, row_number() over (partition by vec_id order by sim desc, topic) as rn from s)
 select vec_id as row_id, case when sim >= 0.2 then topic else -1 end as topic, round(sim, 6) as similarity
-from b where rn = 1""", "topic_docs"))
+from b where rn = 1""", "topic_docs")
+
+
+@register("t12_assign_nearest_centroid", T12_SQL)
 def t12_assign_nearest_centroid(spark, sf):
     td = filters.drop_noise(C.topic_docs(spark, sf))
     cent = topics.centroids(td, "topic", "embedding")
@@ -360,6 +363,19 @@ def t17_save_load_topics(spark, sf):
     return out
 
 
+@register("t17_apply_saved_topics", T12_SQL)
+def t17_apply_saved_topics(spark, sf):
+    """Fitted topics saved, loaded again and applied to the table of vectors."""
+    import uuid
+    root = checkpoint_dir(spark).rstrip("/") + f"/topic-model-{uuid.uuid4().hex}"
+    w = _weights(spark, sf)
+    cent = topics.centroids(filters.drop_noise(C.topic_docs(spark, sf)), "topic", "embedding")
+    topics.save_topic_model(root, topics.topic_names(topics.top_keywords(w, 10)), w, cent)
+    model = topics.load_topic_model(spark, root, topics.MODEL_PARTS[:3])
+    docs = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    return topics.apply_topic_model(model, docs, 0.2).select("row_id", "topic", F.round("similarity", 6).alias("similarity"))
+
+
 # ---------------------------------------------------------------- L1-L5
 @register("l1_request_table", V("""
 with g as (select distinct gpt_model, temperature from answers where system_message is not null),

@@ -6,7 +6,10 @@ Structured Streaming file source: each new file is cleaned once (lines ->
 rows, heading, cleaned text; X13/X14/X10/X11) and appended to a Parquet table.
 The balanced sample (W6) needs the final group sizes, so it stays a batch step
 (:func:`themeloom.plans.jobs.answers_long`) over the written table.
-No stateful operator is needed.
+
+A file may come twice, or a writer may repeat records after a crash: records are
+told apart by a hash of their content, which the stream keeps as state until the
+watermark has passed them.
 """
 
 from __future__ import annotations
@@ -27,6 +30,15 @@ def answer_records_stream(spark: SparkSession, path: str, max_files_per_trigger:
     return s.withColumn("row_id", F.xxhash64("datetime", "gpt_model", "temperature", F.to_json("answer")))
 
 
+def first_records(records: DataFrame, late: str = "7 days") -> DataFrame:
+    """Each record once. State holds the ids of records whose ``datetime`` is at
+    most ``late`` before the newest; what arrives later than that is dropped, as
+    it may have been seen. A record whose time cannot be read is not told apart
+    from others by time and is dropped too."""
+    timed = records.withColumn("event_time", F.try_to_timestamp("datetime"))
+    return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["row_id"]).drop("event_time")
+
+
 def answer_lines_stream(records: DataFrame) -> DataFrame:
     """One row per answer line with heading and cleaned text (stateless)."""
     long = records.select("row_id", "gpt_model", "temperature", "system_message", "datetime",
