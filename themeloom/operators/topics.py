@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from themeloom.functions import vectors as vx
 from themeloom.operators import linkage, similarity
 from themeloom.operators.components import connected_components
-from themeloom.session import cut_lineage, stage
+from themeloom.session import stage
 
 # Spark's default English stop word list (StopWordsRemover,
 # "english"), in its own order. Kept as text so the SQL oracle can use it.
@@ -231,24 +231,23 @@ def topic_term_counts(docs: DataFrame, topic_col: str = "topic", text_col: str =
     n_topics``. The explode is combined per (topic, term) map-side."""
     t = with_doc_terms(docs.select(F.col(topic_col).alias("topic"), text_col), text_col, ngram_range, stop_words)
     t = _explode_terms(t.select("topic", "_terms"))
-    # the (topic, term) table is read several times below and by c-TF-IDF;
-    # it is far smaller than the corpus, so it is computed once and checkpointed
-    tf = cut_lineage(t.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n_topics = docs.select(topic_col).distinct().agg(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    keep = dfreq.filter((F.col("n_t") >= min_df) & (F.col("n_t") <= F.lit(max_df) * n_topics)).select("term")
-    return tf.join(keep, "term")
+    # read twice below, so written once
+    tf = stage(t.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")), "topic-term-counts")
+    n_topics = docs.select(topic_col).distinct().count()
+    keep = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+            .filter((F.col("n_t") >= min_df) & (F.col("n_t") <= max_df * n_topics)).select("term"))
+    return stage(tf.join(keep, "term"), "topic-vocabulary")
 
 
 def ctfidf(counts: DataFrame) -> DataFrame:
     """T5: ``weight = tf / (terms in topic) * ln(1 + A / f_t)`` with ``A`` the
     integer mean of terms per topic and ``f_t`` the term's count over all
     topics (the noise topic counts as a topic). The logarithm is also returned
-    as ``idf``."""
+    as ``idf``. ``counts`` is read a few times; :func:`topic_term_counts` has written it."""
     per_topic = counts.groupBy("topic").agg(F.sum("tf").alias("topic_total"))
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("f_t"))
-    a = per_topic.agg(F.floor(F.avg("topic_total"))).scalar()
-    return (counts.join(per_topic, "topic").join(per_term.withColumn("idf", F.ln(1 + a / F.col("f_t"))), "term")
+    a = per_topic.agg(F.floor(F.avg("topic_total"))).first()[0] or 0  # one number
+    per_term = counts.groupBy("term").agg(F.ln(1 + F.lit(a) / F.sum("tf")).alias("idf"))
+    return (counts.join(per_topic, "topic").join(per_term, "term")
             .select("topic", "term", "tf", (F.col("tf") / F.col("topic_total") * F.col("idf")).alias("weight"), "idf"))
 
 
