@@ -73,3 +73,13 @@ def test_odd_rows_and_cache(spark, tok):
     assert [r[2] for r in got] == [r[2] + (0 if r[0] == 200 else 1000) for r in expected(more)]
     assert spark.read.parquet(cache).count() == n + 1
     assert counted([]) == []
+
+
+def test_many_rows_without_or_with_one_id(spark, tok):
+    """Rows of one id meet only by their text: work in proportion to the rows."""
+    ship_package(spark)
+    texts = [f"text {i} of w{i % 7}" for i in range(6000)] + ["same"] * 500
+    df = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = token_counts.token_counts(df, shared_folder(spark, "cache-ids"), queries.TOKENIZER)
+    want = sorted(len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False))
+    assert sorted(r.n_tokens for r in out.collect()) == want

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm import tokens
-from themeloom.llm.common import small_batches, stage, text_or_empty, utf8
+from themeloom.llm.common import small_batches, stage, text_hash, text_or_empty, utf8
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -59,14 +59,15 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
     by_word = tokens.encoder(tokenizer_path).by_word
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     keyed = stage(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-                              content_digest(F.col("text"), by_word).alias("digest")), "token-digests")
+                              text_hash().alias("h"), content_digest(F.col("text"), by_word).alias("digest")), "token-digests")
     # an append without rows makes a new cache readable
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     stored = _stored(spark, cache_path, version)
-    missing = (keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # one row per digest, found again by id and text, so that rows without an id do not all meet
+    missing = (keyed.groupBy("digest").agg(F.min("h").alias("h"), F.min_by("doc_id", "h").alias("doc_id"))
                .join(stored, "digest", "left_anti"))
-    texts = (docs.alias("d").join(missing.alias("m").hint("shuffle_hash"),
-                                  F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.h") == F.col("m.h"))
+    texts = (docs.withColumn("h", text_hash()).alias("d").join(missing.alias("m").hint("shuffle_hash"), same)
              .select("d.text", "m.digest"))
     fresh = (texts.mapInArrow(_encoded(tokenizer_path), "digest binary, n_tokens bigint")
              .dropDuplicates(["digest"]))
