@@ -486,11 +486,12 @@ def _candidate_vectors(weights: DataFrame, reps: DataFrame, docs: DataFrame, n_c
 def similarity_keywords(weights: DataFrame, reps: DataFrame, docs: DataFrame, n: int = 10,
                         n_candidates: int = 30, id_col: str = "row_id", text_col: str = "text",
                         encoder=None) -> DataFrame:
-    """Candidate terms re-ranked by cosine similarity to the topic's
-    representative-document vector; ``(topic, term, similarity, rank)``."""
+    """Candidate terms re-ranked by cosine similarity (compared at 6 decimals,
+    ties by term) to the topic's representative-document vector;
+    ``(topic, term, similarity, rank)``."""
     term_vecs, topic_vec = _candidate_vectors(weights, reps, docs, n_candidates, id_col, text_col, encoder)
     s = term_vecs.join(topic_vec, "topic").withColumn("similarity", vx.cosine("tvec", "topic_vec"))
-    w = Window.partitionBy("topic").orderBy(F.col("similarity").desc(), F.col("term"))
+    w = Window.partitionBy("topic").orderBy(F.round("similarity", 6).desc(), F.col("term"))
     return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select("topic", "term", "similarity", F.col("rank").cast("bigint")))
 

@@ -10,7 +10,7 @@ from themeloom.plans.fixture_sql import with_views as V
 from themeloom.plans.q_retrieval import QUESTION, bm25_sql
 from themeloom.plans.q_text import SQL_HEADINGS, fill, sql_clean
 from themeloom.plans.q_text import drawn
-from themeloom.plans.q_topics import CTFIDF_SQL, FIRST_SENTENCE, TOP_SQL
+from themeloom.plans.q_topics import CTFIDF_SQL, FIRST_SENTENCE, TOP_SQL, embed_sql
 from themeloom.plans.registry import register
 from themeloom.session import shared_folder
 from themeloom.sources import corpora as C
@@ -229,11 +229,25 @@ def g8_joint_corpora(spark, sf):
     return j.select("source", "row_id", "topic", "total_cites", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
 
 
-@register("g8_corpus_overlap")
+@register("g8_corpus_overlap", V(f"""
+with best as (select topic, row_id, text from (
+  select cast(row_id % 5 as integer) as topic, row_id, text, row_number() over (partition by row_id % 5 order by row_id % 100 desc, row_id) as rank
+  from answers) where rank = 1),
+texts as (select 'answer' as kind, row_id as id, text from best
+          union all select 'abstract', row_id, title_abstract from topic_docs),
+{embed_sql('texts', 'kind, id', 64)},
+dots as (select a.id as answer, b.id as row_id, sum(a.v * b.v) as dot from unit a join unit b on a.i = b.i
+         where a.kind = 'answer' and b.kind = 'abstract' group by all),
+s as (select cast(best.topic as bigint) as topic, d.row_id, coalesce(dots.dot, 0) as similarity
+      from best cross join topic_docs d left join dots on dots.answer = best.row_id and dots.row_id = d.row_id)
+select topic, row_id, rank, round(similarity, 3) as similarity from (
+  select *, cast(row_number() over (partition by topic order by round(similarity, 9) desc, row_id) as bigint) as rank from s)
+where rank <= 3""", "topic_docs", "answers"))
 def g8_corpus_overlap(spark, sf):
-    """Rows-only: for each topic's first representative answer, the 3 most
-    similar abstracts (the offline encoder's vectors on both sides)."""
-    return jobs.corpus_overlap(*_embedded_corpora(spark, sf), 3)
+    """For each topic's first representative answer, the 3 most similar
+    abstracts (the offline encoder's vectors on both sides)."""
+    found = jobs.corpus_overlap(*_embedded_corpora(spark, sf), 3)
+    return found.select("topic", "row_id", "rank", F.round("similarity", 3).alias("similarity"))
 
 
 G9_SQL = V("""

@@ -258,12 +258,14 @@ def j4_counts_with_names(spark, sf):
 @register("j5_align_by_row_id", V("""
 select a.row_id, a.gpt_model, t.topic, e.vec_id % 7 as x
 from answers a join (select row_id, row_id % 5 as topic from answers) t on a.row_id = t.row_id
-join (select vec_id, vec_id * 100 + 1 as row_id from embeddings) e on a.row_id = e.row_id""", "answers"))
+join (select vec_id, vec_id * 100 + unnest(range(0, 100)) as row_id from embeddings) e on a.row_id = e.row_id""", "answers"))
 def j5_align_by_row_id(spark, sf):
     a = C.answers(spark, sf).select("row_id", "gpt_model")
     t = C.answers(spark, sf).select("row_id", (F.col("row_id") % 5).alias("topic"))
-    e = C.table(spark, sf, "embeddings").select((F.col("vec_id") * 100 + 1).alias("row_id"),
-                                                (F.col("vec_id") % 7).alias("x"))
+    # a vector stands for all turns of its conversation
+    turn = F.explode(F.sequence(F.lit(0), F.lit(99)))
+    e = C.table(spark, sf, "embeddings").select("vec_id", turn.alias("turn")).select(
+        (F.col("vec_id") * 100 + F.col("turn")).alias("row_id"), (F.col("vec_id") % 7).alias("x"))
     return joins.align_by_row_id(a, t, e).select("row_id", "gpt_model", "topic", "x")
 
 

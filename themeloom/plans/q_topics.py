@@ -58,6 +58,19 @@ def _weights(spark, sf):
     return topics.ctfidf(topics.topic_term_counts(_docs(spark, sf)))
 
 
+def embed_sql(texts: str, keys: str, dim: int) -> str:
+    """CTEs that embed the relation ``texts`` (``keys``, text) as the default
+    encoder does: ``unit`` holds the non-zero components (``keys``, i, v)."""
+    return f"""
+ew as (select {keys}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as word from {texts}),
+etf as (select {keys}, word, count(*) as n from ew group by all),
+ef as (select {keys}, cast('0x' || substr(md5(word), 1, 8) as bigint) % {dim} as i,
+              sum((case when cast('0x' || substr(md5(word), 9, 1) as int) < 8 then 1 else -1 end) * (1 + ln(n))) as v
+       from etf group by all),
+en as (select {keys}, sqrt(sum(v * v)) as norm from ef group by all),
+unit as (select {keys}, i, v / norm as v from ef join en using ({keys}) where norm > 0)"""
+
+
 # ---------------------------------------------------------------- M5
 @register("m5_embed", """
 with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as word from documents),
@@ -456,14 +469,32 @@ def l5_flatten_summaries(spark, sf):
                        F.array_join("topic_keywords", ", ").alias("topic_keywords"))
 
 
-@register("t8_similarity_keywords")
+@register("t8_similarity_keywords", V(f"""with {CTFIDF_SQL}, {DOC_TERMS_SQL},
+reps as (select topic, row_id from (
+  select topic, row_id, row_number() over (partition by topic order by
+           round(case when dn > 0 and tn > 0 then dotw / (dn * tn) else 0 end, 9) desc, row_id) as rank
+  from sim join norm using (topic)) where rank <= 3),
+cand as (select topic, term from kw where rank <= 30),
+texts as (select 'doc' as kind, d.topic, cast(d.row_id as varchar) as id, d.title_abstract as text from reps join topic_docs d using (topic, row_id)
+          union all select 'term', topic, term, term from cand),
+{embed_sql('texts', 'kind, topic, id', 384)},
+tv as (select topic, i, sum(v) as v from unit where kind = 'doc' group by all),
+tl as (select topic, sqrt(sum(v * v)) as len from tv group by topic),
+dots as (select u.topic, u.id as term, sum(u.v * tv.v) as dot from unit u join tv on u.topic = tv.topic and u.i = tv.i
+         where u.kind = 'term' group by all),
+s as (select c.topic, c.term, coalesce(d.dot / tl.len, 0) as similarity
+      from cand c left join dots d using (topic, term) left join tl using (topic))
+select topic, term, rank, round(similarity, 3) as similarity from (
+  select *, cast(row_number() over (partition by topic order by round(similarity, 6) desc, term) as bigint) as rank from s)
+where rank <= 10""", "topic_docs"))
 def t8_similarity_keywords(spark, sf):
-    """Rows-only: c-TF-IDF candidates re-ranked by similarity to the topic's
-    representative documents (default offline encoder)."""
+    """c-TF-IDF candidates re-ranked by similarity to the topic's representative
+    documents (default offline encoder)."""
     d = _docs(spark, sf)
     w = _weights(spark, sf)
     reps = topics.representative_docs(d, w, 3)
-    return topics.similarity_keywords(w, reps, d, 10, 30)
+    found = topics.similarity_keywords(w, reps, d, 10, 30)
+    return found.select("topic", "term", "rank", (F.round("similarity", 3) + 0.0).alias("similarity"))
 
 
 @register("t9_diverse_keywords")
