@@ -65,10 +65,10 @@ def g1_works_funnel(spark, sf):
     return jobs.works_funnel(C.works_nested(spark, sf), long_tokens=500)
 
 
-G2_SQL = V(f"""
-with a as (select * exclude (rn) from (
+G2_CTES = f"""
+a as (select * exclude (rn) from (
              select *, row_number() over (partition by file_no order by file_pos) as rn from abstracts)
-           where rn <= 100),
+           where rn <= 1000),
 b as (select *, cast(file_no as bigint) * 1000000000 + file_pos as ord from a
       where title is not null and abstract is not null and doi is not null),
 m as (select doi,
@@ -80,17 +80,36 @@ m as (select doi,
 c as (select *, {sql_clean('abstract')} as abstract_clean from m),
 t as (select *, title || case when title like '%.' then ' ' else '. ' end || abstract_clean as title_abstract from c),
 d as (select * exclude (rn) from (select *, row_number() over (partition by title order by doi) as rn from t)
-      where rn = 1)
-select doi, title, md5(title_abstract) as ta_md5, category, total_cites from d
-where total_cites >= 5 or category = 'main'""", "abstracts")
+      where rn = 1),
+prepared as (select * from d where total_cites >= 5 or category = 'main')"""
+G2_SQL = V(f"""with {G2_CTES}
+select doi, title, md5(title_abstract) as ta_md5, category, total_cites from prepared""", "abstracts")
 
 
 @register("g2_abstracts_prepared", G2_SQL)
 def g2_abstracts_prepared(spark, sf):
-    a = jobs.abstracts_prepared(C.abstract_exports(spark, sf), 100)
+    a = jobs.abstracts_prepared(C.abstract_exports(spark, sf), 1000)
     return a.select("doi", "title", F.md5("title_abstract").alias("ta_md5"), "category", "total_cites")
 
 
+@register("g2_abstracts_embedded", V(f"""with {G2_CTES},
+texts as (select doi, title_abstract as text from prepared),
+{embed_sql('texts', 'doi', 384)},
+nz as (select doi, count(*) as n from ef where abs(v) > 1e-6 group by doi)
+select p.doi, p.title, md5(p.abstract) as abstract_md5, md5(p.abstract_clean) as clean_md5, md5(p.title_abstract) as ta_md5,
+       p.category, p.total_cites, 384 as dim, coalesce(nz.n, 0) as n_nonzero
+from prepared p left join nz using (doi)""", "abstracts"))
+def g2_abstracts_embedded(spark, sf):
+    """G2 to its end: the first 1,000 of each export, merged, cleaned, deduplicated, embedded, in the fixed columns."""
+    a = jobs.abstracts_embedded(C.abstract_exports(spark, sf))
+    if a.columns != ["doi", "title", "abstract", "abstract_clean", "title_abstract", "category", "total_cites", "embeddings"]:
+        raise ValueError(f"columns of the prepared abstracts: {a.columns}")
+    found = F.filter("embeddings", lambda x: F.abs(x) > 1e-8)
+    return a.select("doi", "title", F.md5("abstract").alias("abstract_md5"), F.md5("abstract_clean").alias("clean_md5"),
+                    F.md5("title_abstract").alias("ta_md5"), "category", "total_cites", F.size("embeddings").alias("dim"),
+                    F.size(found).cast("bigint").alias("n_nonzero"))
+
+
 G3_SQL = V(f"""
 with rec as (
   select row_id, gpt_model, temperature, system_message,
