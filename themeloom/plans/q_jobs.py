@@ -161,6 +161,37 @@ def g4_discover_topics(spark, sf):
     return topics.load_topic_model(spark, folder)["topics"].select("Topic", "Count", "Name")
 
 
+# the same topics merged to two, one merge at a time
+G4_MERGED_SQL = G4_SQL.replace("""topic_docs as (select coalesce(num.topic, -1) as topic, d.text as title_abstract
+               from comp left join num using (label) join documents d on d.doc_id = comp.id)""", """found as (
+  select comp.id, coalesce(num.topic, -1) as topic from comp left join num using (label)),
+part as (select f.topic, cast(generate_subscripts(b.embedding, 1) as bigint) as i, cast(unnest(b.embedding) as double) as v
+         from found f join base b on b.vec_id = f.id where f.topic <> -1),
+cent as (select topic, list(v order by i) as centroid from (select topic, i, avg(v) as v from part group by all) group by topic),
+near as (select a.topic as x, b.topic as y, list_cosine_similarity(a.centroid, b.centroid) as s from cent a join cent b on a.topic <> b.topic),
+merging(step, topic, grp) as (
+  select 0, topic, topic from cent
+  union all
+  select m.step + 1, m.topic, case when m.grp = p.b then p.a else m.grp end
+  from merging m, (select a.grp as a, b.grp as b from merging a join merging b on a.grp < b.grp
+                   join near on near.x = a.topic and near.y = b.topic
+                   group by a.grp, b.grp order by round(avg(s), 9) desc, a.grp, b.grp limit 1) p),
+old as (select topic, grp from merging where step = greatest((select count(*) from cent) - 2, 0)),
+by_size as (select grp, cast(row_number() over (order by count(*) desc, grp) - 1 as integer) as fresh
+            from old join found using (topic) group by grp),
+topic_docs as (select coalesce(by_size.fresh, -1) as topic, d.text as title_abstract
+               from found left join old using (topic) left join by_size using (grp) join documents d on d.doc_id = found.id)""")
+
+
+@register("g4_discover_merged", G4_MERGED_SQL)
+def g4_discover_merged(spark, sf):
+    """G4 with the topics merged to two (T11), named from the merged texts."""
+    td = C.topic_docs(spark, sf).filter("embedding is not null")
+    td = td.drop("topic", "probability").withColumnRenamed("title_abstract", "text")
+    found = jobs.discover_topics(td, 0.35, 10, block_rows=128, reduce_to=64, n_topics=2)
+    return found["topics"].select("Topic", "Count", "Name")
+
+
 @register("g5_summarise_topics", V(f"""with {TOP_SQL}
 select topic, count(*) as n_docs, md5(string_agg(title_abstract, chr(10) order by rank)) as docs_md5,
        {FIRST_SENTENCE} as topic_description from top group by topic""", "topic_docs"))
