@@ -1,4 +1,4 @@
-"""Whole jobs (G1-G10), each a chain of DataFrames, with written stages where a later step reads a result more than once built from the operators.
+"""Whole jobs (G1-G10), each a chain of DataFrames built from the operators; what a later step reads twice is written.
 
 Stage outputs can be persisted with :func:`themeloom.sources.io.persist_stage`
 (or a :class:`themeloom.sources.catalog.Catalog`) where a later stage is
