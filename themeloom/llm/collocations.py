@@ -256,7 +256,7 @@ def flows(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
         if key:
             yield from _flows_of(key[1], held, least)
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(run, FLOW)
+    return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "lang").mapInArrow(run, FLOW)
 
 
 # ---------------------------------------------------------------------------
