@@ -1,14 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find protected entities (mail and IP addresses, card and phone
-numbers). A line is a context. Over the whole corpus, the pointwise mutual
-information of a term and an entity, ``log2(N n_te / (n_t n_e))``, says how
-much the term reveals of the entity, whose whole information is
-``log2(N / n_e)``. A term that stands with an entity in ``MIN_CONTEXTS``
-different lines and reveals ``DISCLOSURE`` of its information or more goes from
-the documents in which a line holds both, or from all documents
-(``everywhere``, as the query does): it is removed if it stands with that entity
-only, else generalised to ``[TERM]``.
+numbers). A line is a context; terms are runs of letters, marks and digits, in
+lower case, without punctuation around them. The terms within ``WINDOW`` code
+points of an entity and outside all entities stand with it. Over the whole
+corpus, ``log2(N n_te / ((n_t + 1) n_e))``, the pointwise mutual information with
+one more context of the term assumed, says how much a term reveals of an entity,
+whose whole information is ``log2(N / n_e)``. A term discloses the entity if it
+reveals ``DISCLOSURE`` of that and leaves ``BITS_LEFT`` at most: with the added
+context, a reader who knows the term guesses the entity right every second time.
+So a name written once, beside an address written once, counts, and a word that
+mostly stands elsewhere does not, however large the corpus. A disclosing term
+goes from all documents: it is removed if all its lines hold it beside that
+entity, else generalised by its form to ``[NUMBER]``, ``[NAME]`` or ``[TERM]``.
 
 DataFrame functions only. Positions are code points, ends exclusive: the pieces
 between matches and the matches themselves have the lengths that add up to
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import SPACE, stage, text_hash, text_or_empty
 
 DISCLOSURE = 0.9
-MIN_CONTEXTS = 3
+BITS_LEFT = 1.0
+WINDOW = 60
+WORD = r"\p{L}\p{M}\p{N}"
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -64,11 +70,11 @@ def is_phone(m: Column) -> Column:
     return F.length(digits(m)).between(10, 15)
 
 
-def spans_of(text: Column, pattern: Column, kind: str, valid=None, instead: Column | None = None) -> Column:
+def spans_of(text: Column, pattern: Column, kind: str, valid=None, instead=None) -> Column:
     """Spans of the valid matches, leftmost and without overlap, in order."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     empty = F.array().cast(SPAN)
-    replaced = instead if instead is not None else F.lit(f"[{kind.upper()}]")
+    replaced = instead or (lambda m: F.lit(f"[{kind.upper()}]"))
 
     def placed(begin: Column, pairs: Column) -> Column:
         """Spans of one step's (piece before, match) pairs, the text before them being ``begin`` long."""
@@ -76,7 +82,7 @@ def spans_of(text: Column, pattern: Column, kind: str, valid=None, instead: Colu
             start = acc["at"] + F.length(x["0"])
             end = start + F.length(x["1"])
             span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"),
-                            replaced.alias("instead"))
+                            replaced(x["1"]).alias("instead"))
             keep = F.lit(True) if valid is None else valid(x["1"])
             return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
         return F.aggregate(pairs, F.struct(begin.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
@@ -101,77 +107,102 @@ def base_spans(text: Column) -> Column:
                                  spans_of(text, F.lit(CARD), "card", is_card), phone))
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, f"{SPACE}+"), "")
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text as they are written."""
+    return F.array_remove(F.array_distinct(F.split(text, f"[^{WORD}]+")), "")
+
+
+def _near(line: Column, found: Column) -> tuple[Column, Column]:
+    """The line with its entities blanked, to be kept as ``bare``, and from it a
+    struct (entity, terms) for each span in ``found``."""
+    cut = lambda s, start, end: F.substring(s, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def blank(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        end = F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], cut(line, acc["at"], start),
+                                                  F.repeat(F.lit(" "), (end - start).cast("int"))).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    bare = F.aggregate(found, zero, blank, lambda acc: F.concat(acc["out"], cut(line, acc["at"], F.length(line).cast("long"))))
+
+    def of_span(s: Column) -> Column:
+        # one more code point than the window shows whether a term is cut; such a one is left out
+        far = s["start"] - WINDOW - 1
+        before = F.when(far >= 0, F.regexp_replace(cut(F.col("bare"), far, s["start"]), f"^[{WORD}]+", "")).otherwise(
+            cut(F.col("bare"), F.lit(0).cast("long"), s["start"]))
+        behind = cut(F.col("bare"), s["end"], s["end"] + WINDOW + 1)
+        behind = F.when(F.length(behind) > WINDOW, F.regexp_replace(behind, f"[{WORD}]++$", "")).otherwise(behind)
+        entity = F.concat_ws(":", s["kind_no"].cast("string"), F.lower(cut(line, s["start"], s["end"])))
+        return F.struct(entity.alias("entity"), terms_of(F.lower(F.concat_ws(" ", before, behind))).alias("terms"))
+    return bare, F.transform(found, of_span)
 
 
 def _mentions(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, line_hash, entity, term) for each line with
-    an entity; words with a digit, ``@`` or ``+`` are no terms."""
+    """(entity, term) once for each line in which they stand together; a row
+    with a null term for each line and entity."""
     with_some = base.filter(F.size("base") > 0).select("doc_id", "text_hash").distinct()
     lines = (docs.alias("d").join(with_some.alias("b").hint("shuffle_hash"), _same_row("d", "b"), "left_semi")
-             .select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+             .select(F.explode(F.split("text", "\n")).alias("line"))
              .withColumn("found", base_spans(F.col("line"))).filter(F.size("found") > 0))
-    entity = lambda s: F.concat_ws(":", s["kind_no"].cast("string"), F.lower(
-        F.substring(F.col("line"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return (lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"),
-                         F.array_distinct(F.transform("found", entity)).alias("entities"),
-                         F.filter(F.array_distinct(words(F.col("line"))), lambda w: ~w.rlike("[0-9@+]")).alias("terms"))
-            .select("doc_id", "text_hash", "line_no", "line_hash", F.explode("entities").alias("entity"), "terms"))
+    bare, near = _near(F.col("line"), F.col("found"))
+    # a term counts where the whole line has it as a term too: nothing that only an entity's end cuts off
+    pairs = F.flatten(F.transform(F.col("near"), lambda x: F.transform(
+        F.array_append(F.array_intersect(x["terms"], F.col("held")), F.lit(None).cast("string")),
+        lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))))
+    return (lines.withColumn("bare", bare).select(near.alias("near"), terms_of(F.lower("line")).alias("held"))
+            .select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.entity", "p.term"))
 
 
 def _same_row(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, disclosure: float, min_contexts: int) -> DataFrame:
-    """(entity, term, only_here): terms that reveal ``disclosure`` or more of an entity."""
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, disclosure: float, bits_left: float) -> DataFrame:
+    """(term, only_here): terms that disclose an entity."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    held = lines.select(F.explode(F.array_distinct(words(F.col("line")))).alias("term"))
+    held = lines.select(F.explode(terms_of(F.lower("line"))).alias("term"))
     per_term = held.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0] or 0
-    per_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = (mentions.select("entity", "line_hash", F.explode("terms").alias("term"))
-                .groupBy("entity", "term", "line_hash").agg(F.count("*").alias("n"))
-                .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts"))
-                .filter(F.col("contexts") >= min_contexts))
-    shown = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    per_pair = stage(mentions.groupBy("entity", "term").agg(F.count("*").alias("n")), "pii-pairs")
+    per_entity = per_pair.filter("term is null").select("entity", F.col("n").alias("n_e"))
+    together = per_pair.filter("term is not null").withColumnRenamed("n", "n_te")
+    left = F.log2((F.col("n_t") + 1) / F.col("n_te"))
     whole = F.log2(F.lit(float(total)) / F.col("n_e"))
+    # a hair's breadth for rounding, so that equal counts decide alike
     return (together.join(per_entity, "entity").join(per_term, "term")
-            .filter((whole > 0) & (shown >= disclosure * whole))
-            .select("entity", "term", (F.col("n_t") == F.col("n_te")).alias("only_here")))
+            .filter((whole > 0) & (left <= bits_left + 1e-9) & (whole - left >= disclosure * whole - 1e-9))
+            .groupBy("term").agg(F.min(F.col("n_t") == F.col("n_te")).alias("only_here")))
+
+
+def general_form(term: Column) -> Column:
+    """What stands for a generalised term."""
+    return (F.when(term.rlike(r"\p{N}"), F.lit("[NUMBER]")).when(term.rlike(r"^\p{Lu}"), F.lit("[NAME]"))
+            .otherwise(F.lit("[TERM]")))
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS,
-                       everywhere: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, bits_left: float = BITS_LEFT) -> DataFrame:
     """doc_id, text_hash, base and spans of each row of ``docs`` (doc_id, text).
 
     ``base`` has the pattern spans, ``spans`` those and the disclosing terms;
     each span has start, kind_no (of ``KINDS``), end and instead, its
-    replacement. A disclosing term is marked in the documents of which a line
-    holds it with its entity, or ``everywhere``. A null text is empty and has no spans. Rows are told apart by
-    id and text, so repeated and null ids do no harm.
+    replacement. A disclosing term is marked wherever a document holds it, in
+    any case of letters. A null text is empty and has no spans. Rows are told
+    apart by id and text, so repeated and null ids do no harm.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", text_hash())
     base = stage(docs.select("doc_id", "text_hash", base_spans(F.col("text")).alias("base")), "pii-base")
-    mentions = stage(_mentions(docs, base), "pii-mentions")
-    shown = stage(disclosing_terms(docs, mentions, disclosure, min_contexts), "pii-terms")
-    if everywhere:
-        terms = stage(shown.groupBy("term").agg(F.min("only_here").alias("only_here")), "pii-all-terms")
-        held = (docs.select("doc_id", "text_hash", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-                .join(terms, "term"))
-    else:  # an (entity, term) that very many lines hold may be split, as its other side is a written table
-        held = (mentions.select("doc_id", "text_hash", "entity", F.explode("terms").alias("term"))
-                .join(shown, ["entity", "term"]))
-    per_row = stage(held.groupBy("doc_id", "text_hash", "term")
-                    .agg(F.min("only_here").alias("only_here")).groupBy("doc_id", "text_hash", "only_here")
-                    .agg(F.collect_set("term").alias("terms")), "pii-row-terms")
-    quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
+    terms = stage(disclosing_terms(docs, _mentions(docs, base), disclosure, bits_left), "pii-terms")
+    # a term that very many documents hold may be split, as its other side is a written table
+    held = (docs.select("doc_id", "text_hash", F.explode(terms_of(F.col("text"))).alias("written"))
+            .withColumn("term", F.lower("written")).join(terms, "term"))
+    per_row = stage(held.groupBy("doc_id", "text_hash", "only_here")
+                    .agg(F.collect_set("written").alias("terms")), "pii-row-terms")
+    pattern = F.concat(F.lit(f"(?<![{WORD}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![{WORD}])"))
     found = (docs.alias("d").join(per_row.alias("t").hint("shuffle_hash"), _same_row("d", "t"))
              .select("d.doc_id", "d.text_hash", "only_here", spans_of(
                  F.col("text"), pattern, "term",
-                 instead=F.when(F.col("only_here"), F.lit("")).otherwise(F.lit("[TERM]"))).alias("found"))
+                 instead=lambda m: F.when(F.col("only_here"), F.lit("")).otherwise(general_form(m))).alias("found"))
              .groupBy("doc_id", "text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found")))
     spans = F.sort_array(F.concat("base", F.coalesce("found", F.array().cast(SPAN))))
     return (base.alias("b").join(found.alias("f"), _same_row("b", "f"), "left")
