@@ -134,3 +134,31 @@ def test_index_weighs_by_corpus_statistics():
     unused = np.arange(90) < 30
     for q in range(30):
         assert part.neighbours(q, unused[:30]).tolist() == whole.neighbours(q, unused).tolist()
+
+
+def test_copies_meet_only_when_nothing_else_is_left(spark):
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 500, rng.integers(5, 30)).astype(np.uint32) for _ in range(200)]
+    docs = [d for d in docs for _ in range(2)] + [docs[0]] * 3
+    pieces = packing.pack_shard(docs, 64)
+    held = {}
+    for d, start, n, seq, _ in pieces:
+        held.setdefault(seq, set()).add(d)
+    assert sorted(d for d, start, *_ in pieces if not start) == list(range(len(docs)))
+    texts = [[docs[d].tobytes() for d in x] for _, x in sorted(held.items())]
+    assert all(len(set(x)) == len(x) for x in texts[:len(texts) * 4 // 5])
+    alone = packing.pack_shard([docs[0]] * 40, 64)  # copies only
+    assert sum(n for _, _, n, _, _ in alone) == 40 * len(docs[0])
+
+
+def test_twice_mixed_documents_stay_apart(spark):
+    ship_package(spark)
+    rows = [(i, " ".join(f"{w}{i % 40}" for w in ("red", "old", "big", "dry", "low")) + f" n{i}") for i in range(150)] * 2
+    df = spark.createDataFrame([(*r, "s", "l", "i") for r in rows], DOCS)
+    out = packing.pack_documents(df, queries.TOKENIZER, window=128).collect()
+    windows = {}
+    for r in out:
+        if r.start == 0:
+            windows.setdefault(r.sequence_id, []).append(r.doc_id)
+    whole = [sorted(v) for _, v in sorted(windows.items())][:len(windows) // 2]
+    assert all(len(set(v)) == len(v) for v in whole)

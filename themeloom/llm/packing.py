@@ -6,7 +6,9 @@ every (token, document); the statistics in it are those of the whole corpus, but
 only the seed's own shard is asked for neighbours. A window begins with a seed: what is left of the
 document that the window before cut, else the next unused document. The index
 returns the seed's unused neighbours, best first, which fill the window; when
-none shares a token the shard's next documents do. Documents are cut at window
+none shares a token the shard's next documents do. A text that the window holds
+already waits while others are left, so that copies of a document (repeats of
+an epoch, say) do not meet. Documents are cut at window
 ends, so every window is full. What a shard has left at its end is cut into
 sequences whose lengths are falling powers of two, which need no padding.
 """
@@ -19,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from themeloom.llm import tokens
 from themeloom.llm.common import small_batches, stage, text_or_empty, utf8
 
 ENCODED = "doc_id bigint, shard bigint, ids binary"
+MAX_TASKS = 20_000
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -87,6 +91,7 @@ class ShardIndex:
 def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard's documents, none empty."""
     index = ShardIndex(docs, corpus=corpus)
+    text = [xxhash.xxh3_128_digest(d.tobytes()) for d in docs]
     unused = np.ones(len(docs), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
     seq, following, left_over, listed = 0, 0, None, len(docs)
@@ -110,7 +115,7 @@ def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None
             if (n := np.count_nonzero(unused)) < 0.85 * listed:
                 index.drop_used(unused)
                 listed = n
-            for near in map(int, index.neighbours(doc, unused)):
+            for near in _copies_last(index.neighbours(doc, unused), text, text[doc]):
                 unused[near] = False
                 take = min(room, len(docs[near]))
                 pieces.append((near, 0, take, seq, window - room))
@@ -124,6 +129,18 @@ def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None
         seq += 1
 
 
+def _copies_last(ranked: np.ndarray, text: list[bytes], seed: bytes) -> Iterator[int]:
+    """``ranked`` documents; those whose text is the seed's or came before follow at the end."""
+    met, waiting = {seed}, []
+    for near in map(int, ranked):
+        if text[near] in met:
+            waiting.append(near)
+        else:
+            met.add(text[near])
+            yield near
+    yield from waiting
+
+
 def _powers_of_two(pieces: list[tuple], total: int, seq: int) -> list[tuple]:
     """The pieces of one sequence dealt to sequences of falling powers of two."""
     out, room, offset = [], 1 << (total.bit_length() - 1), 0
@@ -206,7 +223,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window
     Each document is its token ids (whole text, no added special tokens) and
     ``end_id``; a null or empty text is ``end_id`` alone. Repeated rows are
     packed each, null ids are passed on. ``window`` is a power of two. Shards
-    are dealt by hash of id and text; their number follows the bytes of text.
+    are dealt by hash of id and text; their number follows the bytes of text,
+    and a task has about as many of them as any other.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -215,5 +233,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window
     shards = max(1, math.ceil(size / shard_bytes))
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     encoded = stage(dealt.mapInArrow(_encoded(tokenizer_path, end_id), ENCODED), "packing-ids")
-    return (encoded.repartition("shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    return (encoded.repartitionById(min(shards, MAX_TASKS), (F.col("shard") % MAX_TASKS).cast("int")).sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(1)), "doc_id")
             .mapInArrow(_packed(window, corpus_of(encoded)), PIECE))
