@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from themeloom.llm import mixing
 
@@ -103,3 +104,15 @@ def test_documents_are_repeated_whole(spark):
     assert out.columns == df.columns
     got = Counter(r.doc_id for r in out.collect())
     assert got == Counter({i: k // n for i, n, _, _, k in brute(rows) if k})
+
+
+@pytest.mark.parametrize("weight", [1.0, 1 / 21, 1 / 400])
+def test_ranges_are_even_for_any_weight(spark, weight):
+    rows = spark.range(40_000).select((-F.log((F.col("id") + 0.5) / 40_000) / weight).alias("key"))
+    bins = rows.withColumn("bin", mixing._bin_of(F.col("key")))
+    n = bins.groupBy("bin").count()
+    parts = (bins.join(n, "bin").withColumn("part", mixing._part_of(F.col("key"), F.col("bin"), F.ceil(F.col("count") / 50)))
+             .groupBy("bin", "part").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+             .orderBy("bin", "part").collect())
+    assert max(r.n for r in parts) <= 100
+    assert all(a.high < b.low for a, b in zip(parts, parts[1:]))

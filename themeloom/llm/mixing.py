@@ -7,9 +7,10 @@ first repeats completely as often as its word target holds its size; the rest
 of the target is filled in key order while that brings it nearer to the target.
 
 Only DataFrame functions are used. The running sum over a source is taken over
-key ranges of about ``RANGE_ROWS`` documents each; only the documents of the
-one range in which the target is met are sorted, so no source, however large,
-meets in one task.
+bins of the key's logarithm, whatever the weights are, then over even parts of
+the one bin in which the target is met, each of about ``RANGE_ROWS`` documents;
+only the documents of the one part in which it is met are sorted, so no source,
+however large, meets in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import stage, text_or_empty
 
 RANGE_ROWS = 4096
+BINS = 64  # of keys to each power of two: a bin is about 1 % of its keys wide, so keys lie evenly in it
 
 
 def collapsed_text(text: Column) -> Column:
@@ -76,8 +78,14 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     return out.withColumn("target", target).drop("__w", "__cap", "__all", "__capped")
 
 
-def _range_of(key: Column, ranges: Column) -> Column:
-    return F.least(F.floor((1.0 - F.exp(-key)) * ranges), ranges - 1)
+def _bin_of(key: Column) -> Column:
+    return F.floor(F.log2(key) * BINS)
+
+
+def _part_of(key: Column, bin_no: Column, parts: Column) -> Column:
+    """Which of ``parts`` even parts of its bin a key lies in."""
+    low, high = F.pow(F.lit(2.0), bin_no / BINS), F.pow(F.lit(2.0), (bin_no + 1) / BINS)
+    return F.greatest(F.lit(0), F.least(F.floor((key - low) / (high - low) * parts), parts - 1))
 
 
 def same_source(a: str, b: str) -> Column:
@@ -91,24 +99,35 @@ def mixing_plan(rows: DataFrame, **options) -> DataFrame:
     ``rows`` holds source, ``__size`` and ``__key`` of every document. Rows
     whose id and text are equal share a key and are taken together.
     """
-    sizes = rows.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n"))
+    sizes = rows.groupBy("source").agg(F.sum("__size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = stage(targets(sizes, **options).withColumn("epochs", whole.cast("long"))
-                 .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-                 .withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS)), "mix-targets")
+                 .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
     keyed = (rows.alias("r").join(plan.alias("p"), same_source("r", "p"))
              .filter(F.col("rest") > 0)
-             .select("r.source", "__size", "__key", "rest", _range_of(F.col("__key"), F.col("ranges")).alias("range")))
-    running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the last range that begins before the rest is used up
-    met = stage(keyed.groupBy("source", "range").agg(F.sum("__size").alias("words"), F.max("rest").alias("rest"))
-                .withColumn("begins", F.sum("words").over(running) - F.col("words"))
+             .select("r.source", "__size", "__key", "rest", _bin_of(F.col("__key")).alias("range")))
+
+    def met_range(ranges: DataFrame) -> DataFrame:
+        """Of each source the last range that begins before the rest is used up."""
+        running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (ranges.groupBy("source", "range").agg(F.sum("__size").alias("words"), F.count("*").alias("n"),
+                                                      F.max("rest").alias("rest"), F.max("before").alias("before"))
+                .withColumn("begins", F.col("before") + F.sum("words").over(running) - F.col("words"))
                 .filter(F.col("begins") < F.col("rest"))
-                .groupBy("source").agg(F.max(F.struct("range", "begins")).alias("m"))
-                .select("source", "m.range", "m.begins"), "mix-ranges")
+                .groupBy("source").agg(F.max(F.struct("range", "begins", "n")).alias("m"))
+                .select("source", "m.range", "m.begins", "m.n"))
+
+    def within(rows_: DataFrame, met: DataFrame) -> DataFrame:
+        return rows_.alias("k").join(met.alias("m"), same_source("k", "m") & (F.col("k.range") == F.col("m.range")))
+
+    met = stage(met_range(keyed.withColumn("before", F.lit(0).cast("long"))), "mix-bins")
+    keyed = stage(within(keyed, met).select(
+        "k.source", "__size", "__key", "rest", F.col("begins").alias("before"),
+        _part_of(F.col("__key"), F.col("k.range"), F.ceil(F.col("n") / RANGE_ROWS)).alias("range")), "mix-bin-rows")
+    met = stage(met_range(keyed), "mix-ranges")
     in_range = Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nearest = F.col("begins") + F.sum("__size").over(in_range) - F.col("__size") / 2 <= F.col("rest")
-    cuts = (keyed.alias("k").join(met.alias("m"), same_source("k", "m") & (F.col("k.range") == F.col("m.range")))
+    cuts = (within(keyed, met)
             .select("k.source", "__size", "__key", "rest", "begins")
             .withColumn("near", nearest)
             # if not even the first fits, the cut lies just below this range
