@@ -139,3 +139,29 @@ def test_components(spark):
     for a, b in edges:
         uf.join(a, b)
     assert got == {n: uf.find(n) for e in edges for n in e}
+
+
+def test_bounds_hold_below_half():
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 62, 1200).astype(np.uint64))
+    sets = [base[:k] for k in (130, 200, 390, 400, 520, 700, 900, 1190, 60, 70, 100, 1000)]
+    sizes = np.array([len(s) for s in sets])
+    hists = [nj.unpacked(nj.histogram(s), len(s)) for s in sets]
+    for percent in (10, 30, 34, 49, 50, 85):
+        uf = nj.UnionFind(len(sets))
+        for i, j in nj.possible_links(sizes, hists, percent):
+            uf.join(i, j)
+        for i in range(len(sets)):
+            for j in range(i):
+                if nj.reaches(min(sizes[i], sizes[j]), sizes[i], sizes[j], percent):
+                    assert uf.find(i) == uf.find(j)
+
+
+def test_many_rows_of_one_or_no_id(spark):
+    ship_package(spark)
+    texts = [" ".join(f"w{i // 2}x{j}" for j in range(30)) + (" end" if i % 2 else "") for i in range(4000)]
+    rows = [(None, t) for t in texts] + [(7, t + " more") for t in texts[:1000]]
+    got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    # groups of two rows without an id; those with a row of id 7 take its id
+    assert sum(r.component_id == 7 for r in got) == 2000 and sum(r.component_id is None for r in got) == 3000

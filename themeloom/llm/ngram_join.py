@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import small_batches, stage, text_or_empty, utf8
+from themeloom.llm.common import small_batches, stage, text_hash, text_or_empty, utf8
 from themeloom.operators.components import star_components
 
 ORDER_SAMPLE = 20_000   # documents whose n-grams set the global order, at least
@@ -148,10 +148,10 @@ def possible_links(sizes: np.ndarray, hists: list[np.ndarray], percent: int, sid
     component = np.arange(len(sizes))
     lengths = np.array([len(h) for h in hists])
     for length in np.unique(lengths):
-        # sizes in reach of each other have histograms of one length or of its double
+        # lengths are powers of two; those of sizes in reach of each other differ by less than 200 / percent
         own = np.flatnonzero(lengths == length)
-        at = np.concatenate([own, np.flatnonzero(lengths == 2 * length)])
-        rows = np.stack([hists[i] if lengths[i] == length else hists[i].reshape(2, -1).sum(0) for i in at])
+        at = np.concatenate([own, np.flatnonzero((lengths > length) & (lengths * percent < 200 * length))])
+        rows = np.stack([hists[i].reshape(-1, length).sum(0) for i in at])
         for k, i in enumerate(own):
             rest = np.arange(k + 1, len(at))
             rest = rest[component[at[rest]] != component[i]]
@@ -278,7 +278,7 @@ def gram_order(docs: DataFrame, width: int) -> GramOrder:
                      1 / min(1.0, share))
 
 
-SETS = "doc_id bigint, n bigint, digest binary, prefix binary, blocks binary, hist binary"
+SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary, prefix binary, blocks binary, hist binary"
 
 
 def _sets_of(width: int, percent: int, order: GramOrder):
@@ -295,7 +295,7 @@ def _sets_of(width: int, percent: int, order: GramOrder):
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), prefix.tobytes(),
                              blocks.astype("<i4").tobytes() if blocks.max() > 1 else None, histogram(s)))
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.record_batch([b.column(b.schema.get_field_index("doc_id")), pa.array(cols[0], pa.int64())]
+            yield pa.record_batch([b.column(b.schema.get_field_index(c)) for c in names[:2]] + [pa.array(cols[0], pa.int64())]
                                   + [pa.array(c, pa.binary()) for c in cols[1:]], names=names)
     return run
 
@@ -419,13 +419,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     its own id. Rows that repeat an id are told apart by their sets. A row
     without an id takes part and has the component of the others, or null.
     """
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    docs = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", text_hash())
     order = gram_order(docs, width)
     sets = stage(docs.mapInArrow(_sets_of(width, percent, order), SETS), "gram-sets")
-    classes = stage(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    classes = stage(sets.filter("n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("least"),
+        F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("least_hash"))
                     .withColumn("cls", F.monotonically_increasing_id()), "gram-classes")
     # one row per class: that of its least id (rows that repeat it are equal)
-    holder = (F.col("s.digest") == F.col("c.digest")) & F.col("s.doc_id").eqNullSafe(F.col("c.least"))
+    holder = (F.col("s.digest") == F.col("c.digest")) & F.col("s.doc_id").eqNullSafe(F.col("c.least")) & (
+        F.col("s.text_hash") == F.col("c.least_hash"))
     whole = (sets.alias("s").join(classes.alias("c").hint("shuffle_hash"), holder)
              .select("cls", "s.n", "prefix", "blocks", "hist"))
     shared = stage(whole.select("cls", "prefix", "blocks").mapInArrow(_postings, POSTING)
@@ -453,8 +456,10 @@ def _verified_links(docs: DataFrame, sets: DataFrame, near: DataFrame, width: in
              .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
              .select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                      "block", "cls", "least", "digest"))
-    holders = near.select("cls", "least", "digest")
-    texts = (docs.alias("d").join(holders.alias("h").hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("h.least")))
+    holders = near.select("cls", "least", "least_hash", "digest")
+    # by id and text: rows without an id do not all meet
+    holder = F.col("d.doc_id").eqNullSafe(F.col("h.least")) & (F.col("d.text_hash") == F.col("h.least_hash"))
+    texts = (docs.alias("d").join(holders.alias("h").hint("shuffle_hash"), holder)
              .select("h.cls", "digest", "d.text")
              .mapInArrow(_holding(width), "cls bigint, text string").dropDuplicates(["cls"]))
     keys = ["component", "low", "high"]
