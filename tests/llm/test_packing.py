@@ -111,6 +111,20 @@ def test_dropping_used_documents_keeps_the_order_of_the_rest():
         assert index.neighbours(q, unused).tolist() == whole.neighbours(q, unused).tolist()
 
 
+def test_order_goes_on_beyond_the_sorted_head():
+    rng = np.random.default_rng(7)
+    base = [np.append(rng.integers(0, 400, rng.integers(1, 60)), 450).astype(np.uint32) for _ in range(200)]
+    docs = base + base + [np.arange(500, 510, dtype=np.uint32)] * 50  # ties in pairs, and documents without a score
+    index, unused = packing.ShardIndex(docs), np.ones(len(docs), bool)
+    assert len(index.table)  # frequent tokens are rows of a table
+    for seed in (0, 17, 210, 440):
+        unused[seed] = False
+        left = np.flatnonzero(unused)
+        want = left[np.argsort(-index.scores(seed)[left], kind="stable")].tolist()
+        for head in (1, 3, 64, 1000):
+            assert list(index.ranked(seed, unused, head)) == want
+
+
 def test_statistics_cover_all_shards(spark, monkeypatch):
     ship_package(spark)
     rows = [(i, "common word " * (1 + i % 3) + f"w{chr(97 + i % 20)}x") for i in range(120)] + [(None, None), (7, "")]

@@ -16,7 +16,7 @@ sequences whose lengths are falling powers of two, which need no padding.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -61,9 +61,18 @@ class ShardIndex:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * lengths / max(1.0, tokens_held / n))
         weight = idf[self.terms] * tf * (k1 + 1) / (tf + norm[doc])
+        # the postings of a token that a quarter of the shard or more holds are a row of a
+        # table, which has a column for each document; such rows add up faster
+        dense = held * 4 >= self.n
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        of_dense = dense[self.terms]
+        self.table = np.zeros((np.count_nonzero(dense), self.n))
+        self.table[self.row[self.terms[of_dense]], doc[of_dense]] = weight[of_dense]
+        self.columns = np.arange(self.n)
         by_term = np.argsort(self.terms, kind="stable")
+        by_term = by_term[~of_dense[by_term]]
         self.post_doc, self.post_weight = doc[by_term], weight[by_term]
-        self.post_at = np.concatenate([[0], np.cumsum(held)])
+        self.post_at = np.concatenate([[0], np.cumsum(np.where(dense, 0, held))])
         self.doc_at = np.searchsorted(doc, np.arange(self.n + 1))
         self.df, self.idf = df, idf
 
@@ -72,20 +81,38 @@ class ShardIndex:
         keep = unused[self.post_doc]
         self.post_at = np.concatenate([[0], np.cumsum(keep)])[self.post_at]
         self.post_doc, self.post_weight = self.post_doc[keep], self.post_weight[keep]
+        keep = unused[self.columns]
+        self.table, self.columns = self.table[:, keep], self.columns[keep]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """All unused documents: by falling score, those without a score last, ties in order."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the seed's tokens; nothing for dropped ones."""
         terms = self.terms[self.doc_at[seed]:self.doc_at[seed + 1]]
         terms = terms[self.df[terms] > 1]
         if self.query_terms is not None and len(terms) > self.query_terms:
             terms = terms[np.argsort(self.df[terms], kind="stable")[:self.query_terms]]
-        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
+        row = self.row[terms]
+        score = np.zeros(self.n)
+        score[self.columns] = self.table[row[row >= 0]].sum(axis=0)
+        few = terms[row < 0]
+        spans = [slice(i, j) for i, j in zip(self.post_at[few].tolist(), self.post_at[few + 1].tolist()) if i < j]
+        if spans:
+            score += np.bincount(np.concatenate([self.post_doc[s] for s in spans]),
+                                 np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """All unused documents: by falling score, those without a score last, ties in order."""
+        return np.fromiter(self.ranked(seed, unused), np.int64)
+
+    def ranked(self, seed: int, unused: np.ndarray, head: int = 64) -> Iterator[int]:
+        """``neighbours`` one by one: the best ``head`` are sorted first, the others only if asked for."""
         left = np.flatnonzero(unused)
-        if not spans:
-            return left
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]),
-                            np.concatenate([self.post_weight[s] for s in spans]), self.n)
-        return left[np.argsort(-score[left], kind="stable")]
+        score = -self.scores(seed)[left]
+        if len(left) > 2 * head:
+            best = score <= np.partition(score, head)[head]
+            yield from left[best][np.argsort(score[best], kind="stable")].tolist()
+            left, score = left[~best], score[~best]
+        yield from left[np.argsort(score, kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -115,7 +142,7 @@ def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None
             if (n := np.count_nonzero(unused)) < 0.85 * listed:
                 index.drop_used(unused)
                 listed = n
-            for near in _copies_last(index.neighbours(doc, unused), text, text[doc]):
+            for near in _copies_last(index.ranked(doc, unused), text, text[doc]):
                 unused[near] = False
                 take = min(room, len(docs[near]))
                 pieces.append((near, 0, take, seq, window - room))
@@ -129,10 +156,10 @@ def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None
         seq += 1
 
 
-def _copies_last(ranked: np.ndarray, text: list[bytes], seed: bytes) -> Iterator[int]:
+def _copies_last(ranked: Iterable[int], text: list[bytes], seed: bytes) -> Iterator[int]:
     """``ranked`` documents; those whose text is the seed's or came before follow at the end."""
     met, waiting = {seed}, []
-    for near in map(int, ranked):
+    for near in ranked:
         if text[near] in met:
             waiting.append(near)
         else:
@@ -167,13 +194,16 @@ def _encoded(tokenizer_path: str, end_id: int):
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, df) of a task's documents; at token -1 their number, at -2 their tokens."""
     n, size, df = 0, 0, np.zeros(0, np.int64)
+    last = np.zeros(0, np.int64)  # place of each token in the document that it was met in last
     for b in batches:
         for x in b.column(0):
-            ids = np.unique(np.frombuffer(x.as_buffer(), np.uint32))
-            if ids[-1] >= len(df):
-                df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
-            df[ids] += 1
-            n, size = n + 1, size + len(x.as_buffer()) // 4
+            ids = np.frombuffer(x.as_buffer(), np.uint32)
+            if (top := int(ids.max())) >= len(df):
+                df, last = (np.concatenate([a, np.zeros(top + 1 - len(a), np.int64)]) for a in (df, last))
+            place = np.arange(len(ids))
+            last[ids] = place
+            df[ids[last[ids] == place]] += 1
+            n, size = n + 1, size + len(ids)
     held = np.flatnonzero(df)
     yield pa.record_batch([pa.array(np.concatenate([[-1, -2], held]), pa.int64()),
                            pa.array(np.concatenate([[n, size], df[held]]), pa.int64())], names=["token", "df"])
