@@ -27,6 +27,17 @@ def test_ids_equal_the_library(tok, room):
         assert got == [e.ids for e in tok.encode_batch(ODD, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_lower_case_and_split_marks_keep_the_ids(tok, alone):
+    texts = ["A<|ENDOFTEXT|>B c", "a<|EndOfText|> D. E", "THE End. The end, x!. 3. 4,5. A, B, C.\nD.", "H\u0331. H\u0331 I\u0307,",
+             "Plain ASCII, Twice. Plain ASCII, twice.", "\u00c9. Z. z,", "<|endoftext|>. <|startoftext|>, X. ", ".", ", .", "a.\x0bb. c"]
+    enc = tokens.TextEncoder(queries.TOKENIZER)
+    data = [t.encode() for t in texts]
+    got = [enc.ids([x])[0] for x in data] if alone else enc.ids(data)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.ids([]) == [] and enc.ids([b"", b" \n"]) == [b"", b""]
+
+
 def test_other_kinds_of_tokenizer_get_whole_texts():
     import public_tokenizers
 

@@ -17,6 +17,9 @@ import sys
 from array import array
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from tokenizers import Tokenizer
 
@@ -71,36 +74,40 @@ class TextEncoder:
                         and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]
                                     for t in made["added_tokens"]))
         self.special = [t["content"] for t in made["added_tokens"]]
+        self.has_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)").search
         self.letters = str.maketrans({chr(b): x for b, x in byte_letters().items()})
         self.max_words = max_words
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in made]
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: bytes) -> bytes:
         """Ids of a lower-case piece that the pre-tokenizer does not split."""
         known = self.pieces.get(piece)
         if known is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            shown = piece.decode("latin-1")
+            if not piece.isascii():
+                shown = shown.translate(self.letters)
             known = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
             if len(self.pieces) < self.max_words:
                 self.pieces[piece] = known
         return known
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        out, hard, piece = {}, [], self._piece
+        out, hard, piece, get = {}, [], self._piece, self.pieces.get
         for w in words:
             if w.isalpha():  # of bytes: A-Z and a-z only
-                out[w] = piece(w.lower().decode())
+                low = w.lower()
+                out[w] = get(low) or piece(low)
             elif w[-1:] in (b",", b".") and w[:-1].isalpha():
-                out[w] = piece(w[:-1].lower().decode()) + piece(w[-1:].decode())
+                out[w] = piece(w[:-1].lower()) + piece(w[-1:])
             else:
                 s = w.decode("utf-8", "replace")
-                if PLAIN.match(s) and not any(t in s for t in self.special):
-                    out[w] = b"".join(map(piece, PIECES.findall(s.lower())))
+                if PLAIN.match(s) and not self.has_special(s):
+                    out[w] = b"".join([get(x) or piece(x) for x in map(str.encode, PIECES.findall(s.lower()))])
                 else:
                     hard.append((w, s))
         for i in range(0, len(hard), 1000):
@@ -111,18 +118,43 @@ class TextEncoder:
             self.words.update(islice(out.items(), room))
         return out
 
+    def _fewer_words(self, texts: pa.Array) -> pa.Array:
+        """The texts with fewer distinct words and the same ids: a full stop or comma
+        between an ASCII letter or digit and white space stands alone, and ASCII texts
+        are in lower case unless that could make a special string."""
+        plain = pc.string_is_ascii(texts)
+        for t in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, t, ignore_case=True))
+        return pc.replace_substring_regex(pc.if_else(plain, pc.ascii_lower(texts), texts),
+                                          r"([A-Za-z0-9])([.,])(\s)", r"\1 \2\3")
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t.decode("utf-8", "replace") for t in texts])
-        split = [t.split() for t in texts]
-        seen = set().union(*split)
-        known = self.words
-        here = self._learn({w for w in seen if w not in known})
-        for w in seen:
-            if w not in here:
-                here[w] = known[w]
-        get = here.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        # Arrow splits and numbers the words (ASCII white space, as ``bytes.split``),
+        # so that Python meets each distinct one once
+        made = pa.array(texts, pa.binary())
+        made = self._fewer_words(pa.Array.from_buffers(pa.string(), len(made), made.buffers()))
+        rows = pc.ascii_split_whitespace(made)
+        words = rows.values.dictionary_encode()
+        _, ends, chars = words.dictionary.buffers()
+        at = np.frombuffer(ends, np.int32, len(words.dictionary) + 1, words.dictionary.offset * 4).tolist() if ends else [0]
+        chars = chars.to_pybytes() if chars else b""
+        distinct = [chars[i:j] for i, j in zip(at, at[1:])]
+        known = list(map(self.words.get, distinct))
+        new = [i for i, x in enumerate(known) if x is None]
+        here = self._learn({distinct[i] for i in new})
+        for i in new:
+            known[i] = here[distinct[i]]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        index = words.indices.to_numpy(zero_copy_only=False)
+        taken = size[index]
+        stop = np.concatenate([[0], np.cumsum(taken)])
+        # a word's ids stand together: place in ``flat`` less place in the result
+        out = flat[np.repeat((np.cumsum(size) - size)[index] - stop[:-1], taken) + np.arange(stop[-1])].tobytes()
+        cut = (4 * stop[rows.offsets.to_numpy() - rows.offsets[0].as_py()]).tolist() if len(rows) else [0]
+        return [out[i:j] for i, j in zip(cut, cut[1:])]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
