@@ -260,6 +260,22 @@ def test_forest_keeps_components_and_best_similarities(spark):
     assert best(every) == best(few)
 
 
+def test_a_vector_and_its_edges_move_once_per_group_not_once_per_block(spark, monkeypatch):
+    monkeypatch.setattr(similarity._Forest, "ROOM", 500)  # the forest is brought up to date often
+    df, unit = skewed(spark)
+    blocks, _, _ = similarity._vector_blocks(df, 0.2, "row_id", "embedding", 8, 64)
+    met, groups = similarity._group_pairs(blocks)
+    assert groups < blocks.count() / 5 and met.count() == groups * blocks.count()
+    few = [(r.src, r.dst, r.similarity) for r in similarity.similarity_edges(df, 0.2, block_rows=8, forest=True).collect()]
+    assert len(few) < (groups + 1) * 1200
+    sims = unit @ unit.T
+    i, j = np.nonzero(np.triu(sims >= 0.2, 1))
+    kept = similarity.local_forest(i, j, sims[i, j], 1200)
+    want = sorted(sims[i, j][kept])
+    got = sorted(e[2] for e in plain_forest(few))
+    assert len(got) == len(want) and np.allclose(want, got)
+
+
 @pytest.mark.parametrize("ship", ["queries", "candidates"])
 @pytest.mark.parametrize("ship_bytes", [1 << 25, 24 * 8 * 7])
 def test_top_n_against_all_pairs(spark, ship, ship_bytes):
