@@ -113,6 +113,30 @@ def test_probability_vectors_with_one_topic(spark):
     assert all(len(v) == 1 for v in got.values()) and max(v[0] for v in got.values()) == 1.0
 
 
+def test_terms_in_small_parts_equal_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(topics, "TASK_WORDS", 5)
+    rows = [(1, 0, "Red red fish and the blue fish"), (2, 0, "blue fish"), (3, 1, "red fish swims"), (4, None, "x blue"),
+            (5, 1, None), (6, 2, ""), (7, 1, "red fish red fish"), (7, 1, "red fish"), (8, 2, "fish and red")]
+    docs = spark.createDataFrame(rows, "row_id long, topic int, text string").coalesce(1)
+    want = {}
+    for _, topic, text in rows:
+        w = [x for x in (text or "").lower().split() if x not in ("and", "the", "x")]
+        for term in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            want[topic, term] = want.get((topic, term), 0) + 1
+    n = {t: len({k for k, u in want if u == t}) for t in {u for _, u in want}}
+    counts = topics.topic_term_counts(docs, min_df=2, max_df=0.7)
+    assert {(r.topic, r.term): r.tf for r in counts.collect()} == {k: v for k, v in want.items() if 2 <= n[k[1]] <= 2.8}
+    assert all(r.f == sum(v for (_, t), v in want.items() if t == r.term) for r in counts.collect())
+    weights = topics.ctfidf(counts)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+    # shipped terms change the work, not the result; the rows of a repeated id are one document
+    every = [tuple(r) for r in topics.representative_docs(docs, weights, 9).orderBy("topic", "rank").collect()]
+    monkeypatch.setattr(topics, "SHIPPED_TERMS", 0)
+    assert every == [tuple(r) for r in topics.representative_docs(docs, weights, 9).orderBy("topic", "rank").collect()]
+    assert len([r for r in every if r[1] == 7]) == 1
+
+
 def test_representative_docs_weigh_terms_by_count_and_idf(spark):
     texts = ["apple apple banana", "banana cherry", "apple cherry cherry", "dog dog cat", "cat mouse apple"]
     docs = spark.createDataFrame([(i, int(i > 2), t) for i, t in enumerate(texts)], "row_id long, topic int, text string")
