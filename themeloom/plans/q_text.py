@@ -157,7 +157,8 @@ select doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'),
 from documents""")
 def x15_text_from_inverted_index(spark, sf):
     d = C.table(spark, sf, "documents")
-    words = d.select("doc_id", F.posexplode(tx.whitespace_tokens("text")).alias("pos", "word"))
+    # a document's text moves once, before it becomes a row per word
+    words = d.repartition("doc_id").select("doc_id", F.posexplode(tx.whitespace_tokens("text")).alias("pos", "word"))
     postings = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     index = postings.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("abstract_inverted_index"))
