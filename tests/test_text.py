@@ -84,3 +84,22 @@ def test_citation_bands(spark):
 def test_snake_case():
     assert tx.snake_case("Name:") == "name"
     assert tx.snake_case("__N chars (total)") == "n_chars_total"
+
+
+def test_a_vector_takes_its_norm_once(spark):
+    from themeloom.functions import vectors as vx
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(vx.l2_normalize("v").alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_an_index_moves_texts_not_words(spark, tmp_path):
+    from themeloom.plans import q_text
+
+    rows = [(1, "b a  b"), (2, None), (3, " "), (4, "x"), (4, "y x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_text.x15_text_from_inverted_index(spark, str(tmp_path))
+    moves = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert moves and not any("word" in x for x in moves)
+    assert out.count() == 5
