@@ -103,3 +103,16 @@ def test_an_index_moves_texts_not_words(spark, tmp_path):
     moves = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
     assert moves and not any("word" in x for x in moves)
     assert out.count() == 5
+
+
+def test_the_encoder_hashes_a_word_once_and_keeps_so_many(monkeypatch):
+    from themeloom.operators import embed
+
+    calls = []
+    plain = embed.hashlib.md5
+    monkeypatch.setattr(embed.hashlib, "md5", lambda b: calls.append(b) or plain(b))
+    enc = embed.HashingEncoder(16)
+    first = enc(["red fish"])
+    assert (enc(["fish red"]) == first).all() and len(calls) == 2
+    monkeypatch.setattr(embed.HashingEncoder, "KEPT", 2)
+    assert (enc(["blue"]) == embed.HashingEncoder(16)(["blue"])).all() and len(enc.met) == 2

@@ -28,14 +28,22 @@ _WORD = re.compile(r"\w+", re.UNICODE)
 
 
 class HashingEncoder:
-    """Each distinct word of a call is hashed once; sums run over arrays."""
+    """Each distinct word of a call is hashed once, one of the ``KEPT`` words
+    that a task met first only once; sums run over arrays."""
+
+    KEPT = 1 << 17
 
     def __init__(self, dim: int = 384):
-        self.dim = dim
+        self.dim, self.met = dim, {}
 
     def place(self, word: str) -> tuple[int, float]:
-        h = hashlib.md5(word.encode()).hexdigest()
-        return int(h[:8], 16) % self.dim, 1.0 if int(h[8], 16) < 8 else -1.0
+        found = self.met.get(word)
+        if found is None:
+            h = hashlib.md5(word.encode()).hexdigest()
+            found = int(h[:8], 16) % self.dim, 1.0 if int(h[8], 16) < 8 else -1.0
+            if len(self.met) < self.KEPT:
+                self.met[word] = found
+        return found
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         words = [_WORD.findall((t or "").lower()) for t in texts]
