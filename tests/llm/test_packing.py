@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -176,3 +177,17 @@ def test_twice_mixed_documents_stay_apart(spark):
             windows.setdefault(r.sequence_id, []).append(r.doc_id)
     whole = [sorted(v) for _, v in sorted(windows.items())][:len(windows) // 2]
     assert all(len(set(v)) == len(v) for v in whole)
+
+
+def test_the_encoder_gets_a_megabyte_of_text_at_a_time(monkeypatch):
+    sizes = []
+
+    class Encoder:
+        def ids(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return [b"" for _ in texts]
+
+    monkeypatch.setattr(packing.tokens, "encoder", lambda path: Encoder())
+    batch = pa.record_batch([pa.array(range(40)), pa.array([0] * 40), pa.array(["x" * 100_000] * 40)], names=["doc_id", "shard", "text"])
+    out = list(packing._encoded("vocabulary", 2)(iter([batch])))
+    assert sum(map(len, out)) == 40 and sum(sizes) == 4_000_000 and max(sizes) <= 1 << 20

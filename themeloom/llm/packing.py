@@ -184,7 +184,7 @@ def _powers_of_two(pieces: list[tuple], total: int, seq: int) -> list[tuple]:
 def _encoded(tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = tokens.encoder(tokenizer_path), np.array([end_id], np.uint32).tobytes()
-        for b in small_batches(batches):
+        for b in small_batches(batches, 1 << 20):  # the encoder needs some 20 times that beside its tables
             ids = pa.array([x + end for x in enc.ids(utf8(b, "text"))], pa.binary())
             yield pa.record_batch([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "shard")] + [ids],
                                   names=["doc_id", "shard", "ids"])
