@@ -1,5 +1,8 @@
 """Topic operators: planted clusters, probabilities, hulls, similarity joins."""
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +140,35 @@ def test_terms_in_small_parts_equal_a_plain_count(spark, monkeypatch):
     assert len([r for r in every if r[1] == 7]) == 1
 
 
+def test_terms_move_as_blocks_and_all_rows_of_a_term_meet(spark):
+    rows = [(i % 3, f"Red_fish {i % 5} Ärger über the ÄRGER x1 red {'blue' if i % 2 else 'grün'} fish\tred\x00fish") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (1, "plain ASCII a b red fish"), (None, "red fish"), (2, None), (0, "")], "topic int, text string")
+    want = {}
+    for topic, text in [*rows, (1, "plain ASCII a b red fish"), (None, "red fish")]:
+        w = [x for x in re.findall(r"\w{2,}", text.lower()) if x != "the"]
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                want[topic, " ".join(w[i:i + n])] = want.get((topic, " ".join(w[i:i + n])), 0) + 1
+    words = topics._words(docs.coalesce(2), "text", ["topic"])
+    blocks = topics._term_counts(words, ["topic"], False, (1, 3), None, buckets=4).collect()
+    assert len(blocks) <= 2 * 3 * 4  # tasks, lengths of terms, buckets: not a row per term
+    places, found = {}, {}
+    for b in blocks:
+        for r in pa.ipc.open_stream(b.data).read_all().to_pylist():
+            places.setdefault(r["term"], set()).add(b.bucket)
+            found[r["topic"], r["term"]] = found.get((r["topic"], r["term"]), 0) + r["n"]
+    assert found == want and all(len(x) == 1 for x in places.values()) and len(set.union(*places.values())) > 1
+    plain = topics._term_counts(words, ["topic"], False, (1, 3), None).groupBy("topic", "term").agg(F.sum("n").alias("n"))
+    assert {(r.topic, r.term): r.n for r in plain.collect()} == want
+
+
+def test_vocabulary_is_the_same_from_one_task_or_many(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 4, f"red fish w{i % 7} w{i % 3} blue {i}") for i in range(30)], "topic int, text string")
+    one = sorted(tuple(r) for r in topics.topic_term_counts(docs, ngram_range=(1, 3)).collect())
+    monkeypatch.setattr(topics, "MEETING_BYTES", 100)
+    assert one and one == sorted(tuple(r) for r in topics.topic_term_counts(docs, ngram_range=(1, 3)).collect())
+
+
 def test_representative_docs_weigh_terms_by_count_and_idf(spark):
     texts = ["apple apple banana", "banana cherry", "apple cherry cherry", "dog dog cat", "cat mouse apple"]
     docs = spark.createDataFrame([(i, int(i > 2), t) for i, t in enumerate(texts)], "row_id long, topic int, text string")
