@@ -271,6 +271,18 @@ def test_pruning_leaves_less_than_a_third_of_the_products(spark):
     assert blocks.selectExpr("sum(size(ids))").first()[0] == 1200
 
 
+def test_single_precision_vectors_move_as_such_to_few_groups(spark):
+    df, unit = skewed(spark)
+    kept = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    blocks, _, _ = similarity._vector_blocks(kept, 0.5, "row_id", "embedding", 8, 64)
+    met, groups = similarity._group_pairs(blocks)
+    assert groups <= np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism))
+    assert met.selectExpr("sum(length(data))").first()[0] == groups * 1200 * unit.shape[1] * 4
+    found = lambda d: sorted(tuple(r) for r in similarity.similarity_edges(d, 0.5, block_rows=32).collect())
+    got, want = found(kept), found(kept.withColumn("embedding", F.col("embedding").cast("array<double>")))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-14)
+
+
 def plain_forest(edges):
     root, kept = {}, []
 
