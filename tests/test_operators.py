@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from themeloom.operators import dedupe, ranking, retrieval, stats
+from themeloom.operators import dedupe, joins, ranking, retrieval, stats
 
 
 def bm25_plain(corpus, query, k1=1.5, b=0.75, eps=0.25):
@@ -152,3 +152,24 @@ def test_join_on_text_with_a_hot_text_on_both_sides(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want
     exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x]
     assert exchanges and all("doc" not in x.split("hashpartitioning(")[1].split(")")[0] for x in exchanges)
+
+
+@pytest.mark.parametrize("part_keys,most_parts", [(100, 8), (2, 8), (2, 1)])
+def test_rows_with_key_keeps_repeats_and_drops_nulls(spark, part_keys, most_parts):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, f"t{i}") for i in range(40)], "k long, t string")
+    keys = spark.createDataFrame([(k,) for k in (1, 3, 3, 4, 6, 99, None)], "k long")
+    got = joins.rows_with_key(rows, keys, "k", part_keys, most_parts)
+    assert sorted(r.t for r in got.collect()) == sorted(f"t{i}" for i in range(40) if i % 5 and i % 7 in (1, 3, 4, 6))
+
+
+def test_texts_without_a_vector_do_not_move(spark, tmp_path):
+    from themeloom.sources import corpora
+
+    spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 2, 3, 4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 5, [1.0]), (3, None, [2.0]), (3, 1, [3.0]), (4, 1, None), (8, 1, [4.0]), (None, 1, [5.0])],
+                          "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = corpora.topic_docs(spark, str(tmp_path), with_vector=True)
+    every = corpora.topic_docs(spark, str(tmp_path)).filter("embedding is not null")
+    assert sorted(map(str, got.collect())) == sorted(map(str, every.collect())) and got.count() == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan  # by broadcast: before the join with the vectors, texts are not shuffled
