@@ -140,6 +140,23 @@ def test_terms_in_small_parts_equal_a_plain_count(spark, monkeypatch):
     assert len([r for r in every if r[1] == 7]) == 1
 
 
+def test_terms_without_a_weight_do_not_leave_the_task(spark):
+    words = pa.array([["red", "fish", "swims", "far"], [], None, ["Ärger", "red", "red", "fish"]], pa.list_(pa.string()))
+    for terms in topics._terms_of(words, (1, 3), pa.array([], pa.string())):
+        _, head, last, _ = terms.counts(np.arange(4))
+        assert (topics._hash_of(terms.texts(head, last)) == terms.hashes(head, last)).all()
+    rows = [(i, i % 3, f"red fish only{i} here{i} grow{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, topic int, text string").coalesce(2)
+    weights = spark.createDataFrame([(t, w) for t in range(3) for w in ("red", "red fish", "fish only7")], "topic int, term string")
+    found = topics._term_filter(weights, 9)
+    hashes = topics._hash_of(pa.array(["red", "red fish", "fish only7"]))
+    assert topics._may_be_in(found, hashes).all() and found[0] <= 16
+    held = topics._term_counts(topics._words(docs, "text", ["id", "topic"]), ["id", "topic"], True, (1, 2), None, spark.sparkContext.broadcast(found), 4)
+    moved = topics._unblocked([pa.RecordBatch.from_pylist([{"data": bytes(r["data"])} for r in held.collect()])]).to_pylist()
+    assert sum(r["term"] in ("red", "red fish", "fish only7") for r in moved) == 601
+    assert len(moved) < 601 + 300 * 7 / 3  # of 2,700 terms of documents
+
+
 def test_terms_move_as_blocks_and_all_rows_of_a_term_meet(spark):
     rows = [(i % 3, f"Red_fish {i % 5} Ärger über the ÄRGER x1 red {'blue' if i % 2 else 'grün'} fish\tred\x00fish") for i in range(40)]
     docs = spark.createDataFrame([*rows, (1, "plain ASCII a b red fish"), (None, "red fish"), (2, None), (0, "")], "topic int, text string")
