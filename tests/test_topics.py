@@ -186,6 +186,19 @@ def test_vocabulary_is_the_same_from_one_task_or_many(spark, monkeypatch):
     assert one and one == sorted(tuple(r) for r in topics.topic_term_counts(docs, ngram_range=(1, 3)).collect())
 
 
+def test_counts_do_not_move_to_a_task_per_topic(spark):
+    docs = spark.createDataFrame([(i % 3, f"red fish w{i % 7} blue {i}") for i in range(60)], "topic int, text string")
+    plan = topics.ctfidf(topics.topic_term_counts(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(topic" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_vocabulary_of_texts_of_a_known_size(spark):
+    rows = [(i % 3 or None, f"red fish w{i % 7} blue {i}") for i in range(60)] + [(4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "topic int, text string")
+    every = sorted(map(str, topics.topic_term_counts(docs).collect()))
+    assert every and all(sorted(map(str, topics.topic_term_counts(docs, size=x).collect())) == every for x in (0, 100, 1 << 25))
+
+
 def test_representative_docs_weigh_terms_by_count_and_idf(spark):
     texts = ["apple apple banana", "banana cherry", "apple cherry cherry", "dog dog cat", "cat mouse apple"]
     docs = spark.createDataFrame([(i, int(i > 2), t) for i, t in enumerate(texts)], "row_id long, topic int, text string")
