@@ -199,6 +199,21 @@ def test_vocabulary_of_texts_of_a_known_size(spark):
     assert every and all(sorted(map(str, topics.topic_term_counts(docs, size=x).collect())) == every for x in (0, 100, 1 << 25))
 
 
+def test_only_leading_terms_are_sorted(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(t), f"w{i}", float(x)) for i, (t, x) in enumerate(zip(rng.integers(0, 3, 3000), rng.lognormal(0, 4, 3000)))]
+    odd = [(7, f"o{i}", x) for i, x in enumerate([None, float("nan"), float("inf"), 0.0, -1.0, -2.0, 5e-324, 1.0, 1.0, 1.0, None])]
+    same = [(None, f"s{i}", 0.25) for i in range(40)]
+    weights = spark.createDataFrame([*rows, *odd, *same, (8, "only", None)], "topic int, term string, weight double")
+    assert topics._leading_terms(weights.filter("topic < 3"), 10).count() < 200
+    for n in (1, 4, 8, 50):
+        weights.createOrReplaceTempView("some_weights")
+        want = spark.sql(f"select * from (select *, row_number() over (partition by topic order by weight desc, term) as rank "
+                         f"from some_weights) where rank <= {n}").select("topic", "term", "rank").collect()
+        got = topics.top_keywords(weights, n).select("topic", "term", "rank").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_representative_docs_weigh_terms_by_count_and_idf(spark):
     texts = ["apple apple banana", "banana cherry", "apple cherry cherry", "dog dog cat", "cat mouse apple"]
     docs = spark.createDataFrame([(i, int(i > 2), t) for i, t in enumerate(texts)], "row_id long, topic int, text string")
