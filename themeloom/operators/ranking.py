@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators import stats
+from themeloom.session import stage
 
 
 def sort_mixed(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
@@ -46,7 +47,8 @@ def top_docs_per_topic(df: DataFrame, n: int = 5, topic_col: str = "topic",
 
     Both rankings run over narrow rows, each with its limit before the
     shuffle; the per-topic count chooses between them, and only the survivors'
-    rows are fetched (``id_col`` names a row).
+    rows are fetched (``id_col`` names a row): the survivors are written, so that
+    Spark knows their size and need not move the rows that it looks them up in.
     """
     if cites_col is None:
         cites_col = next((c for c in ("total_cites", "cited_by_count") if c in df.columns), None)
@@ -59,7 +61,7 @@ def top_docs_per_topic(df: DataFrame, n: int = 5, topic_col: str = "topic",
     second = top_n_per_group(narrow, [topic_col], [F.col("_p").desc_nulls_last(), F.col(id_col)], n)
     chosen = first.withColumn("_cited", F.lit(True)).unionByName(second.withColumn("_cited", F.lit(False)))
     chosen = chosen.join(ones, topic_col).filter(F.col("_cited") == (F.col("_n1") >= n)).select(topic_col, id_col, "rank")
-    return d.join(chosen, [topic_col, id_col])
+    return d.join(stage(chosen, "top-docs"), [topic_col, id_col])
 
 
 def balanced_sample(df: DataFrame, keys: list[str], id_col: str, cap: int = 100,
