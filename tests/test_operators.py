@@ -173,3 +173,15 @@ def test_texts_without_a_vector_do_not_move(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, every.collect())) and got.count() == 4
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi, BuildRight" in plan  # by broadcast: before the join with the vectors, texts are not shuffled
+
+
+def test_texts_do_not_move_to_meet_top_docs(spark):
+    from themeloom.operators import ranking
+
+    rows = [(i, i % 3, (i % 10) / 10, i % 7, f"text {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "row_id long, topic int, probability double, total_cites long, text string")
+    top = ranking.top_docs_per_topic(docs, 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    want = {(t, r[0], k) for t in range(3) for k, r in enumerate(sorted((r for r in rows if r[1] == t), key=lambda r: (-r[2], r[0]))[:2], 1)}
+    assert {(r.topic, r.row_id, r["rank"]) for r in top.collect()} == want
